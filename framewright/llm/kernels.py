@@ -118,8 +118,9 @@ def spans(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
 
 def word_hashes(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, A-Z lowered, and the first word of each text (n + 1 values)."""
+    data = LOWER[data]
     start, end, first = spans(data, off, table)
-    return span_hash(prefix_hash(LOWER[data]), start, end), first
+    return span_hash(prefix_hash(data), start, end), first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,3 +161,15 @@ def shingle_sets(texts, size: int, table: np.ndarray = NON_SPACE) -> Iterator[np
                 yield np.array([sequence_hash(words[i:j])], U64)
             else:
                 yield np.zeros(0, U64)
+
+
+def binary_array(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    """An Arrow binary array of consecutive slices of a contiguous numpy array, ``off`` in its elements."""
+    where = (np.asarray(off, np.int64) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices start[i] ... start[i] + size[i] - 1 of all i, one after another."""
+    upto = np.cumsum(size)
+    return np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)

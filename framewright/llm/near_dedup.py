@@ -17,6 +17,8 @@ from . import setjoin
 from .kernels import U64, mix, shingle_sets
 from .minhash import combined, minima
 from .scratch import stored
+from .session import bounded_batches
+from .sieve import Sieve, rows_of, sifted
 
 #: Groups in each of the two collections.  A pair at similarity s shares a key with probability (1 - (1 - s^2)^M)^2: 0.9994 at 0.8.
 GROUPS = 8
@@ -84,22 +86,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty table; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bounded_batches(docs.sparkSession)
     signed = stored(rows.mapInArrow(_signed(size, groups), SIGNED), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"))
     nodes = stored(nodes, "nodes")
     two, members = setjoin.buckets(nodes)
     wanted = two.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
     wanted = stored(wanted.join(nodes.select("node", "least"), "node"), "wanted")
-    # the texts of one row of each wanted node; a set is read again from its text, and its node from the set
-    texts = rows.join(wanted.select(F.col("least").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # the text of one row of each wanted node; a set is read again from its text, and its node from the set
+    least = wanted.select("least").distinct()
+    texts = sifted(rows, "doc_id", Sieve(rows_of(least, "least"))).join(least.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+    if not wanted.where("least is null").isEmpty():
+        texts = texts.unionByName(rows.where("doc_id is null"))
     sets = texts.select("text").mapInArrow(_sets(size), "node long, items binary").join(wanted.select("node"), "node", "left_semi")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
-    found = setjoin.classes(two, members, sets, percent)
+    found = setjoin.classes(two, members, sets, setjoin.jaccard_at_least(percent))
     labelled = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = labelled.select("node", "component").join(least, "component").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-

@@ -1,11 +1,11 @@
-"""Reading the tables, and the one session setting that the operators need."""
+"""Reading the tables, and the session settings that the operators need."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Texts may be long: few rows to an Arrow batch keep Python workers small.
-ARROW_ROWS = "1000"
+#: Texts may be long: few rows and bytes to an Arrow batch keep Python workers small.
+ARROW_ROWS, ARROW_BYTES = "1000", "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,3 +15,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)

@@ -17,36 +17,46 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import drop, stored
+from .sieve import Sieve, rows_of, sifted_keys
 
-#: Centres of a bucket in each round after the first.
-CENTRES = 8
+#: Centres of a bucket in the first round after the stars, and their growth from round to round.
+CENTRES, GROWTH = 8, 4
+
+Check = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (node, keys): the pairs (a, b) of buckets of two, and the members (key, node) of larger buckets.
+    """From (node, keys), where a node may repeat: pairs (a, b) of buckets of two rows, members (key, node) of larger ones.
 
-    Buckets are counted before anything is gathered; only members of buckets of three or more are joined back.
+    Buckets are counted, with partial sums, before anything is gathered; only members of buckets of three
+    or more rows are joined back, and a sieve of those keys thins the rows before that join.
     """
-    rows = keys.select(F.explode("keys").alias("key"), "node")
-    counted = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"))
+    counted = keys.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"))
     several = stored(counted.where("a < b"), "buckets")
     two = several.where("n = 2").select("a", "b").distinct()
-    members = stored(rows.join(several.where("n > 2").select("key"), "key"), "members")
+    large = several.where("n > 2").select("key")
+    members = stored(sifted_keys(keys, Sieve(rows_of(large, "key"))).join(large, "key").distinct(), "members")
     return two, members
 
 
-def jaccard_at_least(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keep the rows (a, b, sa, sb) whose sorted hash sets have ``100 * intersection >= percent * union``."""
+def jaccard_at_least(percent: int, items: Callable[[pa.Scalar], np.ndarray] | None = None) -> Check:
+    """Keep the rows (a, b, sa, sb) whose sets have ``100 * intersection >= percent * union``.
+
+    ``items`` gives the sorted distinct hashes of a stored set; by default the bytes are those hashes.
+    """
 
     def check(batches):
+        last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            for name, x, y in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
+                if name != last:  # rows come sorted by a, the centre
+                    last, held = name, items(x) if items else np.frombuffer(x.as_buffer(), np.uint64)
+                y = items(y) if items else np.frombuffer(y.as_buffer(), np.uint64)
+                if 100 * min(len(held), len(y)) < percent * max(len(held), len(y)):
                     keep.append(False)
                     continue
-                both = np.concatenate((x, y))
+                both = np.concatenate((held, y))
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(bool(shared) and 100 * shared >= percent * (len(both) - shared))
@@ -55,18 +65,19 @@ def jaccard_at_least(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return check
 
 
-def classes(two: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of every linked node; ``sets`` has (node, items): its sorted hash set as bytes."""
+def classes(two: DataFrame, members: DataFrame, sets: DataFrame, check: Check) -> DataFrame:
+    """(node, component) of every linked node; ``sets`` has (node, items), what ``check`` compares."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         whole = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
         whole = whole.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
-        return whole.select("a", "b", "sa", "sb").mapInArrow(jaccard_at_least(percent), "a long, b long")
+        return whole.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
     star = members.groupBy("key").agg(F.min("node").alias("a"))
     pairs = members.join(star, "key").where("node <> a").select("a", F.col("node").alias("b"))
     links = stored(verified(two.unionByName(pairs).distinct()), "links")
     live = members.join(star.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+    centres = CENTRES
     while True:
         found = stored(connected_components(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "classes")
         labelled = live.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -78,10 +89,11 @@ def classes(two: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -
         )
         if live.isEmpty():
             return found
-        centre = live.where(F.col("place") <= CENTRES).select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("place").alias("pa"))
+        centre = live.where(F.col("place") <= centres).select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("place").alias("pa"))
         pairs = live.join(centre, "key").where("place > pa and component <> ca")
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         more = stored(verified(pairs), "links")
         links = links.unionByName(more)
-        live = live.where(F.col("place") > CENTRES).select("key", "node")
+        live = live.where(F.col("place") > centres).select("key", "node")
+        centres *= GROWTH
         drop(found)
