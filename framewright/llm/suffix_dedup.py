@@ -23,7 +23,7 @@ from .session import bounded_batches
 
 LENGTH, GRAM = STRIDE * DEPTH, 32
 #: Distinct bodies of an anchor that one task takes; bytes that are merged at once; bytes read at once; windows counted as one piece.
-GROUP, MERGE_BYTES, READ_BYTES, PIECE = 512, 1 << 21, 1 << 20, 16
+GROUP, MERGE_BYTES, READ_BYTES, PIECE = 64, 1 << 21, 1 << 20, 16
 
 RANGES = "doc_id long, doc_hash long, start long, many int, anchor long, body long"
 
