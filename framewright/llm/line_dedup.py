@@ -47,10 +47,13 @@ def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return span_hash(prefix, at, stop, 5), np.append(0, np.cumsum(many))
 
 
-def line_items(cell: pa.Scalar) -> np.ndarray:
-    """The sorted distinct shingle hashes of one stored line."""
-    data = np.frombuffer(cell.as_buffer(), np.uint8)
-    return np.unique(shingle_hashes(data, np.zeros(1, np.int64), np.array([len(data)]))[0])
+def line_items(cells: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each stored line; equal cells of a column are hashed once."""
+    coded = cells.dictionary_encode()
+    data, off = utf8(coded.dictionary.cast(pa.string()))
+    hashes, first = shingle_hashes(data, off[:-1], off[1:])
+    sets = [np.unique(hashes[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return [sets[k] for k in coded.indices.to_pylist()]
 
 
 def _chunks(batches):

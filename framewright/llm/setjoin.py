@@ -39,27 +39,28 @@ def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return two, members
 
 
-def jaccard_at_least(percent: int, items: Callable[[pa.Scalar], np.ndarray] | None = None) -> Check:
+def stored_sets(cells: pa.Array) -> list[np.ndarray]:
+    """Sets that were stored as the bytes of their sorted hashes."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in cells]
+
+
+def jaccard_at_least(percent: int, items: Callable[[pa.Array], list[np.ndarray]] = stored_sets) -> Check:
     """Keep the rows (a, b, sa, sb) whose sets have ``100 * intersection >= percent * union``.
 
-    ``items`` gives the sorted distinct hashes of a stored set; by default the bytes are those hashes.
+    ``items`` gives the sorted distinct hashes of each cell of a column.
     """
 
     def check(batches):
-        last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for name, x, y in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb"), strict=True):
-                if name != last:  # rows come sorted by a, the centre
-                    last, held = name, items(x) if items else np.frombuffer(x.as_buffer(), np.uint64)
-                y = items(y) if items else np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(held), len(y)) < percent * max(len(held), len(y)):
+            for x, y in zip(items(batch.column("sa")), items(batch.column("sb")), strict=True):
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     keep.append(False)
                     continue
-                both = np.concatenate((held, y))
+                both = np.concatenate((x, y))
                 both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(bool(shared) and 100 * shared >= percent * (len(both) - shared))
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(shared > 0 and 100 * shared >= percent * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return check
