@@ -71,7 +71,9 @@ class PieceEncoder:
         levels = [p for p in parts if p.get("type") == "ByteLevel" and not p.get("add_prefix_space")]
         words = [p for p in parts if p.get("type") == "Split" and p.get("behavior") == "Removed"]
         self.by_space = bool(levels) and len(parts) == 1 and levels[0].get("use_regex", True) and self.normalizer is None
-        self.by_word = bool(levels) and len(parts) == 2 and len(words) == 1
+        steps = [n.get("type") for n in (config.get("normalizer") or {}).get("normalizers", [])]
+        self.by_word = bool(levels) and len(parts) == 2 and len(words) == 1 and self.normalizer is not None
+        self.lowers = steps == ["NFC", "Replace", "Lowercase"]
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self._empty()
 
@@ -82,7 +84,7 @@ class PieceEncoder:
     def _ids(self, piece: bytes) -> list[int]:
         text = piece.decode("utf-8")
         if self.by_word:
-            plain = self.normalizer.normalize_str(text).strip(" ") if self.normalizer else text.strip()
+            plain = text.strip(" \t\n\v\f\r").lower() if self.lowers and text.isascii() else self.normalizer.normalize_str(text).strip(" ")
             if plain.isalpha():
                 return [t.id for t in self.model.tokenize(plain.encode().decode("latin-1").translate(self.alphabet))]
         elif (text[1:] if text[:1] == " " else text).isalpha():
