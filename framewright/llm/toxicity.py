@@ -25,7 +25,7 @@ TERM_BITS = 20
 #: The fit's bounds: at most so many labelled rows (those of the smallest id hashes), and so many terms.
 SAMPLE_ROWS, SAMPLE_TERMS = 20_000, 2048
 FACTORS, STEPS, BATCH, RATE, THRESHOLD = 8, 3000, 256, 0.02, 0.7
-DECAY_WEIGHTS, DECAY_FACTORS = 1e-5, 1e-3
+DECAY_WEIGHTS, DECAY_FACTORS = 1e-5, 1e-5
 #: Least likelihood ratio (twice the log) of a chosen term, and least rows it stands in.
 LEAST_RATIO, LEAST_ROWS = 14.0, 3
 
