@@ -33,6 +33,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """One round of both steps: other edges (u, v), v < u, with the same components."""
+    return _small_star(_large_star(edges))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its least node.
 
@@ -47,7 +52,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == mark or not seen[0]:
             break
         mark = tuple(seen)
-        after = stored(_small_star(_large_star(now)), "star")
+        after = stored(contracted(now), "star")
         drop(now)
         now = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

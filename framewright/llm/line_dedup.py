@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .kernels import LOWER, NON_NEWLINE, NON_SPACE, chunks, mix, prefix_hash, ragged, span_hash, spans, utf8
-from .minhash import combined, minima
+from .kernels import LOWER, NON_NEWLINE, NON_SPACE, U64, chunks, mix, prefix_hash, ragged, span_hash, spans, utf8
+from .minhash import combined, minima, sketch
 from .scratch import stored
 from .session import bounded_batches
 from .sieve import Sieve, rows_of
 
 #: A pair at similarity s shares a band with probability 1 - (1 - s**4)**12: 0.998 at 0.8, 0.99999 at 0.9.
-SHINGLE, ROWS, BANDS, PERCENT = 8, 4, 12, 80
-LINES = "doc_id long, doc_hash long, line int, node long, keys array<long>"
+SHINGLE, ROWS, BANDS, PERCENT = 8, 4, 12, 80  # SHINGLE bytes are one machine word
+#: Values of the signature that may differ, of ROWS * BANDS; a pair at 0.8 has more with a probability of about 0.00006.
+UNLIKE = 20
+LINES = "doc_id long, doc_hash long, line int, node long, keys array<long>, s0 long, s1 long, s2 long"
 
 
 def trimmed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -40,11 +42,15 @@ def trimmed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, line by line with repeats, and the first of each line (n + 1 values)."""
-    prefix = prefix_hash(LOWER[data])
     many = np.maximum(end - start - SHINGLE + 1, 1)
-    at = ragged(start, many)
-    stop = np.minimum(at + SHINGLE, np.repeat(end, many))
-    return span_hash(prefix, at, stop, 5), np.append(0, np.cumsum(many))
+    first = np.append(0, np.cumsum(many))
+    padded = np.append(LOWER[data], np.zeros(SHINGLE, np.uint8))
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the SHINGLE bytes from each place on, as a number
+    out = mix(words[ragged(start, many)], 5)
+    for i in np.flatnonzero(end - start < SHINGLE).tolist():
+        whole = padded[start[i] : end[i]].tobytes()
+        out[first[i]] = mix(np.array([int.from_bytes(whole, "little")], U64), 6 + len(whole))[0]
+    return out, first
 
 
 def line_items(cells: pa.Array) -> list[np.ndarray]:
@@ -72,13 +78,17 @@ def _cut(batches):
         start, end, doc, number = trimmed(data, off)
         node = _nodes(data, start, end)
         distinct, index, back = np.unique(node, return_index=True, return_inverse=True)
-        keys = np.zeros((0, BANDS), np.int64)
+        keys, words = np.zeros((0, BANDS), np.int64), np.zeros((3, 0), np.uint64)
         if len(distinct):
             hashes, first = shingle_hashes(data, start[index], end[index])
             values = minima(hashes, first[:-1], ROWS * BANDS)
+            words = sketch(values)
             keys = np.array([mix(combined(values[ROWS * k : ROWS * (k + 1)], 300), 2000 + k) for k in range(BANDS)]).T.view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(keys[back]).reshape(-1)))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), part.column("doc_hash").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(node), lists], names=["doc_id", "doc_hash", "line", "node", "keys"])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id").take(pa.array(doc)), part.column("doc_hash").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(node), lists, *(pa.array(w[back].view(np.int64)) for w in words)],
+            names=[f.split()[0] for f in LINES.split(", ")],
+        )
 
 
 def _texts(sieve: Sieve):
@@ -123,11 +133,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("doc_hash"), F.col(text_col).alias("text")).where("text is not null")
     lines = stored(named.mapInArrow(_cut, LINES), "lines")
-    two, members = setjoin.buckets(lines.select("node", "keys"))
+    two, members = setjoin.buckets(lines.select("node", "keys", "s0", "s1", "s2"))
     wanted = stored(two.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct(), "wanted")
     texts = named.select("text").mapInArrow(_texts(Sieve(rows_of(wanted, "node"))), "node long, items binary")
     sets = stored(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-    found = setjoin.classes(two, members, sets, setjoin.jaccard_at_least(percent, line_items))
+    found = setjoin.classes(two, members, sets, setjoin.jaccard_at_least(percent, line_items), setjoin.similar_sketches(3, UNLIKE))
     place = F.struct("doc_id", "doc_hash", "line")
     several = lines.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("n")).join(found, "node", "left")
     labelled = stored(several.where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node")), "labelled")

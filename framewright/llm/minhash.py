@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from .kernels import U64, mix
+from .kernels import U64, chunks, mix
+
+
+#: Items that are hashed at once: their arrays stay in a core's own cache.
+BLOCK = 1 << 17
 
 
 def minima(items: np.ndarray, start: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
@@ -13,13 +17,25 @@ def minima(items: np.ndarray, start: np.ndarray, count: int, seed: int = 1) -> n
     if not len(start):
         return out
     half = (items >> U64(32)).astype(np.uint32)
-    draw = np.random.default_rng(seed)
-    for k in range(count):
-        flip, factor = draw.integers(0, 1 << 32, 2, dtype=np.uint32)
-        out[k] = np.minimum.reduceat((half ^ flip) * (factor | np.uint32(1)), start)
+    draws = np.random.default_rng(seed).integers(0, 1 << 32, (count, 2), dtype=np.uint32)
+    off = np.append(start, len(items))
+    for a, b in chunks(off, BLOCK):
+        part, first = half[off[a] : off[b]], off[a:b] - off[a]
+        work = np.empty_like(part)
+        for k, (flip, factor) in enumerate(draws):
+            np.bitwise_xor(part, flip, out=work)
+            np.multiply(work, factor | np.uint32(1), out=work)
+            out[k, a:b] = np.minimum.reduceat(work, first)
     return out
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Four bits of each MinHash value, sixteen to a 64-bit word: one row of words per sixteen values."""
+    shift = (U64(4) * np.arange(16, dtype=U64))[:, None]
+    nibbles = (values & np.uint32(15)).astype(U64).reshape(-1, 16, values.shape[1])
+    return np.bitwise_or.reduce(nibbles << shift, axis=1)
+
+
 def combined(rows: np.ndarray, seed: int) -> np.ndarray:
     """One 64-bit value of the given MinHash rows."""
     out = np.zeros(rows.shape[1], U64)

@@ -12,21 +12,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .scratch import drop, stored
+from .components import connected_components, contracted
+from .scratch import stored
 from .sieve import Sieve, rows_of, sifted_keys
 
 #: Centres of a bucket in the first round after the stars, and their growth from round to round.
-CENTRES, GROWTH = 8, 4
+CENTRES, GROWTH = 8, 8
 
 Check = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (node, keys), where a node may repeat: pairs (a, b) of buckets of two rows, members (key, node) of larger ones.
+    """From (node, keys, ...), where a node may repeat: pairs (a, b) of buckets of two rows, members (key, node, ...) of larger ones.
 
     Buckets are counted, with partial sums, before anything is gathered; only members of buckets of three
     or more rows are joined back, and a sieve of those keys thins the rows before that join.
@@ -66,35 +66,56 @@ def jaccard_at_least(percent: int, items: Callable[[pa.Array], list[np.ndarray]]
     return check
 
 
-def classes(two: DataFrame, members: DataFrame, sets: DataFrame, check: Check) -> DataFrame:
-    """(node, component) of every linked node; ``sets`` has (node, items), what ``check`` compares."""
+def similar_sizes(percent: int) -> Column:
+    """Whether the set sizes of a member (n) and a centre (c_n) allow a link."""
+    return 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
+
+
+def similar_sketches(words: int, unlike: int) -> Column:
+    """Whether at most ``unlike`` MinHash values differ in the sketches of a member (s0, s1, ...) and a centre (c_s0, ...)."""
+    differ = F.lit(0)
+    for i in range(words):
+        bits = F.col(f"s{i}").bitwiseXOR(F.col(f"c_s{i}"))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= unlike
+
+
+def classes(two: DataFrame, members: DataFrame, sets: DataFrame, check: Check, maybe: Column) -> DataFrame:
+    """(node, component) of every linked node; ``sets`` has (node, items), what ``check`` compares.
+
+    ``maybe`` rules out pairs of ``members`` by what their rows carry.  Until all links are found, classes only
+    save checks, so each round contracts the links once; all of them are joined to components at the end.
+    """
+    carried = [c for c in members.columns if c != "key"]
 
     def verified(pairs: DataFrame) -> DataFrame:
         whole = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
         whole = whole.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
         return whole.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
-    star = members.groupBy("key").agg(F.min("node").alias("a"))
-    pairs = members.join(star, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    star = members.groupBy("key").agg(F.min(F.struct(*carried)).alias("c")).select("key", *(F.col(f"c.{c}").alias(f"c_{c}") for c in carried))
+    pairs = members.join(star, "key").where("node <> c_node").where(maybe).select(F.col("c_node").alias("a"), F.col("node").alias("b"))
     links = stored(verified(two.unionByName(pairs).distinct()), "links")
-    live = members.join(star.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+    now = stored(contracted(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "contracted")
+    live = members.join(star.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
     centres = CENTRES
     while True:
-        found = stored(connected_components(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "classes")
-        labelled = live.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        labelled = live.join(least, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
         order = Window.partitionBy("key").orderBy("node")
         live = stored(
-            labelled.join(mixed.where("least < most").select("key"), "key").select("key", "node", "component", F.row_number().over(order).alias("place")),
+            labelled.join(mixed.where("least < most").select("key"), "key").select("key", *carried, "component", F.row_number().over(order).alias("place")),
             "live",
         )
         if live.isEmpty():
-            return found
-        centre = live.where(F.col("place") <= centres).select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("place").alias("pa"))
-        pairs = live.join(centre, "key").where("place > pa and component <> ca")
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = stored(verified(pairs), "links")
-        links = links.unionByName(more)
-        live = live.where(F.col("place") > centres).select("key", "node")
+            return stored(connected_components(now), "classes")
+        centre = live.where(F.col("place") <= centres).select("key", *(F.col(c).alias(f"c_{c}") for c in [*carried, "component", "place"]))
+        pairs = live.join(centre, "key").where("place > c_place and component <> c_component").where(maybe)
+        pairs = pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
+        more = verified(pairs).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        now = stored(contracted(now.unionByName(stored(more, "links"))), "contracted")
+        live = live.where(F.col("place") > centres).select("key", *carried)
         centres *= GROWTH
-        drop(found)
