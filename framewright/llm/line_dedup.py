@@ -133,11 +133,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("doc_hash"), F.col(text_col).alias("text")).where("text is not null")
     lines = stored(named.mapInArrow(_cut, LINES), "lines")
-    two, members = setjoin.buckets(lines.select("node", "keys", "s0", "s1", "s2"))
-    wanted = stored(two.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct(), "wanted")
+    members = setjoin.buckets(lines.select("node", "keys", "s0", "s1", "s2"))
+    wanted = stored(members.select("node").distinct(), "wanted")
     texts = named.select("text").mapInArrow(_texts(Sieve(rows_of(wanted, "node"))), "node long, items binary")
     sets = stored(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-    found = setjoin.classes(two, members, sets, setjoin.jaccard_at_least(percent, line_items), setjoin.similar_sketches(3, UNLIKE))
+    found = setjoin.classes(members, sets, setjoin.jaccard_at_least(percent, line_items), setjoin.similar_sketches(3, UNLIKE))
     place = F.struct("doc_id", "doc_hash", "line")
     several = lines.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("n")).join(found, "node", "left")
     labelled = stored(several.where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node")), "labelled")

@@ -90,8 +90,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(rows.mapInArrow(_signed(size, groups), SIGNED), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"), F.min("n_shingles").alias("n"))
     nodes = stored(nodes, "nodes")
-    two, members = setjoin.buckets(nodes.select("node", "keys", "n"))
-    wanted = two.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
+    members = setjoin.buckets(nodes.select("node", "keys", "n"))
+    wanted = members.select("node").distinct()
     wanted = stored(wanted.join(nodes.select("node", "least"), "node"), "wanted")
     # the text of one row of each wanted node; a set is read again from its text, and its node from the set
     least = wanted.select("least").distinct()
@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = texts.unionByName(rows.where("doc_id is null"))
     sets = texts.select("text").mapInArrow(_sets(size), "node long, items binary").join(wanted.select("node"), "node", "left_semi")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
-    found = setjoin.classes(two, members, sets, setjoin.jaccard_at_least(percent), setjoin.similar_sizes(percent))
+    found = setjoin.classes(members, sets, setjoin.jaccard_at_least(percent), setjoin.similar_sizes(percent))
     labelled = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = labelled.select("node", "component").join(least, "component").select("node", "component_id")

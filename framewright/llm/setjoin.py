@@ -25,18 +25,18 @@ CENTRES, GROWTH = 8, 8
 Check = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (node, keys, ...), where a node may repeat: pairs (a, b) of buckets of two rows, members (key, node, ...) of larger ones.
+def buckets(keys: DataFrame) -> DataFrame:
+    """From (node, keys, ...), where a node may repeat: members (key, node, ...) of the buckets of two nodes or more.
 
-    Buckets are counted, with partial sums, before anything is gathered; only members of buckets of three
-    or more rows are joined back, and a sieve of those keys thins the rows before that join.
+    Buckets are found by partial minima and maxima of 32 bits of their nodes, before anything is gathered (two
+    nodes look alike once in 2**32 pairs).  Only their members are joined back, and a sieve of the keys thins the
+    rows before that join.
     """
-    counted = keys.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"))
-    several = stored(counted.where("a < b"), "buckets")
-    two = several.where("n = 2").select("a", "b").distinct()
-    large = several.where("n > 2").select("key")
-    members = stored(sifted_keys(keys, Sieve(rows_of(large, "key"))).join(large, "key").distinct(), "members")
-    return two, members
+    short = F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))
+    each = keys.select(F.explode("keys").alias("key"), short.alias("short"))
+    several = each.groupBy("key").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("key")
+    several = stored(several, "buckets")
+    return stored(sifted_keys(keys, Sieve(rows_of(several, "key"))).join(several, "key").distinct(), "members")
 
 
 def stored_sets(cells: pa.Array) -> list[np.ndarray]:
@@ -82,7 +82,7 @@ def similar_sketches(words: int, unlike: int) -> Column:
     return differ <= unlike
 
 
-def classes(two: DataFrame, members: DataFrame, sets: DataFrame, check: Check, maybe: Column) -> DataFrame:
+def classes(members: DataFrame, sets: DataFrame, check: Check, maybe: Column) -> DataFrame:
     """(node, component) of every linked node; ``sets`` has (node, items), what ``check`` compares.
 
     ``maybe`` rules out pairs of ``members`` by what their rows carry.  Until all links are found, classes only
@@ -97,7 +97,7 @@ def classes(two: DataFrame, members: DataFrame, sets: DataFrame, check: Check, m
 
     star = members.groupBy("key").agg(F.min(F.struct(*carried)).alias("c")).select("key", *(F.col(f"c.{c}").alias(f"c_{c}") for c in carried))
     pairs = members.join(star, "key").where("node <> c_node").where(maybe).select(F.col("c_node").alias("a"), F.col("node").alias("b"))
-    links = stored(verified(two.unionByName(pairs).distinct()), "links")
+    links = stored(verified(pairs.distinct()), "links")
     now = stored(contracted(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "contracted")
     live = members.join(star.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
     centres = CENTRES
