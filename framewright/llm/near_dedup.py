@@ -39,7 +39,7 @@ def table_keys(items: np.ndarray, start: np.ndarray, groups: int) -> np.ndarray:
     return np.array(keys, U64).reshape(len(keys), len(start)).T
 
 
-def _signed(size: int, groups: int):
+def _signed(size: int, groups: int, carried: list[str]):
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), size))
@@ -53,12 +53,13 @@ def _signed(size: int, groups: int):
             where[1:] = np.cumsum(n > 0) * groups * groups
             yield pa.RecordBatch.from_arrays(
                 [
+                    *batch.select(carried).columns,
                     batch.column("doc_id"),
                     pa.array(n),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(where), pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64))),
                 ],
-                names=["doc_id", "n_shingles", "node", "keys"],
+                names=[*carried, "doc_id", "n_shingles", "node", "keys"],
             )
 
     return run
@@ -73,21 +74,11 @@ def _sets(size: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, groups: int = GROUPS) -> DataFrame:
-    """Classes of near copies: (doc_id, n_shingles, component_id, kept), one row per input row.
-
-    Words are runs of anything but ASCII white space, A-Z lowered; a document's set is its distinct ``size``-word
-    shingles, or the whole sequence if it has fewer words.  Documents are linked when 100 * intersection >=
-    percent * union.  ``component_id`` is the smallest id reachable; ``kept`` marks its row(s).
-
-    Null, empty and wordless texts have an empty set, link with nothing and are kept.  Rows with equal sets are
-    one node, so repeated rows and large groups of copies cost one node.  A null id is never a component's id
-    unless its component has no other.  Rows that share the smallest id and its text are all kept.  An empty
-    table gives an empty table; other columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounded_batches(docs.sparkSession)
-    signed = stored(rows.mapInArrow(_signed(size, groups), SIGNED), "signed")
+def _labelled(rows: DataFrame, size: int, percent: int, groups: int) -> DataFrame:
+    """(..., doc_id, n_shingles, node, component, component_id), one row per row (..., doc_id, text); component is a node."""
+    bounded_batches(rows.sparkSession)
+    carried = [c for c in rows.columns if c not in ("doc_id", "text")]
+    signed = stored(rows.mapInArrow(_signed(size, groups, carried), ", ".join([*(f"{c} long" for c in carried), SIGNED])), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"), F.min("n_shingles").alias("n"))
     nodes = stored(nodes, "nodes")
     members = setjoin.buckets(nodes.select("node", "keys", "n"))
@@ -103,7 +94,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = setjoin.classes(members, sets, setjoin.jaccard_at_least(percent), setjoin.similar_sizes(percent))
     labelled = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = labelled.select("node", "component").join(least, "component").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    by_node = labelled.select("node", "component").join(least, "component")
+    return signed.select(*carried, "doc_id", "n_shingles", "node").join(by_node, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, groups: int = GROUPS) -> DataFrame:
+    """Classes of near copies: (doc_id, n_shingles, component_id, kept), one row per input row.
+
+    Words are runs of anything but ASCII white space, A-Z lowered; a document's set is its distinct ``size``-word
+    shingles, or the whole sequence if it has fewer words.  Documents are linked when 100 * intersection >=
+    percent * union.  ``component_id`` is the smallest id reachable; ``kept`` marks its row(s).
+
+    Null, empty and wordless texts have an empty set, link with nothing and are kept.  Rows with equal sets are
+    one node, so repeated rows and large groups of copies cost one node.  A null id is never a component's id
+    unless its component has no other.  Rows that share the smallest id and its text are all kept.  An empty
+    table gives an empty table; other columns are ignored.
+    """
+    out = _labelled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), size, percent, groups)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, groups: int = GROUPS) -> DataFrame:
+    """``docs`` with exactly one row of each class of near copies, as ``near_duplicates`` has them.
+
+    It is that of the smallest id (null ids come last), equal ids by a hash of the row, equal rows by their place.
+    Rows are told apart by their place, so null, repeated and shared ids are no exception.  Rows of an empty set stay.
+    """
+    placed = stored(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__order", F.xxhash64(*docs.columns)), "placed")
+    rows = placed.select("__row", "__order", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    labelled = stored(_labelled(rows, size, percent, groups).where("node is not null"), "placed-classes")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__order", "__row")
+    stays = labelled.groupBy("component").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1")
+    gone = labelled.join(stays.select("component", F.col("least.__row").alias("__stays")), "component").where("__row <> __stays")
+    return placed.join(gone.select("__row"), "__row", "left_anti").select(docs.columns)

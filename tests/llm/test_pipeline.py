@@ -44,6 +44,25 @@ def test_one_of_each_class_stays(stages):
     assert set(by_id(stages[3])) == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_one_row_of_each_class_stays_with_odd_ids(spark, sf_dir):
+    copy, near, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
+    edited = near + " tail"
+    rows = [(None, copy), (None, copy + " x"), (4, copy + " y"), (1, near), (1, near), (9, near), (None, edited)]
+    rows += [(7, near), (7, other)]  # an id on a near copy and on a clean text
+    rows += [(None, "only null ids " + other[5:]), (None, "only null ids " + other[5:]), (None, None), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, docs, sf_dir).collect()), key=str)
+    texts = [(4, copy + " y"), (1, near), (3, ""), (3, ""), (None, None), (None, None)]
+    # the last two texts are one class (55 of 60 words), whose smallest id is 7
+    assert out == sorted([*texts, (7, other)], key=str)
+
+
+def test_null_ids_alone_are_told_apart(spark, sf_dir):
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in ("a", "b")]
+    docs = spark.createDataFrame([(None, t, "en", "s", 0) for t in texts * 3], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text for r in pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == texts
+
+
 def test_contaminated_documents_go(spark, sf_dir, stages):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     want = brute.contamination(list(by_id(stages[3]).items()), items, 10)
