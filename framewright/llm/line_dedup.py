@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard checks and distributed union-find.
 
 A line is what stands between line feeds, white space at its ends and case of A-Z aside.  Its set is its
-distinct SHINGLE-byte substrings, or the whole line if it is shorter.  Lines of BANDS bands of ROWS MinHash
+distinct substrings of SHINGLE code points, or the whole line if it is shorter.  Lines of BANDS bands of ROWS MinHash
 values that share a band are candidates; links have 100 * intersection >= percent * union on the full sets;
 of each component of linked lines the first occurrence, by document and line number, stays.
 """
@@ -21,7 +21,8 @@ from .session import bounded_batches
 from .sieve import Sieve, rows_of
 
 #: A pair at similarity s shares a band with probability 1 - (1 - s**4)**12: 0.998 at 0.8, 0.99999 at 0.9.
-SHINGLE, ROWS, BANDS, PERCENT = 8, 4, 12, 80  # SHINGLE bytes are one machine word
+SHINGLE, ROWS, BANDS, PERCENT = 5, 4, 12, 80
+BASE = U64(0x9E3779B97F4A7C15)
 #: Values of the signature that may differ, of ROWS * BANDS; a pair at 0.8 has more with a probability of about 0.00006.
 UNLIKE = 20
 LINES = "doc_id long, doc_hash long, line int, node long, keys array<long>, s0 long, s1 long, s2 long"
@@ -42,14 +43,26 @@ def trimmed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, line by line with repeats, and the first of each line (n + 1 values)."""
-    many = np.maximum(end - start - SHINGLE + 1, 1)
+    padded = np.append(LOWER[data], np.zeros(4, np.uint8))
+    heads = np.append(np.flatnonzero((padded[: len(data)] & 0xC0) != 0x80), len(data))  # where code points begin
+    bytes_of = np.ndarray(len(data) + 1, "<u4", padded, strides=(1,))[heads[:-1]]
+    codes = (bytes_of & (np.uint32(0xFFFFFFFF) >> (32 - 8 * np.diff(heads)).astype(np.uint32))).astype(U64)
+    at = np.searchsorted(heads, start)
+    chars = np.searchsorted(heads, end) - at
+    many = np.maximum(chars - SHINGLE + 1, 1)
     first = np.append(0, np.cumsum(many))
-    padded = np.append(LOWER[data], np.zeros(SHINGLE, np.uint8))
-    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the SHINGLE bytes from each place on, as a number
-    out = mix(words[ragged(start, many)], 5)
-    for i in np.flatnonzero(end - start < SHINGLE).tolist():
-        whole = padded[start[i] : end[i]].tobytes()
-        out[first[i]] = mix(np.array([int.from_bytes(whole, "little")], U64), 6 + len(whole))[0]
+    run = np.zeros(max(len(codes) - SHINGLE + 1, 0), U64)  # a polynomial of the SHINGLE code points from each place on
+    for k in range(SHINGLE if len(run) else 0):
+        run = run * BASE + codes[k : len(run) + k]
+    full = np.where(chars >= SHINGLE, many, 0)
+    out = np.zeros(first[-1], U64)
+    out[np.repeat(chars >= SHINGLE, many)] = mix(run, 5)[ragged(at, full)] if len(run) else 0
+    for size in range(1, SHINGLE):
+        short = np.flatnonzero(chars == size)
+        whole = np.zeros(len(short), U64)
+        for k in range(size):
+            whole = whole * BASE + codes[at[short] + k]
+        out[first[short]] = mix(whole, 6 + size)
     return out, first
 
 

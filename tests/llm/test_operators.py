@@ -73,6 +73,27 @@ def test_line_dedup(spark, sf_dir, odd):
         assert {r.doc_id: r.text for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("line", ["Posted by Anna on 12 March 2021 at the front page, all rights reserved", "Все права защищены, страница обновлена 12 марта 2021 года, читать далее", "本網站所有內容均受版權保護未經許可不得轉載或複製更新日期二零二一年三月十二日請點擊此處閱讀全文了解更多詳情謝謝"])
+def test_one_letter_edits_of_short_lines_are_found(spark, line):
+    assert len(line) < 79
+    edited = line[:30] + "ж" + line[31:]  # one letter in mid-line
+    size = 5  # of its own, in code points
+    a, b = ({x[i : i + size] for i in range(len(x) - size + 1)} for x in (line, edited))
+    assert 100 * len(a & b) >= 80 * len(a | b)
+    docs = spark.createDataFrame([(1, line), (2, "ab\n" + edited), (3, line[:20]), (4, "ab")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: line, 2: "ab", 3: line[:20], 4: ""}
+
+
+def test_shingles_are_code_points():
+    lines = ["naïve ÜBER", "ab", "日本語", "日本語の文章", "", "😀😀😀😀😀😁", "abcde", "x"]
+    raw = [x.encode() for x in lines]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    off = np.cumsum([0, *map(len, raw)])
+    hashes, first = line_dedup.shingle_hashes(data, off[:-1][off[1:] > off[:-1]], off[1:][off[1:] > off[:-1]])
+    want = [brute.low(x)[i : i + 5] for x in lines if x for i in range(max(1, len(x) - 4))]
+    assert len(hashes) == len(want) == first[-1] and len(set(zip(want, hashes.tolist()))) == len(set(want)) == len(set(hashes.tolist()))
+
+
 def test_line_dedup_of_nothing_and_nulls(empty, nulls):
     assert line_dedup.dedup_lines(empty).collect() == []
     got = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in line_dedup.dedup_lines(nulls).collect())
