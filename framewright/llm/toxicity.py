@@ -4,8 +4,9 @@ A text's terms are its words and their first 4 and 5 bytes, each hashed to one o
 counted once.  score = sigmoid(bias + sum w_i + sum_{i<j} <v_i, v_j>): the pairwise part learns what terms
 mean together, such as an insult beside the name of a group, which added weights can't.
 
-Fitting is on a bounded sample of labelled rows; the buckets that tell the labels apart in that sample, by
-likelihood ratio, are the machine's inputs.  Scoring is one map over whole texts.
+Fitting is on a bounded sample of labelled rows.  The machine's inputs are the buckets that tell the labels apart
+in that sample, by likelihood ratio, and those of all pairs of buckets that tell what a first machine leaves
+unexplained, whether or not either tells anything alone.  Scoring is one map over whole texts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ FACTORS, STEPS, BATCH, RATE, THRESHOLD = 8, 3000, 256, 0.02, 0.7
 DECAY_WEIGHTS, DECAY_FACTORS = 1e-5, 1e-5
 #: Least likelihood ratio (twice the log) of a chosen term, and least rows it stands in.
 LEAST_RATIO, LEAST_ROWS = 14.0, 3
+#: Least likelihood ratio of a pair against a machine: so many more pairs are tested than terms.
+LEAST_PAIR_RATIO = 36.0
+#: Rows and columns of a block of the counts of pairs.
+PAIR_ROWS, PAIR_COLUMNS = 512, 256
 
 
 @dataclass
@@ -106,6 +111,55 @@ def _chosen(counts: DataFrame, rows: list[int]) -> np.ndarray:
     return np.sort(np.array([r.bucket for r in top.select("bucket").collect()], np.int64))
 
 
+def _surprise(machine: Machine):
+    """(bucket, label, d): of each label's rows, a bound on the likelihood ratio of any pair with the bucket.
+
+    A pair seen in n rows of a label, of expected number e, has the ratio 2 (n log(n / e) - n + e).  By Jensen's
+    inequality that is at most the sum of 2 (q - 1 - log q) over these rows, q being the label's probability.
+    """
+
+    def run(batches):
+        total = np.zeros((2, 1 << TERM_BITS))
+        for part, data, off in _chunks(batches):
+            score = machine.scores(*terms(data, off, machine.place))
+            label = part.column("label").to_numpy(zero_copy_only=False)
+            q = np.clip(np.where(label > 0, score, 1 - score), 1e-12, 1)
+            first, buckets = terms(data, off)
+            row = np.repeat(np.arange(len(q)), np.diff(first))
+            for k in (0, 1):
+                total[k] += np.bincount(buckets, np.where(label == k, 2 * (q - 1 - np.log(q)), 0)[row], minlength=1 << TERM_BITS)
+        for k in (0, 1):
+            some = np.flatnonzero(total[k] > 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), k, np.int64)), pa.array(total[k][some])], names=["bucket", "label", "d"])
+
+    return run
+
+
+def _telling_pairs(shared, width: int):
+    """(input): those of all pairs with an input of a block (id) that stand in the rows seen more often than expected.
+
+    ``shared`` has first, inputs, whether each row is seen, and the probability of that.
+    """
+
+    def run(batches):
+        first, inputs, seen, expected = shared.value
+        for batch in batches:
+            for a in (PAIR_COLUMNS * i for i in batch.column("id").to_pylist()):
+                b = min(a + PAIR_COLUMNS, width)
+                n, e = np.zeros((b - a, width), np.float32), np.zeros((b - a, width), np.float32)
+                for r in range(0, len(seen), PAIR_ROWS):
+                    stop = min(r + PAIR_ROWS, len(seen))
+                    x = np.zeros((stop - r, width), np.float32)
+                    x[np.repeat(np.arange(stop - r), np.diff(first[r : stop + 1])), inputs[first[r] : first[stop]]] = 1
+                    n += x[seen[r:stop], a:b].T @ x[seen[r:stop]]
+                    e += (x[:, a:b] * expected[r:stop, None].astype(np.float32)).T @ x
+                tells = (n > e) & (2 * (n * np.log(np.maximum(n, 1) / np.maximum(e, np.float32(1e-12))) - n + e) >= LEAST_PAIR_RATIO)
+                tells[np.arange(b - a), np.arange(a, b)] = False
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(tells.any(axis=0)))], names=["input"])
+
+    return run
+
+
 def learn(first: np.ndarray, inputs: np.ndarray, label: np.ndarray, width: int, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by Adam on the logistic loss over minibatches."""
     rng, n = np.random.default_rng(seed), len(label)
@@ -148,20 +202,48 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
     per_label = [many.get(0, 0), many.get(1, 0)]
     spread = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
     chosen = _chosen(spread.select("text", "label").mapInArrow(_counted, "bucket long, label long, n long"), per_label) if min(per_label) else np.zeros(0, np.int64)
-    place = np.full(1 << TERM_BITS, -1, np.int16)
-    place[chosen] = np.arange(len(chosen))
-
-    def inputs(batches):
-        for part, data, off in _chunks(batches):
-            first, found = terms(data, off, place)
-            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("g"), part.column("label"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found))], names=["h", "g", "label", "inputs"])
-
-    got = spread.mapInArrow(inputs, "h long, g long, label long, inputs array<long>").orderBy("h", "g").toArrow()  # sample_rows rows at most
-    lists = got.column("inputs").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    first = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
-    bias, weight, factor = learn(first, lists.flatten().to_numpy(zero_copy_only=False), got.column("label").to_numpy().astype(float), len(chosen))
-    return Machine(place, bias, weight, factor)
+    spread = spread.select("h", "g", "text", "label")
+
+    def rows_of(chosen):
+        """The rows of the sample by their inputs among the chosen buckets: place of each bucket, first, inputs, labels."""
+        place = np.full(1 << TERM_BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+
+        def run(batches):
+            for part, data, off in _chunks(batches):
+                first, found = terms(data, off, place)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(found.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("g"), part.column("label"), lists], names=["h", "g", "label", "inputs"])
+
+        got = spread.mapInArrow(run, "h long, g long, label long, inputs array<int>").orderBy("h", "g").toArrow()  # sample_rows rows at most
+        lists = got.column("inputs").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        first = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+        return place, first, lists.flatten().to_numpy(zero_copy_only=False), got.column("label").to_numpy().astype(float)
+
+    def machine_of(place, first, inputs, label):
+        return Machine(place, *learn(first, inputs, label, int(place.max()) + 1))
+
+    alone = rows_of(chosen)
+    machine = machine_of(*alone)
+    if not min(per_label):
+        return machine
+    bounds = spread.select("text", "label").mapInArrow(_surprise(machine), "bucket long, label long, d double").groupBy("label", "bucket").agg(F.sum("d").alias("d"))
+    bounds = bounds.where(F.col("d") >= LEAST_PAIR_RATIO).collect()
+    more = []
+    for k in (0, 1):
+        able = np.sort(np.array([r.bucket for r in bounds if r.label == k], np.int64))
+        if len(able) > 1:
+            _, first, inputs, label = rows_of(able)
+            score = machine.scores(*alone[1:3])
+            shared = spread.sparkSession.sparkContext.broadcast((first, inputs, label == k, score if k else 1 - score))
+            blocks = -(-len(able) // PAIR_COLUMNS)
+            found = spread.sparkSession.range(0, blocks, 1, blocks).mapInArrow(_telling_pairs(shared, len(able)), "input long").distinct().collect()
+            shared.destroy()
+            more.append(able[np.array([r.input for r in found], np.int64)])
+            del first, inputs, label, score, shared
+    both = np.unique(np.concatenate([chosen, *more]))
+    return machine if len(both) == len(chosen) else machine_of(*rows_of(both))
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

@@ -247,6 +247,21 @@ def test_pairs_of_terms_are_learned():
     assert factor[0] @ factor[1] > 0.5
 
 
+def test_pairs_that_tell_nothing_alone_are_learned_from_texts(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in "klmn"]
+    rows = []
+    for i in range(1600):
+        insult, group = i % 2, i // 2 % 2
+        text = rng.sample(words, 12) + ["zorp"] * insult + ["quib"] * group
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(insult == group)))  # each of the two words is as common in either label
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    machine = toxicity.fit(docs.where("doc_id < 1200"))
+    held = toxicity.score(docs.where("doc_id >= 1200"), machine, threshold=0.5).collect()
+    assert sum(r.predicted == r.label for r in held) >= 0.95 * len(held)
+
+
 def test_toxicity_of_nothing_and_nulls(spark, empty, nulls, odd):
     none = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, label int"))
     assert toxicity.score(empty, none).collect() == []
