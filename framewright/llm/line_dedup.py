@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 
 from . import setjoin
 from .kernels import LOWER, NON_NEWLINE, NON_SPACE, U64, chunks, mix, prefix_hash, ragged, span_hash, spans, utf8
-from .minhash import combined, minima, sketch
+from .minhash import combined, minima
 from .scratch import stored
 from .session import bounded_batches
-from .sieve import Sieve, rows_of
+from .sieve import Sieve, rows_of, sifted
 
-#: A pair at similarity s shares a band with probability 1 - (1 - s**4)**12: 0.998 at 0.8, 0.99999 at 0.9.
-SHINGLE, ROWS, BANDS, PERCENT = 5, 4, 12, 80
+#: A pair at similarity s shares a band with probability 1 - (1 - s**5)**16: 0.998 at 0.8, 0.999999 at 0.9.
+SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 16, 80
 BASE = U64(0x9E3779B97F4A7C15)
-#: Values of the signature that may differ, of ROWS * BANDS; a pair at 0.8 has more with a probability of about 0.00006.
-UNLIKE = 20
-LINES = "doc_id long, doc_hash long, line int, node long, keys array<long>, s0 long, s1 long, s2 long"
+SQUARE = U64(pow(0x9E3779B97F4A7C15, 2, 1 << 64))
+#: Bytes of text cut at once: the arrays stay in a core's own cache.
+BLOCK = 1 << 18
+LINES = "doc_id long, doc_hash long, line int, node long, keys array<long>, n long, " + ", ".join(f"m{i} long" for i in range(setjoin.WORDS))
 
 
 def trimmed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -43,42 +44,61 @@ def trimmed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, line by line with repeats, and the first of each line (n + 1 values)."""
-    padded = np.append(LOWER[data], np.zeros(4, np.uint8))
-    heads = np.append(np.flatnonzero((padded[: len(data)] & 0xC0) != 0x80), len(data))  # where code points begin
-    bytes_of = np.ndarray(len(data) + 1, "<u4", padded, strides=(1,))[heads[:-1]]
-    codes = (bytes_of & (np.uint32(0xFFFFFFFF) >> (32 - 8 * np.diff(heads)).astype(np.uint32))).astype(U64)
-    at = np.searchsorted(heads, start)
-    chars = np.searchsorted(heads, end) - at
+    data = LOWER[data]
+    lead = (data & 0xC0) != 0x80  # where code points begin
+    if lead.all():
+        codes, at, chars = data.astype(U64), start, end - start
+    else:
+        padded, heads = np.append(data, np.zeros(4, np.uint8)), np.append(np.flatnonzero(lead), len(data))
+        bytes_of = np.ndarray(len(data) + 1, "<u4", padded, strides=(1,))[heads[:-1]]
+        codes = (bytes_of & (np.uint32(0xFFFFFFFF) >> (32 - 8 * np.diff(heads)).astype(np.uint32))).astype(U64)
+        upto = np.append(0, np.cumsum(lead))
+        at, chars = upto[start], upto[end] - upto[start]
     many = np.maximum(chars - SHINGLE + 1, 1)
     first = np.append(0, np.cumsum(many))
-    run = np.zeros(max(len(codes) - SHINGLE + 1, 0), U64)  # a polynomial of the SHINGLE code points from each place on
-    for k in range(SHINGLE if len(run) else 0):
-        run = run * BASE + codes[k : len(run) + k]
-    full = np.where(chars >= SHINGLE, many, 0)
+    whole = chars >= SHINGLE
     out = np.zeros(first[-1], U64)
-    out[np.repeat(chars >= SHINGLE, many)] = mix(run, 5)[ragged(at, full)] if len(run) else 0
+    if whole.any():  # a polynomial of the SHINGLE code points from each place on
+        two = codes[:-1] * BASE + codes[1:]
+        run = (two[:-2] * SQUARE + two[2:])[: len(codes) - 4] * BASE + codes[4:]
+        out[np.repeat(whole, many)] = mix(run, 5)[ragged(at, np.where(whole, many, 0))]
     for size in range(1, SHINGLE):
         short = np.flatnonzero(chars == size)
-        whole = np.zeros(len(short), U64)
+        value = np.zeros(len(short), U64)
         for k in range(size):
-            whole = whole * BASE + codes[at[short] + k]
-        out[first[short]] = mix(whole, 6 + size)
+            value = value * BASE + codes[at[short] + k]
+        out[first[short]] = mix(value, 6 + size)
     return out, first
 
 
+def distinct_shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each line, and the first of each (n + 1 values); all lines are sorted at once.
+
+    Shingles are told apart by the bits that the line's number leaves of 64.
+    """
+    n = len(first) - 1
+    bits = U64(max(n.bit_length(), 1))
+    owner = np.repeat(np.arange(n, dtype=U64), np.diff(first))
+    both = np.sort((owner << (U64(64) - bits)) | (hashes >> bits))
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return both << bits, np.searchsorted(both >> (U64(64) - bits), np.arange(n + 1, dtype=U64))
+
+
 def line_items(cells: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each stored line; equal cells of a column are hashed once."""
     coded = cells.dictionary_encode()
     data, off = utf8(coded.dictionary.cast(pa.string()))
-    hashes, first = shingle_hashes(data, off[:-1], off[1:])
-    sets = [np.unique(hashes[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    sets: list[np.ndarray] = []
+    for a, b in chunks(off, BLOCK):
+        hashes, first = shingle_hashes(data[off[a] : off[b]], off[a:b] - off[a], off[a + 1 : b + 1] - off[a])
+        sets += [np.unique(hashes[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
     return [sets[k] for k in coded.indices.to_pylist()]
 
 
 def _chunks(batches):
     for batch in batches:
         data, off = utf8(batch.column("text"))
-        for a, b in chunks(off):
+        for a, b in chunks(off, BLOCK):
             yield batch.slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
@@ -87,19 +107,23 @@ def _nodes(data, start, end) -> np.ndarray:
 
 
 def _cut(batches):
+    """LINES rows; only the first of equal lines of a chunk has keys."""
     for part, data, off in _chunks(batches):
         start, end, doc, number = trimmed(data, off)
         node = _nodes(data, start, end)
         distinct, index, back = np.unique(node, return_index=True, return_inverse=True)
-        keys, words = np.zeros((0, BANDS), np.int64), np.zeros((3, 0), np.uint64)
+        keys, size, bits = np.zeros((0, BANDS), np.int64), np.zeros(0, np.int64), np.zeros((setjoin.WORDS, 0), np.int64)
         if len(distinct):
-            hashes, first = shingle_hashes(data, start[index], end[index])
-            values = minima(hashes, first[:-1], ROWS * BANDS)
-            words = sketch(values)
+            items, first = distinct_shingles(*shingle_hashes(data, start[index], end[index]))
+            size = np.diff(first)
+            bits = setjoin.bitmaps(items >> U64(40), np.repeat(np.arange(len(size)), size), len(size))
+            values = minima(items, first[:-1], ROWS * BANDS)
             keys = np.array([mix(combined(values[ROWS * k : ROWS * (k + 1)], 300), 2000 + k) for k in range(BANDS)]).T.view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(keys[back]).reshape(-1)))
+        fresh = np.zeros(len(node), bool)
+        fresh[index] = True
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(fresh) * BANDS).astype(np.int32)), pa.array(np.ascontiguousarray(keys[back[fresh]]).reshape(-1)))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(pa.array(doc)), part.column("doc_hash").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(node), lists, *(pa.array(w[back].view(np.int64)) for w in words)],
+            [part.column("doc_id").take(pa.array(doc)), part.column("doc_hash").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(node), lists, pa.array(size[back]), *(pa.array(w[back]) for w in bits)],
             names=[f.split()[0] for f in LINES.split(", ")],
         )
 
@@ -123,13 +147,14 @@ def _removed(kept: list[str], text_col: str):
     def run(batches):
         for batch in batches:
             texts, lines, many = [], [], []
-            for text, gone in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+            row = dict(zip(kept, batch.column("row").flatten(), strict=True))
+            for text, gone in zip(row[text_col].to_pylist(), batch.column("__gone").to_pylist(), strict=True):
                 cut = set(gone or ())
                 parts = text.split("\n") if text else []
                 lines.append(len(parts))
                 many.append(len(cut))
                 texts.append("\n".join(p for i, p in enumerate(parts) if i not in cut) if cut else text)
-            columns = {c: batch.column(c) for c in kept} | {text_col: pa.array(texts, pa.string())}
+            columns = row | {text_col: pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([*(columns[c] for c in kept), pa.array(lines, pa.int64()), pa.array(many, pa.int64())], names=[*kept, "n_lines", "n_removed"])
 
     return run
@@ -146,20 +171,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("doc_hash"), F.col(text_col).alias("text")).where("text is not null")
     lines = stored(named.mapInArrow(_cut, LINES), "lines")
-    members = setjoin.buckets(lines.select("node", "keys", "s0", "s1", "s2"))
-    wanted = stored(members.select("node").distinct(), "wanted")
-    texts = named.select("text").mapInArrow(_texts(Sieve(rows_of(wanted, "node"))), "node long, items binary")
-    sets = stored(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-    found = setjoin.classes(members, sets, setjoin.jaccard_at_least(percent, line_items), setjoin.similar_sketches(3, UNLIKE))
     place = F.struct("doc_id", "doc_hash", "line")
-    several = lines.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("n")).join(found, "node", "left")
-    labelled = stored(several.where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node")), "labelled")
+    several = stored(lines.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("n")), "occurrences")
+
+    def items_of(wanted: DataFrame) -> DataFrame:
+        """The text of each wanted line, from the document of its first occurrence."""
+        homes = several.join(wanted, "node", "left_semi").select("least.doc_hash")
+        texts = sifted(named.select("doc_hash", "text"), "doc_hash", Sieve(rows_of(homes, "doc_hash"))).select("text").mapInArrow(_texts(Sieve(rows_of(wanted, "node"))), "node long, items binary")
+        return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    members = setjoin.buckets(lines.select("node", *setjoin.CARRIED, "keys"))
+    found = setjoin.classes(members, items_of, setjoin.jaccard_at_least(percent, line_items), percent)
+    labelled = several.join(found, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    labelled = stored(labelled, "labelled")
     stays = labelled.groupBy("component").agg(F.min("least").alias("least"))
-    goes = labelled.select("node", "component").join(stays, "component").select("node", "least")
-    gone = lines.select("node", "doc_id", "doc_hash", "line").join(goes, "node").where(~place.eqNullSafe(F.col("least")))
+    goes = stored(labelled.select("node", "component").join(stays, "component").select("node", "least"), "goes")
+    at = sifted(lines.select("node", "doc_id", "doc_hash", "line"), "node", Sieve(rows_of(goes, "node")))
+    gone = at.join(goes, "node").where(~place.eqNullSafe(F.col("least")))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_set("line").alias("__gone"))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__id", "__hash", "__gone")]
-    both = docs.select(*kept).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    both = whole.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), "n_lines long", "n_removed long"])
-    return both.select(*kept, "__gone").mapInArrow(_removed(kept, text_col), schema)
+    return both.select("row", "__gone").mapInArrow(_removed(kept, text_col), schema)
 

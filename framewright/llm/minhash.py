@@ -29,13 +29,6 @@ def minima(items: np.ndarray, start: np.ndarray, count: int, seed: int = 1) -> n
     return out
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """Four bits of each MinHash value, sixteen to a 64-bit word: one row of words per sixteen values."""
-    shift = (U64(4) * np.arange(16, dtype=U64))[:, None]
-    nibbles = (values & np.uint32(15)).astype(U64).reshape(-1, 16, values.shape[1])
-    return np.bitwise_or.reduce(nibbles << shift, axis=1)
-
-
 def combined(rows: np.ndarray, seed: int) -> np.ndarray:
     """One 64-bit value of the given MinHash rows."""
     out = np.zeros(rows.shape[1], U64)

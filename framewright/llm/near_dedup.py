@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .kernels import U64, mix, shingle_sets
+from .kernels import U64, chunks, mix, shingle_sets, utf8
 from .minhash import combined, minima
 from .scratch import stored
 from .session import bounded_batches
@@ -22,7 +22,9 @@ from .sieve import Sieve, rows_of, sifted
 
 #: Groups in each of the two collections.  A pair at similarity s shares a key with probability (1 - (1 - s^2)^M)^2: 0.9994 at 0.8.
 GROUPS = 8
-SIGNED = "doc_id long, n_shingles long, node long, keys array<long>"
+SIGNED = "doc_id long, n_shingles long, node long, keys array<long>, " + ", ".join(f"m{i} long" for i in range(setjoin.WORDS))
+#: Bytes of text whose sets are held at once.
+BLOCK = 1 << 20
 
 
 def node_of(items: np.ndarray) -> int:
@@ -40,27 +42,34 @@ def table_keys(items: np.ndarray, start: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _signed(size: int, groups: int, carried: list[str]):
+    def signed(batch):
+        sets = list(shingle_sets(batch.column("text"), size))
+        n = np.array([len(s) for s in sets], np.int64)
+        full = np.flatnonzero(n)
+        keys, bits = np.zeros((0, groups * groups), U64), np.zeros((setjoin.WORDS, len(n)), np.int64)
+        if len(full):
+            start, items = np.r_[0, np.cumsum(n[full])[:-1]], np.concatenate([sets[i] for i in full])
+            keys = table_keys(items, start, groups)
+            bits = setjoin.bitmaps(items, np.repeat(np.arange(len(n)), n), len(n))
+        where = np.zeros(len(n) + 1, np.int32)
+        where[1:] = np.cumsum(n > 0) * groups * groups
+        return pa.RecordBatch.from_arrays(
+            [
+                *batch.select(carried).columns,
+                batch.column("doc_id"),
+                pa.array(n),
+                pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(where), pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64))),
+                *(pa.array(w) for w in bits),
+            ],
+            names=[*carried, *(f.split()[0] for f in SIGNED.split(", "))],
+        )
+
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), size))
-            n = np.array([len(s) for s in sets], np.int64)
-            full = np.flatnonzero(n)
-            keys = np.zeros((0, groups * groups), U64)
-            if len(full):
-                start = np.r_[0, np.cumsum(n[full])[:-1]]
-                keys = table_keys(np.concatenate([sets[i] for i in full]), start, groups)
-            where = np.zeros(len(n) + 1, np.int32)
-            where[1:] = np.cumsum(n > 0) * groups * groups
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.select(carried).columns,
-                    batch.column("doc_id"),
-                    pa.array(n),
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(where), pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64))),
-                ],
-                names=[*carried, "doc_id", "n_shingles", "node", "keys"],
-            )
+            _, off = utf8(batch.column("text"))
+            for a, b in chunks(off, BLOCK):
+                yield signed(batch.slice(a, b - a))
 
     return run
 
@@ -68,8 +77,10 @@ def _signed(size: int, groups: int, carried: list[str]):
 def _sets(size: int):
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column("text"), size))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
+            _, off = utf8(batch.column("text"))
+            for a, b in chunks(off, BLOCK):
+                sets = list(shingle_sets(batch.column("text").slice(a, b - a), size))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
     return run
 
@@ -79,19 +90,20 @@ def _labelled(rows: DataFrame, size: int, percent: int, groups: int) -> DataFram
     bounded_batches(rows.sparkSession)
     carried = [c for c in rows.columns if c not in ("doc_id", "text")]
     signed = stored(rows.mapInArrow(_signed(size, groups, carried), ", ".join([*(f"{c} long" for c in carried), SIGNED])), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"), F.min("n_shingles").alias("n"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"), F.min("n_shingles").alias("n"), *(F.min(f"m{i}").alias(f"m{i}") for i in range(setjoin.WORDS)))
     nodes = stored(nodes, "nodes")
-    members = setjoin.buckets(nodes.select("node", "keys", "n"))
-    wanted = members.select("node").distinct()
-    wanted = stored(wanted.join(nodes.select("node", "least"), "node"), "wanted")
-    # the text of one row of each wanted node; a set is read again from its text, and its node from the set
-    least = wanted.select("least").distinct()
-    texts = sifted(rows, "doc_id", Sieve(rows_of(least, "least"))).join(least.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-    if not wanted.where("least is null").isEmpty():
-        texts = texts.unionByName(rows.where("doc_id is null"))
-    sets = texts.select("text").mapInArrow(_sets(size), "node long, items binary").join(wanted.select("node"), "node", "left_semi")
-    sets = stored(sets.dropDuplicates(["node"]), "sets")
-    found = setjoin.classes(members, sets, setjoin.jaccard_at_least(percent), setjoin.similar_sizes(percent))
+
+    def items_of(wanted: DataFrame) -> DataFrame:
+        """The set of each wanted node, read again from the text of one of its rows."""
+        least = stored(nodes.select("node", "least").join(wanted, "node", "left_semi").select("least").distinct(), "least")
+        texts = sifted(rows, "doc_id", Sieve(rows_of(least, "least"))).join(least.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+        if not least.where("least is null").isEmpty():
+            texts = texts.unionByName(rows.where("doc_id is null"))
+        sets = texts.select("text").mapInArrow(_sets(size), "node long, items binary").join(wanted, "node", "left_semi")
+        return sets.dropDuplicates(["node"])
+
+    members = setjoin.buckets(nodes.select("node", *setjoin.CARRIED, "keys"))
+    found = setjoin.classes(members, items_of, setjoin.jaccard_at_least(percent), percent)
     labelled = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = labelled.select("node", "component").join(least, "component")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts may be long: few rows and bytes to an Arrow batch keep Python workers small.
-ARROW_ROWS, ARROW_BYTES = "1000", "16m"
+ARROW_ROWS, ARROW_BYTES = "1000", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,40 +1,68 @@
 """From bucket keys to verified links and classes, without all pairs of a bucket.
 
-A bucket is a set of distinct nodes that share a key.  Each round verifies the pairs between a few
-centres of a bucket and its members of other classes; a bucket retires when its members form one class
-or every member has been a centre.  So each pair of a bucket is verified, or already lies in one class:
-no link between classes is lost, and a bucket of near copies costs about as many checks as it has members.
+A bucket is a set of distinct nodes that share a key.  First every member is checked against one centre of its
+bucket.  Then, while a bucket holds several classes, one centre of each class is checked against the members of
+the other classes, and leaves the bucket: nothing of its pairs is open any more.  After ROUNDS of these, what is
+still open is checked at once.  So each pair of a bucket is verified, or ruled out exactly, or already lies in one
+class: no link between classes is lost, no pair is verified twice, and a bucket of near copies costs about as many
+checks as it has members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, contracted
 from .scratch import stored
 from .sieve import Sieve, rows_of, sifted_keys
 
-#: Centres of a bucket in the first round after the stars, and their growth from round to round.
-CENTRES, GROWTH = 8, 8
+#: Rounds of one centre for each class of a bucket, before all that is still open is checked.
+ROUNDS = 3
+#: Words of 64 bits in a set's bitmap.
+WORDS = 4
+#: Columns of what a member carries besides its node: the size of its set and its bitmap.
+CARRIED = ["n", *(f"m{i}" for i in range(WORDS))]
 
 Check = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def bitmaps(items: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """WORDS rows of 64-bit words, a column for each set: which of 64 * WORDS cells hold an odd number of its items.
+
+    ``items`` has the distinct hashes of all sets, and ``owner`` the set of each.  A cell in which two bitmaps
+    differ has an item that only one of the sets has.
+    """
+    cells = 64 * WORDS
+    at = owner * cells + (items & np.uint64(cells - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=sets * cells) & 1).astype(np.uint8).reshape(sets, cells)
+    return np.ascontiguousarray(np.packbits(odd, axis=1, bitorder="little").view(np.int64).T)
+
+
+def may_link(percent: int) -> Column:
+    """Whether sizes and bitmaps of a member and a centre (c_...) allow a link: never false for a pair that is linked.
+
+    The sets differ in d items or more, d being the cells that differ, so of their n + c_n items at most
+    (n + c_n - d) / 2 are shared and the union has at least (n + c_n + d) / 2.
+    """
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"c_m{i}"))) for i in range(WORDS)))
+    both = F.col("n") + F.col("c_n")
+    return (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & (100 * (both - differ) >= percent * (both + differ))
+
+
 def buckets(keys: DataFrame) -> DataFrame:
-    """From (node, keys, ...), where a node may repeat: members (key, node, ...) of the buckets of two nodes or more.
+    """From (node, n, m0, ..., keys), where a node may repeat: members (key, node, ...) of the buckets of two nodes or more.
 
-    Buckets are found by partial minima and maxima of 32 bits of their nodes, before anything is gathered (two
-    nodes look alike once in 2**32 pairs).  Only their members are joined back, and a sieve of the keys thins the
-    rows before that join.
+    Buckets are found by partial minima and maxima of their nodes, before anything is gathered.  Only their
+    members are joined back, and a sieve of the keys thins the rows before that join.
     """
-    short = F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))
-    each = keys.select(F.explode("keys").alias("key"), short.alias("short"))
-    several = each.groupBy("key").agg(F.min("short").alias("a"), F.max("short").alias("b")).where("a < b").select("key")
+    each = keys.select(F.explode("keys").alias("key"), "node")
+    several = each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
     several = stored(several, "buckets")
     return stored(sifted_keys(keys, Sieve(rows_of(several, "key"))).join(several, "key").distinct(), "members")
 
@@ -54,9 +82,6 @@ def jaccard_at_least(percent: int, items: Callable[[pa.Array], list[np.ndarray]]
         for batch in batches:
             keep = []
             for x, y in zip(items(batch.column("sa")), items(batch.column("sb")), strict=True):
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -66,56 +91,63 @@ def jaccard_at_least(percent: int, items: Callable[[pa.Array], list[np.ndarray]]
     return check
 
 
-def similar_sizes(percent: int) -> Column:
-    """Whether the set sizes of a member (n) and a centre (c_n) allow a link."""
-    return 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
+class _Verifier:
+    """Checks pairs of nodes, none of them twice, and reads the items of a node once."""
+
+    def __init__(self, items_of: Callable[[DataFrame], DataFrame], check: Check):
+        self.items_of, self.check = items_of, check
+        self.tested: DataFrame | None = None
+        self.items: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a, b) that are not tested yet, as edges (u, v)."""
+        pairs = pairs.distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.items is not None:
+            wanted = wanted.join(self.items.select("node"), "node", "left_anti")
+        read = stored(self.items_of(stored(wanted, "wanted")), "items")
+        self.items = read if self.items is None else self.items.unionByName(read)
+        whole = pairs.join(self.items.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
+        whole = whole.join(self.items.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
+        found = whole.select("a", "b", "sa", "sb").mapInArrow(self.check, "a long, b long")
+        return stored(found.select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
 
 
-def similar_sketches(words: int, unlike: int) -> Column:
-    """Whether at most ``unlike`` MinHash values differ in the sketches of a member (s0, s1, ...) and a centre (c_s0, ...)."""
-    differ = F.lit(0)
-    for i in range(words):
-        bits = F.col(f"s{i}").bitwiseXOR(F.col(f"c_s{i}"))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
-        differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
-    return differ <= unlike
+def _as_centre(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("key", *(F.col(c).alias(f"c_{c}") for c in ["node", *CARRIED, *more]))
 
 
-def classes(members: DataFrame, sets: DataFrame, check: Check, maybe: Column) -> DataFrame:
-    """(node, component) of every linked node; ``sets`` has (node, items), what ``check`` compares.
+def classes(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], check: Check, percent: int) -> DataFrame:
+    """(node, component) of every linked node.
 
-    ``maybe`` rules out pairs of ``members`` by what their rows carry.  Until all links are found, classes only
-    save checks, so each round contracts the links once; all of them are joined to components at the end.
+    ``items_of`` reads (node, items), what ``check`` compares, of the nodes in a table (node).  Until all links are
+    found, classes only save checks, so each round contracts the links once; all of them are joined to components
+    at the end.
     """
-    carried = [c for c in members.columns if c != "key"]
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        whole = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
-        whole = whole.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
-        return whole.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
-
-    star = members.groupBy("key").agg(F.min(F.struct(*carried)).alias("c")).select("key", *(F.col(f"c.{c}").alias(f"c_{c}") for c in carried))
-    pairs = members.join(star, "key").where("node <> c_node").where(maybe).select(F.col("c_node").alias("a"), F.col("node").alias("b"))
-    links = stored(verified(pairs.distinct()), "links")
-    now = stored(contracted(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "contracted")
-    live = members.join(star.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
-    centres = CENTRES
-    while True:
+    verifier, maybe = _Verifier(items_of, check), may_link(percent)
+    ordered = [F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")]
+    centre = members.groupBy("key").agg(F.min(F.struct("node", *CARRIED)).alias("c")).select("key", "c.*")
+    centre = stored(_as_centre(centre), "centres")
+    rest = members.join(centre, "key").where("node <> c_node")
+    now = stored(contracted(verifier.links(rest.where(maybe).select(*ordered))), "contracted")
+    live = members.join(centre.select("key", "c_node"), "key").where("node <> c_node").drop("c_node")
+    for turn in range(ROUNDS + 1):
         least = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        labelled = live.join(least, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        order = Window.partitionBy("key").orderBy("node")
-        live = stored(
-            labelled.join(mixed.where("least < most").select("key"), "key").select("key", *carried, "component", F.row_number().over(order).alias("place")),
-            "live",
-        )
-        if live.isEmpty():
-            return stored(connected_components(now), "classes")
-        centre = live.where(F.col("place") <= centres).select("key", *(F.col(c).alias(f"c_{c}") for c in [*carried, "component", "place"]))
-        pairs = live.join(centre, "key").where("place > c_place and component <> c_component").where(maybe)
-        pairs = pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
-        more = verified(pairs).select(F.col("b").alias("u"), F.col("a").alias("v"))
-        now = stored(contracted(now.unionByName(stored(more, "links"))), "contracted")
-        live = live.where(F.col("place") > centres).select("key", *carried)
-        centres *= GROWTH
+        live = stored(live.join(least, "node", "left").withColumn("component", F.coalesce("component", "node")), "live")
+        mixed = live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+        if turn < ROUNDS:
+            centre = live.groupBy("key", "component").agg(F.min(F.struct("node", *CARRIED)).alias("c")).select("key", "component", "c.*").join(mixed, "key")
+        else:
+            centre = live.join(mixed, "key")
+        centre = stored(_as_centre(centre, "component"), "centres")
+        if centre.isEmpty():
+            break
+        pairs = live.join(centre, "key").where("component <> c_component").where(maybe)
+        now = stored(contracted(now.unionByName(verifier.links(pairs.select(*ordered)))), "contracted")
+        open_keys = centre.select("key").distinct()
+        live = live.drop("component").join(open_keys, "key", "left_semi").join(centre.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
+    return stored(connected_components(now), "classes")

@@ -54,7 +54,7 @@ def line_sets(docs, shingle):
     out = {}
     for i, text in docs:
         for k, line in enumerate((text or "").split("\n")):
-            raw = low(line).encode().strip(b" \t\n\v\f\r")
+            raw = low(line).strip(" \t\n\v\f\r")
             if raw:
                 out[i, k] = frozenset(raw[a : a + shingle] for a in range(max(1, len(raw) - shingle + 1)))
     return out

@@ -115,3 +115,34 @@ def test_lines_are_trimmed_and_numbered():
     start, end, doc, number = line_dedup.trimmed(data, off)
     raw = data.tobytes()
     assert [(raw[a:b], d, n) for a, b, d, n in zip(start, end, doc, number, strict=True)] == [(b"a", 0, 0), (b"b", 0, 2), (b"c", 3, 0)]
+
+
+def test_bitmaps_never_rule_out_a_link(spark):
+    from pyspark.sql import functions as F
+
+    from framewright.llm import setjoin
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = []
+    for _ in range(60):
+        part = base[: int(rng.integers(1, 300))] if rng.random() < 0.7 else base[: int(rng.integers(300, 3000))]
+        keep = rng.random(len(part)) < rng.choice([0.85, 0.9, 0.97])
+        keep[0] = True
+        sets.append(np.unique(np.append(part[keep], rng.integers(0, 1 << 63, int(0.1 * rng.random() * len(part)), dtype=np.uint64))))
+    size = np.array([len(s) for s in sets])
+    bits = setjoin.bitmaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets))
+    rows = [(i, int(size[i]), *(int(w[i]) for w in bits)) for i in range(len(sets))]
+    df = spark.createDataFrame(rows, "node long, " + ", ".join(f"{c} long" for c in setjoin.CARRIED))
+    both = df.crossJoin(df.select(*(F.col(c).alias(f"c_{c}") for c in df.columns))).where("node < c_node")
+    kept = {(r.node, r.c_node) for r in both.where(setjoin.may_link(80)).select("node", "c_node").collect()}
+    linked = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert linked <= kept and len(linked) > 50 and len(kept) < 60 * 59 // 2
+
+
+def test_distinct_shingles_are_those_of_each_line():
+    lines = ["aaaaaaaaaa", "abcdefgh abcdefgh", "x", "ééééééé"]
+    raw = [x.encode() for x in lines]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    items, first = line_dedup.distinct_shingles(*line_dedup.shingle_hashes(data, off[:-1], off[1:]))
+    assert np.diff(first).tolist() == [len({x[i : i + 5] for i in range(max(1, len(x) - 4))}) for x in lines]

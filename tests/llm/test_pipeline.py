@@ -34,7 +34,7 @@ def test_toxic_documents_go(spark, sf_dir, stages):
 
 def test_lines_go(stages):
     before, after = by_id(stages[1]), by_id(stages[2])
-    sets = brute.line_sets(list(before.items()), 8)
+    sets = brute.line_sets(list(before.items()), 5)
     stays = brute.components(sets, brute.near(sets))
     assert after == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if stays.get((i, k), (i, k)) == (i, k)) for i, t in before.items()}
 
