@@ -4,7 +4,7 @@ A text's terms are its words and their first 4 and 5 bytes, each hashed to one o
 counted once.  score = sigmoid(bias + sum w_i + sum_{i<j} <v_i, v_j>): the pairwise part learns what terms
 mean together, such as an insult beside the name of a group, which added weights can't.
 
-Fitting is on a bounded sample of labelled rows.  The machine's inputs are the buckets that tell the labels apart
+Fitting is on a bounded sample of labelled rows (SAMPLE_ROWS).  The machine's inputs are the buckets that tell the labels apart
 in that sample, by likelihood ratio, and those of all pairs of buckets that tell what a first machine leaves
 unexplained, whether or not either tells anything alone.  Scoring is one map over whole texts.
 """
@@ -23,8 +23,9 @@ from .scratch import stored
 from .session import bounded_batches
 
 TERM_BITS = 20
-#: The fit's bounds: at most so many labelled rows (those of the smallest id hashes), and so many terms.
-SAMPLE_ROWS, SAMPLE_TERMS = 20_000, 2048
+#: The fit's bound: at most so many labelled rows, those of the smallest hashes of id and text.
+SAMPLE_ROWS = 20_000
+_BIN_BITS = 16  # hashes are counted by so many leading bits to find where the sample ends
 FACTORS, STEPS, BATCH, RATE, THRESHOLD = 8, 3000, 256, 0.02, 0.7
 DECAY_WEIGHTS, DECAY_FACTORS = 1e-5, 1e-5
 #: Least likelihood ratio (twice the log) of a chosen term, and least rows it stands in.
@@ -95,8 +96,14 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), k, np.int64)), pa.array(total[k][some])], names=["bucket", "label", "n"])
 
 
+def _numbers(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded table of numbers without nulls."""
+    table = df.toArrow()
+    return [table.column(c).to_numpy() for c in table.column_names]
+
+
 def _chosen(counts: DataFrame, rows: list[int]) -> np.ndarray:
-    """The SAMPLE_TERMS buckets of the largest likelihood ratios."""
+    """The buckets that tell the labels apart, at most as many as there are; ``rows`` are counted by label."""
     by = counts.groupBy("bucket").pivot("label", [0, 1]).agg(F.sum("n")).na.fill(0).where(F.col("0") + F.col("1") >= LEAST_ROWS)
     both = F.col("0") + F.col("1")
 
@@ -107,8 +114,36 @@ def _chosen(counts: DataFrame, rows: list[int]) -> np.ndarray:
     for k in (0, 1):
         share = rows[k] / sum(rows)
         ratio += part(F.col(str(k)), both * share) + part(rows[k] - F.col(str(k)), (sum(rows) - both) * share)
-    top = by.withColumn("ratio", 2 * ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "bucket").limit(SAMPLE_TERMS)
-    return np.sort(np.array([r.bucket for r in top.select("bucket").collect()], np.int64))
+    return np.sort(_numbers(by.where(2 * ratio >= LEAST_RATIO).select("bucket"))[0].astype(np.int64))
+
+
+def bounded(keys: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` distinct rows of the smallest hashes.
+
+    Hashes are counted by their leading bits (a fixed number of bins), and only the rows of the bins that the
+    sample reaches are sorted, so no task's share grows with the table but by its last bin.
+    """
+    hashed = keys.withColumn("__order", F.xxhash64(*keys.columns))
+    bins = hashed.groupBy(F.shiftrightunsigned("__order", 64 - _BIN_BITS).alias("bin")).agg(F.count("*").alias("n"))
+    bin_of, many = _numbers(bins)
+    order = np.argsort(bin_of)
+    full = np.searchsorted(np.cumsum(many[order]), rows)
+    if full < len(order):
+        hashed = hashed.where(F.shiftrightunsigned("__order", 64 - _BIN_BITS) <= int(bin_of[order][full]))
+    top = F.shiftrightunsigned("__order", 64 - _BIN_BITS)
+    return hashed.distinct().orderBy(top, *(F.col(f"`{c}`") for c in hashed.columns)).limit(rows).drop("__order")
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, label) of at most ``rows`` different labelled rows of ``docs`` (doc_id, text).
+
+    Ids meet ``labels`` (doc_id, label) beside a hash of the text only; the rows picked are a table of bounded
+    size, which is broadcast to the texts.  Rows of null id or label are not picked, repeated ones count once.
+    """
+    ids = docs.select(F.col("doc_id"), F.xxhash64("text").alias("g"))
+    picked = stored(bounded(ids.join(labels.where("label is not null").select("doc_id", "label"), "doc_id"), rows), "picked")
+    texts = docs.withColumn("g", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "g"])
+    return stored(texts.groupBy("doc_id", "g", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), "sample")
 
 
 def _surprise(machine: Machine):
@@ -192,12 +227,14 @@ def learn(first: np.ndarray, inputs: np.ndarray, label: np.ndarray, width: int,
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
     """A machine from (doc_id, text, label); rows of null label are ignored, a null text is empty.
 
-    It learns from at most ``sample_rows`` rows, those of the smallest id hashes; without rows, or with one
-    label only, the machine is its bias.
+    It learns from at most ``sample_rows`` different rows, those of the smallest hashes; repeated rows count once;
+    without rows, or with one label only, the machine is its bias.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where("label is not null").select(F.col("text"), (F.col("label") > 0).cast("long").alias("label"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"))
-    sample = stored(rows.orderBy("h", "g").limit(sample_rows), "sample")
+    few = stored(bounded(rows.select("h", "g", "label"), sample_rows), "few")
+    same = (rows.h == few.h) & (rows.g == few.g) & (rows.label == few.label)
+    sample = stored(rows.join(F.broadcast(few), same, "left_semi").groupBy("h", "g", "label").agg(F.min("text").alias("text")), "sample")
     many = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     per_label = [many.get(0, 0), many.get(1, 0)]
     spread = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
@@ -229,18 +266,18 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
     if not min(per_label):
         return machine
     bounds = spread.select("text", "label").mapInArrow(_surprise(machine), "bucket long, label long, d double").groupBy("label", "bucket").agg(F.sum("d").alias("d"))
-    bounds = bounds.where(F.col("d") >= LEAST_PAIR_RATIO).collect()
+    of_label, bucket, _ = _numbers(bounds.where(F.col("d") >= LEAST_PAIR_RATIO))  # two for each bucket at most
     more = []
     for k in (0, 1):
-        able = np.sort(np.array([r.bucket for r in bounds if r.label == k], np.int64))
+        able = np.sort(bucket[of_label == k].astype(np.int64))
         if len(able) > 1:
             _, first, inputs, label = rows_of(able)
             score = machine.scores(*alone[1:3])
             shared = spread.sparkSession.sparkContext.broadcast((first, inputs, label == k, score if k else 1 - score))
             blocks = -(-len(able) // PAIR_COLUMNS)
-            found = spread.sparkSession.range(0, blocks, 1, blocks).mapInArrow(_telling_pairs(shared, len(able)), "input long").distinct().collect()
+            found = _numbers(spread.sparkSession.range(0, blocks, 1, blocks).mapInArrow(_telling_pairs(shared, len(able)), "input long").distinct())[0]
             shared.destroy()
-            more.append(able[np.array([r.input for r in found], np.int64)])
+            more.append(able[found.astype(np.int64)])
             del first, inputs, label, score, shared
     both = np.unique(np.concatenate([chosen, *more]))
     return machine if len(both) == len(chosen) else machine_of(*rows_of(both))
