@@ -2,148 +2,134 @@
 
 A window is WINDOW consecutive words of an item (a shorter item is one window).  Its tokens are its
 three-word shingles.  A document contains a window only if it contains every token of it, so one token is a
-sufficient prefix: the rarest by document counts.  Documents look up each of their shingles among those
-prefix tokens; a match fixes where the window would start, the length and positional bounds drop starts
-outside the text, and the words of the remaining places are compared one by one.
+sufficient prefix: the rarest by its places in all documents.  Places of prefix tokens in documents, with the
+words around them, are joined to the windows on the token; a match fixes where the window would start, length
+and positional bounds drop starts outside the text, and the words of the remaining places are compared.
 
-The benchmark is a stated query set: it reaches the tasks in blocks of at most BLOCK_BYTES of text, each a
-map over all documents.  No document is shuffled.
+Windows, tokens and counts are tables; nothing of the benchmark or the documents passes the driver but sieves
+of 2 MB.  Documents are read by maps, and only those that hold a window are shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, U64, chunks, ragged, shingle_hashes, utf8, word_hashes
+from .kernels import ALNUM, binary_array, chunks, mix, prefix_hash, ragged, shingle_hashes, span_hash, utf8, word_hashes
+from .scratch import stored
 from .session import bounded_batches
+from .sieve import Sieve, rows_of, sifted
 
-WINDOW, TOKEN_WORDS, BLOCK_BYTES = 10, 3, 4 << 20
-_PROBE = 18  # bits of the first test for a token
+WINDOW, TOKEN_WORDS = 10, 3
 
+ANSWER = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")]
+WINDOWS = "win long, item string, length int, words binary, tokens array<long>"
+SPOTS = "hash long, token long, spot long, back int, around binary"
 
-@dataclass
-class Windows:
-    """Distinct windows of a block of items, by length: words (rows), items of each, and the prefix tokens' lookup."""
 
-    words: list[np.ndarray]  # of each length, a row of word hashes per window
-    items: list[list[list[str]]]  # of each length, the item ids of each window
-    size: list[int]  # token size of each length
-    tokens: list[np.ndarray]  # of each length, every window's token hashes by place
+def _tokens(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token of ``size`` words from each word on, and which of them lie within one text."""
+    hashes, inside = shingle_hashes(words, first, size)
+    return mix(hashes, 40 + size).view(np.int64), inside
 
 
-def windows_of(items: list[tuple[object, str]], window: int) -> Windows:
-    found: dict[int, dict[bytes, set[str]]] = {}
-    for name, text in items:
-        data, off = utf8(pa.array([text], pa.string()))
-        words, _ = word_hashes(data, off, ALNUM)
-        length = min(window, len(words))
-        for i in range(len(words) - length + 1 if length else 0):
-            found.setdefault(length, {}).setdefault(words[i : i + length].tobytes(), set()).add(str(name))
-    out = Windows([], [], [], [])
-    for length, seen in sorted(found.items()):
-        rows = np.frombuffer(b"".join(seen), U64).reshape(-1, length)
-        size = min(TOKEN_WORDS, length)
-        out.words.append(rows)
-        out.items.append([sorted(x) for x in seen.values()])
-        out.size.append(size)
-        flat = shingle_hashes(rows.reshape(-1), np.arange(0, rows.size + 1, length), size)[0].reshape(-1, length)
-        out.tokens.append(flat[:, : length - size + 1])
-    return out
+def _chunks(batches):
+    for batch in batches:
+        data, off = utf8(batch.column("text"))
+        for a, b in chunks(off):
+            yield batch.slice(a, b - a), *word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], ALNUM)
 
 
-def _probe(tokens: np.ndarray) -> np.ndarray:
-    table = np.zeros(1 << _PROBE, bool)
-    table[(tokens >> U64(64 - _PROBE)).astype(np.int64)] = True
-    return table
+def _windows(window: int):
+    """WINDOWS rows, one for each window of each item."""
 
+    def run(batches):
+        for part, words, first in _chunks(batches):
+            many = np.diff(first)
+            for length in np.unique(np.minimum(many[many > 0], window)).tolist():
+                own = np.flatnonzero(many >= length if length == window else many == length)
+                if not len(own):
+                    continue
+                count = many[own] - length + 1
+                start = ragged(first[own], count)
+                rows = np.ascontiguousarray(words[start[:, None] + np.arange(length)])
+                size = min(TOKEN_WORDS, length)
+                tokens = _tokens(words, first, size)[0][start[:, None] + np.arange(length - size + 1)]
+                edge = np.arange(len(rows) + 1) * length
+                raw = rows.reshape(-1).view(np.uint8)
+                win = span_hash(prefix_hash(raw), 8 * edge[:-1], 8 * edge[1:], 12).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * tokens.shape[1]).astype(np.int32)), pa.array(tokens.reshape(-1)))
+                items = part.column("item").take(pa.array(np.repeat(own, count)))
+                yield pa.RecordBatch.from_arrays([pa.array(win), items, pa.array(np.full(len(rows), length, np.int32)), binary_array(rows.reshape(-1), edge), lists], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
-def _texts(batches, column: str = "text"):
-    for batch in batches:
-        data, off = utf8(batch.column(column))
-        for a, b in chunks(off):
-            yield batch, a, b, *word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], ALNUM)
+    return run
 
 
-def token_counts(docs: DataFrame, blocks: list[Windows]) -> dict[int, int]:
-    """In how many places of all documents each token of the benchmark stands; as many numbers as the benchmark has tokens."""
-    sizes = {s: np.unique(np.concatenate([b.tokens[i].reshape(-1) for b in blocks for i in range(len(b.size)) if b.size[i] == s])) for s in {s for b in blocks for s in b.size}}
-    shared = docs.sparkSession.sparkContext.broadcast(sizes)
+def _counted(sieve: Sieve, sizes: list[int]):
+    """(token, n): in how many places of a chunk each token of the sieve stands."""
 
     def run(batches):
-        sizes = shared.value
-        probes = {s: _probe(t) for s, t in sizes.items()}
-        total = {s: np.zeros(len(t), np.int64) for s, t in sizes.items()}
-        for _, _, _, words, first in _texts(batches):
-            for s, tokens in sizes.items():
-                hashes, inside = shingle_hashes(words, first, s)
-                hashes = hashes[probes[s][(hashes >> U64(64 - _PROBE)).astype(np.int64)] & inside]
-                at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
-                total[s] += np.bincount(at[tokens[at] == hashes], minlength=len(tokens))
-        for s, tokens in sizes.items():
-            some = np.flatnonzero(total[s])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(total[s][some])], names=["token", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return {r.token: r.n for r in rows.toLocalIterator()}
-
-
-def _lookup(block: Windows, counts: dict[int, int]) -> list[tuple]:
-    """By length: sorted prefix tokens, first and number of their windows, and those windows with the token's place in each."""
-    out = []
-    for tokens in block.tokens:
-        often = np.array([[counts.get(t, 0) for t in row] for row in tokens.view(np.int64).tolist()])
-        place = np.lexsort((tokens, often))[:, 0] if tokens.shape[1] > 1 else np.zeros(len(tokens), np.int64)
-        prefix = tokens[np.arange(len(tokens)), place]
-        order = np.argsort(prefix, kind="stable")
-        keys, begin, many = np.unique(prefix[order], return_index=True, return_counts=True)
-        out.append((keys, begin, many, order, place, _probe(keys)))
-    return out
-
-
-def _hits(block: Windows, lookup: list[tuple], words: np.ndarray, first: np.ndarray):
-    """(start, length, window's class and row) of every occurrence in a chunk of documents."""
-    owner_end = np.repeat(first[1:], np.diff(first))
-    owner_start = np.repeat(first[:-1], np.diff(first))
-    hashed = {s: shingle_hashes(words, first, s)[0] for s in set(block.size)}
-    for k, (keys, begin, many, order, place, probe) in enumerate(lookup):
-        length = block.words[k].shape[1]
-        hashes = hashed[block.size[k]]
-        spots = np.flatnonzero(probe[(hashes >> U64(64 - _PROBE)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(keys, hashes[spots]), len(keys) - 1)
-        same = keys[at] == hashes[spots]
-        spots, at = spots[same], at[same]
-        row = order[ragged(begin[at], many[at])]
-        spot = np.repeat(spots, many[at])
-        start = spot - place[row]
-        fits = (start >= owner_start[spot]) & (start + length <= owner_end[spot])  # positional and length bounds
-        start, row = start[fits], row[fits]
-        for a in range(0, len(start), 1 << 16):
-            s, r = start[a : a + (1 << 16)], row[a : a + (1 << 16)]
-            equal = (words[s[:, None] + np.arange(length)] == block.words[k][r]).all(axis=1)
-            yield s[equal], length, k, r[equal]
-
-
-def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> list[Windows]:
-    out, held, size = [], [], 0
-    for row in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        held.append((row.item_id, row.text))
-        size += len(row.text.encode())
-        if size >= block_bytes:
-            out.append(windows_of(held, window))
-            held, size = [], 0
-    return [*out, windows_of(held, window)]
-
-
-ANSWER = [("n_words", pa.int64(), "long"), ("n_hit", pa.int64(), "long"), ("n_items", pa.int64(), "long"), ("items_sha256", pa.string(), "string"), ("contaminated", pa.bool_(), "boolean")]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
+        for _, words, first in _chunks(batches):
+            for size in sizes:
+                tokens, inside = _tokens(words, first, size)
+                token, n = np.unique(tokens[inside & sieve.keeps(tokens)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
+
+    return run
+
+
+def _spots(sieve: Sieve, sizes: list[int], window: int):
+    """SPOTS rows: places of prefix tokens, with up to ``window`` - 1 words on either side of their first word."""
+
+    def run(batches):
+        for part, words, first in _chunks(batches):
+            names = part.column("hash")
+            for size in sizes:
+                tokens, inside = _tokens(words, first, size)
+                spots = np.flatnonzero(inside & sieve.keeps(tokens))
+                doc = np.searchsorted(first, spots, "right") - 1
+                low = np.maximum(spots - window + 1, first[doc])
+                high = np.minimum(spots + window, first[doc + 1])
+                for a in range(0, len(spots), 1 << 14):
+                    s = slice(a, a + (1 << 14))
+                    wide = high[s] - low[s]
+                    around = binary_array(words[ragged(low[s], wide)], np.append(0, np.cumsum(wide)))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(doc[s])), pa.array(tokens[spots[s]]), pa.array(spots[s] - first[doc[s]]), pa.array((spots[s] - low[s]).astype(np.int32)), around], names=[f.split()[0] for f in SPOTS.split(", ")])
+
+    return run
+
+
+def _answered(kept: list[str], prefix: str, without: Sieve | None):
+    """The rows with their answer; ``found`` has what their text holds.  Rows in ``without`` are left out."""
+
+    def run(batches):
+        for batch in batches:
+            if without:
+                batch = batch.filter(pa.array(~without.keeps(batch.column("hash").to_numpy(zero_copy_only=False))))
+            for part, words, first in _chunks([batch]):
+                cover = np.zeros(len(words) + 1, np.int64)
+                items = [(0, None)] * part.num_rows
+                for i, x in enumerate(part.column("found").to_pylist() if "found" in part.schema.names else ()):
+                    if x:
+                        start = np.array([s["start"] for s in x["spans"]]) + first[i]
+                        np.add.at(cover, start, 1)
+                        np.add.at(cover, start + np.array([s["length"] for s in x["spans"]]), -1)
+                        items[i] = (x["n_items"], x["sha"])
+                upto = np.append(0, np.cumsum(np.cumsum(cover)[:-1] > 0))
+                n_hit = upto[first[1:]] - upto[first[:-1]]
+                answer = [pa.array(np.diff(first)), pa.array(n_hit), pa.array([n for n, _ in items], pa.int64()), pa.array([s or _NONE for _, s in items], pa.string()), pa.array(n_hit > 0)]
+                yield pa.RecordBatch.from_arrays([*part.column("row").flatten(), *answer], names=[*kept, *(prefix + n for n, _ in ANSWER)])
+
+    return run
+
+
+#: The SHA-256 of no bytes.
+_NONE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated (their names after ``prefix``).
 
     Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` once A-Z are lowered.  A word inside any occurrence
@@ -153,45 +139,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     of the same name as a new one is replaced.
     """
     bounded_batches(docs.sparkSession)
-    blocks = blocks_of(benchmark, window, block_bytes)
-    counts = token_counts(docs.select(F.col(text_col).alias("text")), blocks)
-    sc = docs.sparkSession.sparkContext
-    kept = [c for c in docs.columns if c not in {prefix + a for a, _, _ in ANSWER}]
-    out = docs.select(*kept)
-    state = "__hits binary, __items array<string>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    for i, block in enumerate(blocks):
-        shared = sc.broadcast((block, _lookup(block, counts)))
-        is_first, is_last = i == 0, i == len(blocks) - 1
-
-        def run(batches, shared=shared, is_first=is_first, is_last=is_last):
-            block, lookup = shared.value
-            for batch, a, b, words, first in _texts(batches, text_col):
-                cover = np.zeros(len(words) + 1, np.int64)
-                names: list[set[str]] = [set() for _ in range(b - a)]
-                part = batch.slice(a, b - a)
-                for start, length, k, row in _hits(block, lookup, words, first):
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + length, -1)
-                    doc = np.searchsorted(first, start, "right") - 1
-                    for d, r in np.unique(np.stack((doc, row)), axis=1).T.tolist():
-                        names[d].update(block.items[k][r])
-                hit = np.cumsum(cover)[:-1] > 0
-                if not is_first:
-                    hit |= np.frombuffer(b"".join(part.column("__hits").to_pylist()), bool)
-                    for d, x in enumerate(part.column("__items").to_pylist()):
-                        names[d].update(x)
-                rest = part.select(kept)
-                if not is_last:
-                    bits = [hit[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(bits, pa.binary()), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], names=[*kept, "__hits", "__items"])
-                    continue
-                upto = np.append(0, np.cumsum(hit))
-                n_hit = upto[first[1:]] - upto[first[:-1]]
-                shas = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
-                answer = [np.diff(first), n_hit, np.array([len(x) for x in names], np.int64), shas, n_hit > 0]
-                yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(x, t) for x, (_, t, _) in zip(answer, ANSWER, strict=True))], names=[*kept, *(prefix + n for n, _, _ in ANSWER)])
-
-        end = ", ".join(f"`{prefix}{n}` {t}" for n, _, t in ANSWER) if is_last else state
-        out = out.mapInArrow(run, f"{schema}, {end}" if schema else end)
-    return out
+    kept = [c for c in docs.columns if c not in {prefix + a for a, _ in ANSWER}]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    texts = whole.where("text is not null").select("hash", "text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), *(f"`{prefix}{n}` {t}" for n, t in ANSWER)])
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    windows = stored(items.mapInArrow(_windows(window), WINDOWS), "windows")
+    kinds = windows.groupBy("win", "length").agg(F.min("words").alias("words"), F.min("tokens").alias("tokens"))
+    tokens = stored(kinds.select("win", F.posexplode("tokens").alias("place", "token")), "tokens")
+    sizes = sorted({min(TOKEN_WORDS, r.length) for r in windows.select("length").distinct().collect()})  # TOKEN_WORDS numbers at most
+    known = rows_of(tokens, "token")
+    counts = texts.mapInArrow(_counted(Sieve(known), sizes), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")) if sizes else None
+    if counts is None:
+        return whole.mapInArrow(_answered(kept, prefix, None), schema)
+    rarest = tokens.join(counts, "token", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("p"))
+    rarest = stored(rarest.where("p.n > 0").select("win", "p.token", "p.place").join(kinds.select("win", "length", "words"), "win"), "prefixes")
+    spots = texts.mapInArrow(_spots(Sieve(rows_of(rarest, "token")), sizes, window), SPOTS)
+    fits = (F.col("back") >= F.col("place")) & (F.octet_length("around") >= 8 * (F.col("back") - F.col("place") + F.col("length")))
+    same = F.expr("substring(around, 8 * (back - place) + 1, 8 * length) = words")
+    hits = stored(spots.join(rarest, "token").where(fits & same).select("hash", (F.col("spot") - F.col("place")).alias("start"), "length", "win").distinct(), "hits")
+    spans = hits.groupBy("hash").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    named = hits.select("hash", "win").distinct().join(windows.select("win", "item").distinct(), "win").groupBy("hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = spans.join(named, "hash").select("hash", F.struct("spans", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("sha")).alias("found"))
+    found = stored(found, "found")
+    sieve = Sieve(rows_of(found, "hash"))
+    rest = whole.mapInArrow(_answered(kept, prefix, sieve), schema)
+    held = sifted(whole, "hash", sieve).join(found, "hash", "left").mapInArrow(_answered(kept, prefix, None), schema)
+    return rest.unionByName(held)
