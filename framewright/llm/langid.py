@@ -24,6 +24,8 @@ from .session import bounded_batches
 SIZE, LETTERS, UNKNOWN = 512, 1024, "und"
 _SCALE = 1 << 20
 _CHUNK = 1 << 20
+#: Rows that are counted at once, and distinct trigrams that are bound at once.
+_ROWS, _GRAMS = 500, 2048
 
 
 def letter_vectors() -> np.ndarray:
@@ -78,21 +80,27 @@ def text_vectors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     left = np.repeat(first[1:], np.diff(first)) - np.arange(len(row))
     inside = (left >= 3) | ((left == 2) & (wide[1:-1] > 0))  # a text ends in a gap as well
     key = np.where(left == 2, key & ~np.int64(1023), key)[inside]
-    grams, place = np.unique(key, return_inverse=True)
-    a, b, c = grams >> 20, (grams >> 10) & 1023, grams & 1023
-    bound = (np.roll(_vectors, 2, axis=1)[a] * np.roll(_vectors, 1, axis=1)[b] * _vectors[c]).astype(np.float32)
-    counts = np.bincount(doc[inside] * len(grams) + place, minlength=n * len(grams)).reshape(n, len(grams)).astype(np.float32)
-    out = counts @ bound
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[inside][order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    place, edge = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key)))), np.append(begin, len(key))
+    out = np.zeros((n, SIZE), np.float32)  # sums of whole numbers: exact, so blocks don't show
+    for g in range(0, len(begin), _GRAMS):
+        grams = key[begin[g : g + _GRAMS]]
+        i, j, width = edge[g], edge[min(g + _GRAMS, len(begin))], len(grams)
+        bound = (np.roll(_vectors, 2, axis=1)[grams >> 20] * np.roll(_vectors, 1, axis=1)[(grams >> 10) & 1023] * _vectors[grams & 1023]).astype(np.float32)
+        counts = np.bincount(doc[i:j] * width + place[i:j] - g, minlength=n * width).reshape(n, width).astype(np.float32)
+        out += counts @ bound
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     some = np.append(0, np.cumsum(row > 0))
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0), some[first[1:]] > some[first[:-1]]
 
 
 def _limits(off: np.ndarray):
-    """Chunks of texts that keep the table of counts small."""
+    """Chunks of texts that keep the tables of counts small."""
     for a, b in chunks(off, _CHUNK):
-        for i in range(a, b, 1000):
-            yield i, min(i + 1000, b)
+        for i in range(a, b, _ROWS):
+            yield i, min(i + _ROWS, b)
 
 
 @dataclass
