@@ -5,7 +5,9 @@ lists by binary search: the spans of assistant texts and the spans of tokens.  T
 are single tokens, so no token reaches over a text's edge.  Marks, and the control strings of other common
 templates, are escaped inside texts: a backslash after their first character, one more if there are some.
 
-A conversation longer than SEGMENT characters is rendered in segments of whole turns; a turn is never cut.
+A conversation is one rendering.  One longer than SEGMENT characters is held in several rows, each of whole turns, so
+that no task holds a conversation of any length; every row says where its turns, characters and tokens begin in the
+rendering, and marks are single tokens, so the rows' tokens in order are the tokens of the whole.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ _CONTROL = r"(\||/?s>|/?INST\])"
 _RAW, _ESCAPED = re.compile(r"([<\[])(\\*)" + _CONTROL), re.compile(r"([<\[])\\(\\*)" + _CONTROL)
 _TURNS = re.compile(re.escape(TURN) + "(.*?)" + re.escape(TEXT) + "(.*?)" + re.escape(END), re.DOTALL)
 
-FORMATTED = "conv_id long, segment int, n_turns long, formatted string, input_ids array<int>, token_start array<int>, token_end array<int>, loss_mask array<boolean>"
+FORMATTED = "conv_id long, segment int, first_turn long, first_char long, first_token long, n_turns long, formatted string, input_ids array<int>, token_start array<int>, token_end array<int>, loss_mask array<boolean>"
 
 
 def escape(text: str) -> str:
@@ -86,6 +88,8 @@ def _tool(path: str):
 def format_conversations(rows: DataFrame, tokenizer: str) -> DataFrame:
     """FORMATTED rows, one for each segment of each conversation, from (conv_id, turn, role, text).
 
+    Token offsets and the mask are the segment's own; first_turn, first_char and first_token are its place in the conversation.
+
     Turns stand in the order of turn, then role, then text, nulls first; null roles and texts are empty; rows
     of a null conv_id form one conversation; repeated rows are turns of their own.  Segments of a conversation
     are consecutive rows of one partition.  An empty table gives an empty table; other columns are ignored.
@@ -97,34 +101,36 @@ def format_conversations(rows: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         tool = _tool(tokenizer)
 
-        def formatted(name, segment, turns):
+        def formatted(name, segment, place, turns):
             text, spans = render(turns)
             tokens = tool.encode(text, add_special_tokens=False)
             where = np.array(tokens.offsets, np.int32).reshape(-1, 2)
             mask = loss_mask(spans, where[:, 0], where[:, 1])
-            return (name, segment, len(turns), text, tokens.ids, where[:, 0], where[:, 1], mask)
+            row = (name, segment, *place, len(turns), text, tokens.ids, where[:, 0], where[:, 1], mask)
+            place[:] = [place[0] + len(turns), place[1] + len(text), place[2] + len(where)]
+            return row
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string(), *(3 * [pa.list_(pa.int32())]), pa.list_(pa.bool_())))],
+                [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), *(4 * [pa.int64()]), pa.string(), *(3 * [pa.list_(pa.int32())]), pa.list_(pa.bool_())))],
                 names=[f.split()[0] for f in FORMATTED.split(", ")],
             )
 
-        now, segment, turns, size, out, held = None, 0, [], 0, [], 0
+        now, segment, place, turns, size, out, held = None, 0, [0, 0, 0], [], 0, [], 0
         for batch in batches:
             for name, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if turns and ((name,) != now or size > SEGMENT):
-                    out.append(formatted(now[0], segment, turns))
+                    out.append(formatted(now[0], segment, place, turns))
                     segment, turns, held, size = segment + 1, [], held + size, 0
                     if held > SEGMENT:
                         yield batch_of(out)
                         out, held = [], 0
                 if (name,) != now:
-                    now, segment = (name,), 0
+                    now, segment, place = (name,), 0, [0, 0, 0]
                 turns.append((role or "", text or ""))
                 size += len(text or "")
         if turns:
-            out.append(formatted(now[0], segment, turns))
+            out.append(formatted(now[0], segment, place, turns))
         if out:
             yield batch_of(out)
 
