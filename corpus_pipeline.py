@@ -22,8 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that nearly repeat an earlier one; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Documents without lines that nearly repeat an earlier one; n_chars follows the text.
+
+    A document that loses all its lines goes: each of them stays in another document.  Texts that were null or
+    blank before stay.
+    """
+    out = line_dedup.dedup_lines(docs).where("n_removed = 0 or length(trim(BOTH ' \t\n\x0b\f\r' FROM text)) > 0")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 

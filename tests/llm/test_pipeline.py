@@ -1,5 +1,6 @@
 """Each stage of the pipeline on its own input, and odd conversations."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
@@ -36,7 +37,16 @@ def test_lines_go(stages):
     before, after = by_id(stages[1]), by_id(stages[2])
     sets = brute.line_sets(list(before.items()), 5)
     stays = brute.components(sets, brute.near(sets))
-    assert after == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if stays.get((i, k), (i, k)) == (i, k)) for i, t in before.items()}
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if stays.get((i, k), (i, k)) == (i, k)) for i, t in before.items()}
+    assert after == {i: t for i, t in want.items() if t.strip() or t == before[i]}  # emptied documents go
+    assert len(after) < len(before)
+
+
+def test_emptied_documents_go_and_blank_ones_stay(spark, sf_dir):
+    rows = [(1, "a line that is said twice in this corpus"), (2, "A line that is said twice in this corpus\n \n"), (3, ""), (4, None), (5, " \n"), (None, ""), (6, "another line")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.drop_repeated_lines(spark, docs, sf_dir).collect()), key=str)
+    assert got == sorted((r for r in rows if r[0] != 2), key=str)
 
 
 def test_one_of_each_class_stays(stages):
@@ -86,7 +96,17 @@ def test_odd_conversations(spark):
 
 def test_long_conversations_come_in_segments(spark):
     df = spark.range(3000).selectExpr("7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('word ', 60) as text")
-    out = chat.format_conversations(df, queries._tokenizer("byte_bpe_50k.json"))
-    assert out.count() > 1
+    path = queries._tokenizer("byte_bpe_50k.json")
+    out = chat.format_conversations(df, path)
+    rows = out.orderBy("segment").collect()
+    assert len(rows) > 1
+    text, spans = chat.render([("assistant" if i % 2 else "user", "word " * 60) for i in range(3000)])
+    tokens = chat._tool(path).encode(text, add_special_tokens=False)  # the conversation as one piece
+    assert "".join(r.formatted for r in rows) == text
+    assert [i for r in rows for i in r.input_ids] == tokens.ids
+    assert [(r.first_char + a, r.first_char + b) for r in rows for a, b in zip(r.token_start, r.token_end, strict=True)] == tokens.offsets
+    where = np.array(tokens.offsets)
+    assert [m for r in rows for m in r.loss_mask] == chat.loss_mask(spans, where[:, 0], where[:, 1]).tolist()
+    assert [(r.first_turn, r.first_token) for r in rows] == [(sum(x.n_turns for x in rows[:i]), sum(len(x.input_ids) for x in rows[:i])) for i in range(len(rows))]
     (r,) = chat.digests(out).collect()
     assert (r.n_turns, r.loss_chars) == (3000, 1500 * 300)
