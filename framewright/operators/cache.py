@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TTL_MS = 7 * 24 * 3600 * 1000
 
@@ -29,6 +30,32 @@ def latest(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.max_by(F.struct(*rest), F.coalesce(F.col("cached_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))).alias("e")).select("key", "e.*")
 
 
+def append(entries: DataFrame, path: str) -> None:
+    """Add entries (key, classification, cached_at) to the store at ``path``; an older entry of a key stays, and ``latest`` passes it over."""
+    entries.write.mode("append").parquet(path)
+
+
+def entries_at(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The entries of the store at ``path``, none where nothing was appended yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+class MemoryStore:
+    """Entries as a DataFrame of this session, for tests and single runs; nothing in it grows old."""
+
+    def __init__(self, entries: DataFrame):
+        self.entries = entries
+
+    def append(self, entries: DataFrame) -> None:
+        self.entries = self.entries.unionByName(entries)
+
+    def answers(self) -> DataFrame:
+        return latest(self.entries).withColumn("cached_at", F.lit(None).cast("timestamp"))
+
+
 def probe(requests: DataFrame, entries: DataFrame, now: Column, ttl_ms: int = TTL_MS) -> DataFrame:
     """Requests with the classification of their entry and hit; an entry older than the time to live is a miss, one without a date a hit."""
     found = requests.join(entries.select("key", "classification", "cached_at", F.lit(True).alias("found")), "key", "left")

@@ -6,13 +6,15 @@ import base64
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import replies
+from ..functions import replies, text
 from ..functions.geometry import PADDING
 from ..sources.png import decode_png, encode_png
+from . import cache
 from .fusion import TOP_REGIONS, top_regions
 from .metrics import pair_usage
 
@@ -67,7 +69,7 @@ def with_crops(regions: DataFrame, images: DataFrame) -> DataFrame:
     def run(frames):
         for frame in frames:
             for c in ("before", "after"):
-                frame[f"{c}_crop"] = [crop_png(*r) for r in zip(frame[c], *(frame[k] for k in "xywh"), strict=True)]
+                frame[f"{c}_crop"] = [crop_png(content, *(int(np.floor(v + 0.5)) for v in rect)) for content, *rect in zip(frame[c], *(frame[k] for k in "xywh"), strict=True)]
             yield frame.drop(columns=["before", "after"])
 
     joined = regions.join(images.select("pair_id", "before", "after"), "pair_id")
@@ -110,6 +112,48 @@ def primary(classified_regions: DataFrame) -> DataFrame:
     return classified_regions.groupBy("pair_id").agg(F.min_by(F.struct("change_type", "description"), "rank").alias("p")).select("pair_id", "p.*")
 
 
+def classify_regions(
+    regions: DataFrame,
+    images: DataFrame,
+    entries: DataFrame,
+    provider: Callable[[], Provider],
+    now: Column,
+    k: int = TOP_REGIONS,
+    use_hint: bool = True,
+    ttl_ms: int = cache.TTL_MS,
+) -> tuple[DataFrame, DataFrame]:
+    """The k largest regions of each pair with change_type, description, confidence, tokens and cached; and the entries to append.
+
+    A region's key is the hash of its crops and of its hint, so equal crops share one call and one entry.
+    """
+    found = hint(F.lit(use_hint), F.col("changed_fields"), F.col("dom_id"))
+    crops = with_crops(top_regions(regions, k), images).withColumn("hint", found)
+    keyed = crops.withColumn("key", cache.content_key(F.col("before_crop"), F.col("after_crop"), F.to_json("hint")))
+
+    def call(keys: DataFrame) -> DataFrame:
+        rows = keyed.join(keys, "key", "left_semi").select("key", "before_crop", "after_crop", text.prompt(F.col("hint.fields"), F.col("hint.id")).alias("prompt")).dropDuplicates(["key"])
+        answered = classified(ask(rows, provider))
+        return answered.select("key", F.struct("change_type", "description", "confidence").alias("classification"), "input_tokens", "output_tokens")
+
+    answered, fresh = cache.read_through(keyed.drop("before_crop", "after_crop", "hint"), entries, now, call, ttl_ms)
+    return answered.select("*", "classification.*").drop("classification"), fresh
+
+
+#: What a whole pair is asked.
+PAIR_PROMPT = "Say whether two screenshots of a page differ, as JSON with changed, changeType, description and region."
+
+
+def raw_arm(images: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row per pair: what a model says of both whole images (pair_id, before, after), with no detection before it.
+
+    ``answer`` adds reply, input_tokens and output_tokens.  A reply that isn't strict JSON counts as no change.
+    """
+    rows = answer(images.withColumn("prompt", F.lit(PAIR_PROMPT)))
+    verdict = rows.withColumn("__p", replies.parsed(F.col("reply"))).select("pair_id", "input_tokens", "output_tokens", *replies.raw_verdict(F.col("__p")))
+    regions = F.when(F.col("region").isNotNull(), F.array("region")).otherwise(F.array().cast("array<struct<x:double,y:double,w:double,h:double>>"))
+    return verdict.select("pair_id", "changed", regions.alias("regions"), "change_type", "description", "input_tokens", "output_tokens")
+
+
 def pipeline_arm(pairs: DataFrame, regions: DataFrame, classify: Callable[[DataFrame], DataFrame], k: int = TOP_REGIONS) -> DataFrame:
     """One row per pair: changed, all its regions, the primary region's type and description, tokens, cached.
 

@@ -21,15 +21,13 @@ def candidate_regions(changes: DataFrame, pixels: DataFrame) -> DataFrame:
     regions that overlap no DOM change of a changed pair are ``pixel``.  Sizes are at least 1.
     """
     near = (F.col("d.pair_id") == F.col("p.pair_id")) & overlap(Rect("d."), Rect("p."))
-    d, p = changes.alias("d"), pixels.alias("p")
-    met = d.join(p, near, "left_semi").select("pair_id", "ord").withColumn("met", F.lit(True))
-    dom = changes.join(met, ["pair_id", "ord"], "left").select(
-        "pair_id", "ord", "x", "y", "w", "h", F.when(F.col("met"), "dom+pixel").otherwise("dom").alias("source"), "changed_fields", F.col("id").alias("dom_id")
-    )
-    changed = changes.select("pair_id").distinct()
-    alone = p.join(d, near, "left_anti").join(changed, "pair_id", "left_semi")
-    pixel = alone.select("pair_id", (F.col("ord") + F.lit(PIXEL_FIRST)).alias("ord"), "x", "y", "w", "h", F.lit("pixel").alias("source"))
-    both = dom.unionByName(pixel, allowMissingColumns=True)
+    met = changes.alias("d").join(pixels.alias("p"), near, "full_outer")  # one row for each overlap, and for each region that has none
+    is_dom, sides = F.col("d.ord").isNotNull(), [F.coalesce(f"d.{c}", f"p.{c}").alias(c) for c in ("pair_id", *"xywh")]
+    source = F.when(~is_dom, "pixel").when(F.col("p.ord").isNull(), "dom").otherwise("dom+pixel").alias("source")
+    rows = met.select(*sides, F.coalesce("d.ord", F.col("p.ord") + F.lit(PIXEL_FIRST)).alias("ord"), source, "d.changed_fields", F.col("d.id").alias("dom_id"))
+    changed = Window.partitionBy("pair_id")
+    rows = rows.withColumn("changed", F.max(F.col("source") != "pixel").over(changed)).where("changed and (source <> 'pixel' or pair_id is not null)")
+    both = rows.dropDuplicates(["pair_id", "ord"]).select("pair_id", "ord", *"xywh", "source", "changed_fields", "dom_id")
     return both.withColumn("w", F.greatest("w", F.lit(1))).withColumn("h", F.greatest("h", F.lit(1)))
 
 

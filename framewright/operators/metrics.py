@@ -70,6 +70,30 @@ def status(real: Column, changed: Column, right: Column) -> Column:
     )
 
 
+def strict_hit(a: Column, b: Column) -> Column:
+    """Whether two rectangle structs overlap by more than the IoU of a hit, not by just as much."""
+    return _struct_iou(a, b) > HIT
+
+
+def tallies(pairs: DataFrame) -> DataFrame:
+    """One row of (expected, detected): total, expected, detected, false_positives, recall, false_positive_rate; 0 where nothing was expected."""
+    counts = pairs.agg(
+        F.count("*").alias("total"),
+        F.count_if("expected").alias("expected"),
+        F.count_if("detected").alias("detected"),
+        F.count_if(F.col("detected") & ~F.col("expected")).alias("false_positives"),
+    )
+    quiet = F.col("total") - F.col("expected")
+    return counts.select("*", ratio(F.col("detected"), F.col("expected")).alias("recall"), ratio(F.col("false_positives"), quiet).alias("false_positive_rate"))
+
+
+def matched(results: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Results with their pair's columns; a result of no pair is an error when rows are read."""
+    known = pairs.withColumnRenamed("id", "pair_id").withColumn("__known", F.lit(True))
+    message = F.raise_error(F.concat(F.lit("no such pair: "), F.coalesce(F.col("pair_id").cast("string"), F.lit("null")))).cast("boolean")
+    return results.join(known, "pair_id", "left").where(F.coalesce("__known", message)).drop("__known")
+
+
 def pair_usage(regions: DataFrame) -> DataFrame:
     """Tokens of each pair, and cached: whether all its regions were, null where none says."""
     return regions.groupBy("pair_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.bool_and("cached").alias("cached"))

@@ -38,39 +38,52 @@ def _blend(rgba: np.ndarray) -> np.ndarray:
     return 255 + (rgba[..., :3].astype(float) - 255) * alpha
 
 
-def _smoothed(rgba: np.ndarray, other: np.ndarray, y: int, x: int) -> bool:
-    """Whether a pixel lies on a smoothed edge: between darker and lighter neighbours, one of which is part of a plain area in both images."""
-    h, w = rgba.shape[:2]
-    luma = np.array(YIQ["y"])
-    y0, y1, x0, x1 = max(y - 1, 0), min(y + 1, h - 1), max(x - 1, 0), min(x + 1, w - 1)
-    here = _blend(rgba[y, x]) @ luma
-    equal = int(x in (x0, x1) and (x == 0 or x == w - 1) or (y == 0 or y == h - 1))
-    darkest = lightest = 0.0
-    dark = light = None
-    for v in range(y0, y1 + 1):
-        for u in range(x0, x1 + 1):
-            if (v, u) == (y, x):
-                continue
-            d = here - _blend(rgba[v, u]) @ luma
-            if d == 0:
-                equal += 1
-                if equal > 2:
-                    return False
-            elif d < darkest:
-                darkest, dark = d, (v, u)
-            elif d > lightest:
-                lightest, light = d, (v, u)
-    if dark is None or light is None:
-        return False
-    return any(_plain(rgba, *at) and _plain(other, *at) for at in (dark, light))
-
-
-def _plain(rgba: np.ndarray, y: int, x: int) -> bool:
-    """Whether more than two neighbours have a pixel's colour; the frame's edge counts as one."""
-    h, w = rgba.shape[:2]
-    around = rgba[max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2].reshape(-1, 4)
-    edge = int(x in (0, w - 1) or y in (0, h - 1))
-    return int((around == rgba[y, x]).all(axis=1).sum()) - 1 + edge > 2
+#: The eight neighbours of a pixel.
+_AROUND = [(v, u) for v in (-1, 0, 1) for u in (-1, 0, 1) if (v, u) != (0, 0)]
+
+
+def _on_edge(shape: tuple[int, int], y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (y == 0) | (x == 0) | (y == shape[0] - 1) | (x == shape[1] - 1)
+
+
+def _neighbours(shape: tuple[int, int], y: np.ndarray, x: np.ndarray):
+    """Places of each neighbour of all given pixels, and which of them lie in the frame; others stand in as the pixel itself."""
+    for v, u in _AROUND:
+        inside = (y + v >= 0) & (y + v < shape[0]) & (x + u >= 0) & (x + u < shape[1])
+        yield np.where(inside, y + v, y), np.where(inside, x + u, x), inside
+
+
+def _plain(rgba: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which pixels share their colour with more than two neighbours; the frame's edge counts as one."""
+    same = _on_edge(rgba.shape[:2], y, x).astype(np.int64)
+    for v, u, inside in _neighbours(rgba.shape[:2], y, x):
+        same += inside & (rgba[v, u] == rgba[y, x]).all(axis=1)
+    return same > 2
+
+
+def _luma(rgba: np.ndarray) -> np.ndarray:
+    """Sums of products, so that equal colours have equal values wherever they stand."""
+    colours = _blend(rgba)
+    return sum(w * colours[..., i] for i, w in enumerate(YIQ["y"]))
+
+
+def _smoothed(rgba: np.ndarray, other: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which pixels lie on a smoothed edge: between darker and lighter neighbours, one of which is part of a plain area in both images."""
+    luma = _luma(rgba)
+    equal = _on_edge(luma.shape, y, x).astype(np.int64)
+    darkest, lightest = np.zeros(len(y)), np.zeros(len(y))
+    dark, light = np.stack((y, x)), np.stack((y, x))
+    for v, u, inside in _neighbours(luma.shape, y, x):
+        d = np.where(inside, luma[y, x] - luma[v, u], np.nan)
+        equal += d == 0
+        lower, higher = d < darkest, d > lightest
+        darkest, lightest = np.where(lower, d, darkest), np.where(higher, d, lightest)
+        dark, light = np.where(lower, (v, u), dark), np.where(higher, (v, u), light)
+    out = (equal <= 2) & (darkest < 0) & (lightest > 0)
+    at = np.flatnonzero(out)
+    plain = [_plain(rgba, *side[:, at]) & _plain(other, *side[:, at]) for side in (dark, light)]
+    out[at] = plain[0] | plain[1]
+    return out
 
 
 def change_mask(before: np.ndarray, after: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -80,9 +93,8 @@ def change_mask(before: np.ndarray, after: np.ndarray, threshold: float = THRESH
     d = _blend(before) - _blend(after)
     delta = sum(YIQ_WEIGHTS[k] * (d @ np.array(w)) ** 2 for k, w in YIQ.items())
     mask = delta > LARGEST_DELTA * threshold * threshold
-    for y, x in np.argwhere(mask).tolist():
-        if _smoothed(before, after, y, x) or _smoothed(after, before, y, x):
-            mask[y, x] = False
+    y, x = np.nonzero(mask)
+    mask[y, x] = ~(_smoothed(before, after, y, x) | _smoothed(after, before, y, x))
     return mask
 
 
@@ -127,26 +139,55 @@ def components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _linked(rows: np.ndarray, gap: int) -> np.ndarray:
+    """Of each box, the least number of a box that it is near to, through others as well: a sweep over sorted left edges."""
+    order = np.argsort(rows[:, 0], kind="stable")
+    left, n = rows[order, 0], len(rows)
+    reach = np.searchsorted(left, left + rows[order, 2] + gap, "left")
+    count = np.maximum(reach - np.arange(n) - 1, 0)
+    upto = np.append(0, np.cumsum(count))
+    pairs, i = [], 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + _SWEEP, "right")) - 1)
+        a = np.repeat(np.arange(i, j), count[i:j])
+        b = a + 1 + np.arange(upto[j] - upto[i]) - np.repeat(upto[i:j] - upto[i], count[i:j])
+        p, q = rows[order[a]], rows[order[b]]
+        near = (p[:, 0] < q[:, 0] + q[:, 2] + gap) & (p[:, 1] < q[:, 1] + q[:, 3] + gap) & (q[:, 1] < p[:, 1] + p[:, 3] + gap)
+        pairs.append(np.stack((order[a[near]], order[b[near]])))
+        i = j
+    a, b = np.concatenate(pairs, axis=1)
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+#: Pairs of boxes that are compared at once.
+_SWEEP = 1 << 16
+
+
 def merge_boxes(boxes: np.ndarray, gap: int = GAP) -> np.ndarray:
-    """Boxes with pixel counts, near ones replaced by the box around them until none are near."""
-    rows = [list(r) for r in boxes.tolist()]
-    again = True
-    while again:
-        again = False
-        i = 0
-        while i < len(rows):
-            j = i + 1
-            while j < len(rows):
-                (ax, ay, aw, ah, an), (bx, by, bw, bh, bn) = rows[i], rows[j]
-                if ax < bx + bw + gap and bx < ax + aw + gap and ay < by + bh + gap and by < ay + ah + gap:
-                    x, y = min(ax, bx), min(ay, by)
-                    rows[i] = [x, y, max(ax + aw, bx + bw) - x, max(ay + ah, by + bh) - y, an + bn]
-                    del rows[j]
-                    again, j = True, i + 1
-                else:
-                    j += 1
-            i += 1
-    return np.array(rows, np.int64).reshape(-1, 5)
+    """Boxes with pixel counts, near ones replaced by the box around them until none are near, in the order of their first boxes."""
+    rows = np.asarray(boxes, np.int64).reshape(-1, 5)
+    while len(rows):
+        label = _linked(rows, gap)
+        first, group = np.unique(label, return_inverse=True)
+        if len(first) == len(rows):
+            break
+        x0, y0 = rows[first, 0], rows[first, 1]
+        x1, y1, pixels = x0.copy(), y0.copy(), np.zeros(len(first), np.int64)
+        np.minimum.at(x0, group, rows[:, 0])
+        np.minimum.at(y0, group, rows[:, 1])
+        np.maximum.at(x1, group, rows[:, 0] + rows[:, 2])
+        np.maximum.at(y1, group, rows[:, 1] + rows[:, 3])
+        np.add.at(pixels, group, rows[:, 4])
+        rows = np.stack((x0, y0, x1 - x0, y1 - y0, pixels), axis=1)
+    return rows
 
 
 BOXES = "pair_id bigint, ord bigint, x bigint, y bigint, w bigint, h bigint, changed_pixels bigint"
@@ -159,8 +200,12 @@ def _frame(key, boxes: np.ndarray) -> pd.DataFrame:
     return out
 
 
-def _per_pair(rows: DataFrame, order: list[str], columns: list[str], f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """BOXES of each pair's rows, an array of ``columns`` in the given order: one image at most is held at once."""
+def _per_pair(rows: DataFrame, order: list[str], columns: list[str], f: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """BOXES of each pair's rows: one image at most is held beside a batch.
+
+    ``f`` takes an array of ``columns`` in the given order and the first row of each pair (n + 1 values), and gives
+    boxes, pair by pair, and how many each pair has.
+    """
 
     def run(frames):
         held: list[pd.DataFrame] = []
@@ -168,11 +213,10 @@ def _per_pair(rows: DataFrame, order: list[str], columns: list[str], f: Callable
         def answers(whole: pd.DataFrame):
             keys, values = whole["pair_id"].to_numpy(), whole[columns].to_numpy(np.int64)
             edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
-            found = [(keys[a], f(values[a:b])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            sizes = [len(x) for _, x in found]
-            out = pd.DataFrame(np.concatenate([x for _, x in found]), columns=["x", "y", "w", "h", "changed_pixels"])
-            out.insert(0, "ord", np.concatenate([np.arange(n) for n in sizes]))
-            out.insert(0, "pair_id", np.repeat([k for k, _ in found], sizes))
+            boxes, sizes = f(values, edges)
+            out = pd.DataFrame(boxes, columns=["x", "y", "w", "h", "changed_pixels"])
+            out.insert(0, "ord", np.arange(len(boxes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            out.insert(0, "pair_id", np.repeat(keys[edges[:-1]], sizes))
             return out
 
         for frame in frames:
@@ -193,13 +237,30 @@ def _per_pair(rows: DataFrame, order: list[str], columns: list[str], f: Callable
 
 def mask_components(pixels: DataFrame) -> DataFrame:
     """BOXES of the connected components of each pair's changed pixels (pair_id, x, y); rows of a null pair are ignored."""
-    return _per_pair(pixels, ["y", "x"], ["y", "x"], lambda p: components(p[:, 0], p[:, 1]))
+
+    def found(pixels: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [components(pixels[a:b, 0], pixels[a:b, 1]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+    return _per_pair(pixels, ["y", "x"], ["y", "x"], found)
 
 
 def merged_regions(boxes: DataFrame, gap: int = GAP) -> DataFrame:
     """BOXES after merging, of (pair_id, x, y, w, h, changed_pixels); rows of a null pair are ignored."""
     order = ["ord"] if "ord" in boxes.columns else ["y", "x", "w", "h", "changed_pixels"]
-    return _per_pair(boxes, order, ["x", "y", "w", "h", "changed_pixels"], lambda b: merge_boxes(b, gap))
+
+    def merged(rows: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs at once, moved apart so far that none are near."""
+        pair, least = np.repeat(np.arange(len(edges) - 1), np.diff(edges)), rows[:, 0].min()
+        wide = (rows[:, 0] + rows[:, 2]).max() - least + gap + 1
+        apart = rows.copy()
+        apart[:, 0] += pair * wide
+        found = merge_boxes(apart, gap)
+        pair = (found[:, 0] - least) // wide
+        found[:, 0] -= pair * wide
+        return found, np.bincount(pair, minlength=len(edges) - 1)
+
+    return _per_pair(boxes, order, ["x", "y", "w", "h", "changed_pixels"], merged)
 
 
 def image_regions(mask: np.ndarray, share: float = LEAST_SHARE, gap: int = GAP) -> np.ndarray:

@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import data_uri, fixed, html_escape, percent
+from .cost import with_cost
 
 
 def metrics_json(metrics: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row ``report``: the metrics of every arm, by name, and the run's costs."""
+    """One row ``report``: the metrics of every arm, by name, and the run's costs; arms are a handful of rows."""
     arms = metrics.agg(F.array_sort(F.collect_list(F.struct(*metrics.columns))).alias("arms"))
     return arms.crossJoin(summary.select(F.struct(*summary.columns).alias("summary"))).select(F.to_json(F.struct("arms", "summary")).alias("report"))
 
 
 def pair_details(pairs: DataFrame, results: DataFrame) -> DataFrame:
-    """One row a pair of the subset's report, types and descriptions null where there are none."""
+    """(baseline, pair_id, detail): a JSON object for each result of a known pair, with nulls where there is no type or description.
+
+    ``results`` may have ``classifications``, an array of structs, one for each classified region.
+    """
     r = results.join(pairs.select(F.col("id").alias("pair_id"), "kind"), "pair_id")
-    return r.groupBy("baseline").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pair_id", "kind", "changed", "change_type", "input_tokens", "output_tokens")))).alias("pairs"))
+    regions = F.coalesce("classifications", F.array()) if "classifications" in results.columns else F.array()
+    fields = [F.col("pair_id").alias("id"), "kind", "changed", "change_type", "description", F.size(regions).alias("regions_classified"), regions.alias("classifications"), "input_tokens", "output_tokens"]
+    return r.select("baseline", "pair_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("detail"))
+
+
+def run_totals(results: DataFrame, prices: DataFrame) -> DataFrame:
+    """One row: pairs, results, tokens in and out of all arms, and their cost to 4 decimals, halves up."""
+    sums = with_cost(results, prices).agg(
+        F.countDistinct("pair_id").alias("total_pairs"), F.count("*").alias("total_results"), F.sum("input_tokens").alias("total_input"), F.sum("output_tokens").alias("total_output"), F.sum("cost_usd").alias("cost_usd")
+    )
+    return sums.withColumn("cost_usd", F.floor(F.col("cost_usd") * 10000 + 0.5) / 10000)
 
 
 def metric_lines(metrics: DataFrame) -> DataFrame:

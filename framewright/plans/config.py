@@ -21,11 +21,13 @@ class Choice:
 
 
 def pick(presets: list[Preset], env: Mapping[str, str], name: str | None = None, model: str | None = None) -> Choice:
-    """The named preset, else the first whose key is set; the model is the one asked for, else <NAME>_MODEL's, else the default."""
+    """The named preset, whose key must be set, else the first whose key is set; the model is the one asked for, else <NAME>_MODEL's, else the default."""
     if name:
         found = next((p for p in presets if p.name == name), None)
         if not found:
             raise ValueError(f"unknown provider: {name}")
+        if not env.get(found.key_variable):
+            raise ValueError(f"{found.key_variable} is not set")
     else:
         found = next((p for p in presets if env.get(p.key_variable)), None)
         if not found:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from ..functions import geometry as geo
 from ..functions import replies, text
 from ..functions.geometry import Rect
 from ..operators import cache, classify, cost, domdiff, fusion, metrics, mutate, raster, report
-from ..sources import html_dom, pairs
+from ..sources import html_dom, pairs, png
 from .inputs import KINDS, cte, of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,12 +88,10 @@ def mutation_matrix(spark, sf_dir):
     return kinds.crossJoin(spark.createDataFrame([("cards",), ("form",), ("navbar",)], "fixture string"))  # 13 x 3 fixed rows
 
 
-@query(cte("dom_before", "dom_after") + " select count(*) as n, cast(sum(x + 2 * y + 3 * w + 5 * h) as double) as places, count(distinct concat(path, '|', text, '|', background_color, '|', font_weight, '|', border_radius)) as styles from dom_after")
+@query(cte("dom_before", "dom_after") + f" select pair_id, ord, path, {_VALUES} from dom_after")
 def mutate_nodes(spark, sf_dir):
     effects = spark.createDataFrame([(i, m[3], m[4]) for i, m in enumerate(mutate.MUTATIONS)], "k bigint, effect string, argument string")
-    after = mutate.mutate(of(spark, sf_dir, "dom_before").join(F.broadcast(effects), "k").drop("k"))
-    style = F.concat_ws("|", "path", "text", "background_color", "font_weight", "border_radius")
-    return after.agg(F.count("*").alias("n"), F.sum(F.expr("x + 2 * y + 3 * w + 5 * h")).alias("places"), F.countDistinct(style).alias("styles"))
+    return mutate.mutate(of(spark, sf_dir, "dom_before").join(F.broadcast(effects), "k").drop("k"))
 
 
 _OVERLAP = "{a}.x < {b}.x + {b}.w + {g} and {b}.x < {a}.x + {a}.w + {g} and {a}.y < {b}.y + {b}.h + {g} and {b}.y < {a}.y + {a}.h + {g}"
@@ -372,19 +372,23 @@ def run_cost(spark, sf_dir):
     return cost.run_cost(of(spark, sf_dir, "results").select("model", "input_tokens", "output_tokens"), cost.pricing(spark, PRICES))
 
 
+_LAST_BOX = "(select pair_id, " + ", ".join(f"max_by({{0}}.{c}, ord) as {{1}}{c}" for c in "xywh") + " from {0} group by pair_id)"
+
+
 @query(
-    _DOM + """, last as (select pair_id, max_by(x, ord) as lx, max_by(w, ord) as lw from dom_after group by pair_id), box as (select pair_id, min(x) as x, max(x + w) - min(x) as w from dom_before group by pair_id),
-old as (select pair_id, max_by(x, ord) as ox, max_by(w, ord) as ow from dom_before group by pair_id),
-t as (select b.pair_id, case b.pair_id % 13 """ + " ".join(f"when {i} then '{k}'" for i, k in enumerate(KINDS)) + """ end as kind, x, w, ox, ow, lx, lw from box b join old using (pair_id) left join last using (pair_id))
-select pair_id, case kind when 'none' then null when 'element-remove' then ox when 'element-add' then lx else x end as x, case kind when 'none' then null when 'element-remove' then ow when 'element-add' then lw else w end as w from t"""
+    _DOM + ", last as " + _LAST_BOX.format("dom_after", "l") + ", old as " + _LAST_BOX.format("dom_before", "o")
+    + ", box as (select pair_id, min(x) as x, min(y) as y, max(x + w) - min(x) as w, max(y + h) - min(y) as h from dom_before group by pair_id), t as (select *, case pair_id % 13 "
+    + " ".join(f"when {i} then '{k}'" for i, k in enumerate(KINDS)) + " end as kind from box join old using (pair_id) left join last using (pair_id)) select pair_id, "
+    + ", ".join(f"case kind when 'none' then null when 'element-remove' then o{c} when 'element-add' then l{c} else {c} end as {c}" for c in "xywh") + " from t"
 )
 def ground_truth_rect(spark, sf_dir):
     before, after = of(spark, sf_dir, "dom_before"), of(spark, sf_dir, "dom_after")
-    rect = F.struct("x", "w")
-    t = before.groupBy("pair_id").agg(F.struct(F.min("x").alias("x"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w")).alias("box"), F.max_by(rect, "ord").alias("old"))
+    rect = F.struct(*"xywh")
+    box = F.struct(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"))
+    t = before.groupBy("pair_id").agg(box.alias("box"), F.max_by(rect, "ord").alias("old"))
     t = t.join(after.groupBy("pair_id").agg(F.max_by(rect, "ord").alias("last")), "pair_id", "left")
     t = t.join(of(spark, sf_dir, "pairs").withColumnRenamed("id", "pair_id").select("pair_id", "kind"), "pair_id")
-    return t.select("pair_id", mutate.truth_rect(F.col("kind"), F.col("old"), F.col("last"), F.col("box")).alias("r")).select("pair_id", "r.x", "r.w")
+    return t.select("pair_id", mutate.truth_rect(F.col("kind"), F.col("old"), F.col("last"), F.col("box")).alias("r")).select("pair_id", "r.*")
 
 
 @query(
@@ -422,12 +426,13 @@ def subset_present(spark, sf_dir):
     return pairs.subset_if_present(known, ["3", "7", "999"]).select(F.col("id").cast("int").alias("id"))
 
 
-@query(_DOM + "select count(*) as nodes, count(distinct pair_id) as pairs from dom_before")
+@query(cte("dom_before") + " select pair_id, row_number() over (partition by pair_id order by ord) - 1 as ord, path, 'TR' as tag, id, null::varchar as class_name, text, x, y, w, h, color, background_color, font_weight, border_radius from dom_before")
 def snapshot_parse(spark, sf_dir):
     """Nodes written as JSON snapshots and parsed back."""
-    node = F.struct("ord", F.struct("path", F.lit("TR").alias("tag"), "id", "text", F.struct("x", "y", "w", "h").alias("rect"), F.struct("color").alias("style")).alias("n"))
+    style = F.struct("color", F.col("background_color").alias("backgroundColor"), F.col("font_weight").alias("fontWeight"), F.col("border_radius").alias("borderRadius"))
+    node = F.struct("ord", F.struct("path", F.lit("TR").alias("tag"), "id", "text", F.struct("x", "y", "w", "h").alias("rect"), style.alias("style")).alias("n"))
     shots = of(spark, sf_dir, "dom_before").groupBy("pair_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(node)), lambda s: s["n"])).alias("dom"))
-    return domdiff.parse_snapshot(shots, "dom").agg(F.count("*").alias("nodes"), F.countDistinct("pair_id").alias("pairs"))
+    return domdiff.parse_snapshot(shots, "dom")
 
 
 @query()
@@ -438,3 +443,128 @@ def page_dom_nodes(spark, sf_dir):
 @query()
 def metrics_report(spark, sf_dir):
     return report.metric_lines(_summary(spark, sf_dir))
+
+
+#: Size of the screenshots that stand for suppliers.
+WIDE, TALL = 96, 64
+_SHOTS = f"""with s as (select s_suppkey as pair_id, s_suppkey % 7 = 0 as quiet, s_suppkey % 3 = 0 as pixels_only, s_suppkey % 5 = 0 as twice,
+    5 + s_suppkey % 40 as x, 4 + s_suppkey % 30 as y, 10 + s_suppkey % 20 as w, 8 + s_suppkey % 12 as h from supplier)"""
+
+
+def _shots(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes before and after, and images, of a supplier each: a box that turns up, a speck below the least share, a node that only the DOM moves."""
+    k = F.col("s_suppkey")
+    s = _table(spark, sf_dir, "supplier").select(k.alias("pair_id"), (k % 7 == 0).alias("quiet"), (k % 3 == 0).alias("pixels_only"), (k % 5 == 0).alias("twice"), (5 + k % 40).alias("x"), (4 + k % 30).alias("y"), (10 + k % 20).alias("w"), (8 + k % 12).alias("h"))
+
+    def node(path, x, y, w, h, background):
+        style = [F.lit("t").alias("text"), F.lit("c").alias("color"), background.alias("background_color"), F.lit("400").alias("font_weight"), F.lit("0px").alias("border_radius")]
+        return s.select("pair_id", "quiet", "pixels_only", "twice", F.lit(path).alias("path"), F.lit(len(path)).cast("bigint").alias("ord"), F.lit(path).alias("id"), *(F.lit(v).cast("double").alias(c) if isinstance(v, int) else v.cast("double").alias(c) for c, v in zip("xywh", (x, y, w, h), strict=True)), *style)
+
+    plain, box, other = F.lit("#ffffff"), ("box", *(F.col(c) for c in "xywh")), ("aside", 80, 55, 4, 4)
+    before = node(*box, plain).unionByName(node(*other, plain))
+    turned = F.when(F.col("quiet") | F.col("pixels_only"), plain).otherwise(F.lit("#204080"))
+    after = node(*box, turned).unionByName(node(*other, plain).withColumn("x", F.when(F.col("twice"), F.col("x") + 9.0).otherwise(F.col("x"))))
+
+    def run(frames):
+        for frame in frames:
+            images = {"before": [], "after": []}
+            for quiet, x, y, w, h in zip(*(frame[c] for c in ("quiet", *"xywh")), strict=True):
+                rects = [] if quiet else [(x, y, w, h, "#204080"), (1, 60, 2, 2, "#000000")]
+                images["before"].append(png.encode_png(mutate.painted([], WIDE, TALL)))
+                images["after"].append(png.encode_png(mutate.painted(rects, WIDE, TALL)))
+            yield frame[["pair_id"]].assign(**images)
+
+    return before, after, s.mapInPandas(run, "pair_id bigint, before binary, after binary")
+
+
+@query(
+    _SHOTS + """ select pair_id, x::double as x, y::double as y, w::double as w, h::double as h, 'dom+pixel' as source, 'backgroundColor' as changed_fields, 'box' as dom_id from s where not quiet and not pixels_only
+    union all select pair_id, 89, 55, 4, 4, 'dom', 'rect', 'aside' from s where twice
+    union all select pair_id, x, y, w, h, 'pixel', null, null from s where not quiet and pixels_only and twice"""
+)
+def detect_on_images(spark, sf_dir):
+    """From snapshots and PNG screenshots to candidate regions."""
+    regions, _ = fusion.detect(*_shots(spark, sf_dir))
+    return _flat(regions).drop("ord")
+
+
+@query(_SHOTS + " select pair_id, (case when quiet or pixels_only then 0 else 1 end + twice::int)::bigint as dom_change_count, not (quiet or pixels_only) or twice as changed, (not quiet)::bigint as pixel_region_count from s")
+def detect_summary(spark, sf_dir):
+    return fusion.detect(*_shots(spark, sf_dir))[1]
+
+
+class CropModel:
+    """A model that answers with the size of the first image it is shown, and whether it got a hint."""
+
+    def send(self, system: str, blocks: list[dict]) -> tuple[str, int, int]:
+        first = next(b for b in blocks if b["type"] == "image")
+        tall, wide = png.decode_png(base64.b64decode(first["data"])).shape[:2]
+        hinted = "The DOM reports" in system
+        return json.dumps({"changeType": "color-change" if hinted else "other", "description": f"{wide}x{tall}", "confidence": 0.5}), 10, 5
+
+
+@query(
+    _SHOTS + """, r as (select pair_id, x, y, w, h, true as hinted from s where not quiet and not pixels_only union all select pair_id, 89, 55, 4, 4, true from s where twice
+    union all select pair_id, x, y, w, h, false from s where not quiet and pixels_only and twice),
+c as (select *, pair_id % 2 = 0 or x = 89 and exists (select 1 from s where quiet and twice and pair_id % 2 = 0) as early, greatest(x - 16, 0) as cx, greatest(y - 16, 0) as cy, row_number() over (partition by pair_id order by w * h desc) as rank from r),
+k as (select *, least(96 - cx, w + 32) as cw, least(64 - cy, h + 32) as ch from c)
+select pair_id, rank, case when hinted then 'color-change' else 'other' end as change_type, concat(cw, 'x', ch) as description, 0.5e0 as confidence,
+    early as cached, case when early then 0 else 10 end::bigint as input_tokens, case when early then 0 else 5 end::bigint as output_tokens from k where rank = 1"""
+)
+def region_classification(spark, sf_dir):
+    """The largest region of each pair cropped, keyed, looked up and, where it is new, asked; pairs of even ids were asked before.
+
+    The node aside looks alike in all pairs, so one answer serves them all.
+    """
+    before, after, images = _shots(spark, sf_dir)
+    regions = fusion.detect(before, after, images)[0]
+    now = F.expr(NOW)
+    none = spark.createDataFrame([], "key string, classification struct<change_type:string,description:string,confidence:double>, cached_at timestamp")
+    even = regions.where("pair_id % 2 = 0")
+    _, entries = classify.classify_regions(even, images, none, CropModel, now, k=1)
+    answered, _ = classify.classify_regions(regions, images, entries, CropModel, now, k=1)
+    return answered.select("pair_id", F.col("rank").cast("bigint").alias("rank"), "change_type", "description", "confidence", "cached", "input_tokens", "output_tokens")
+
+
+@query(_REPLIES + """ select event_id as pair_id, case form when 5 then user_id % 2 = 0 when 7 then true else false end as changed, 0::bigint as n_regions,
+    case form when 0 then event_type when 1 then event_type when 5 then event_type end as change_type, case form when 0 then concat('d', user_id) when 2 then 'no type' end as description,
+    10::bigint as input_tokens, 5::bigint as output_tokens from replies""")
+def raw_pair_arm(spark, sf_dir):
+    said = of(spark, sf_dir, "replies").select(F.col("event_id").alias("key"), F.col("reply").alias("text"))
+    pairs_ = said.select(F.col("key").alias("pair_id"))
+    out = classify.raw_arm(pairs_, lambda rows: classify.scripted(rows.withColumn("key", F.col("pair_id")), said))
+    return out.withColumn("regions", F.size("regions").cast("bigint")).withColumnRenamed("regions", "n_regions")
+
+
+@query(_RESULTS + """, t as (select count(*) as total, count(*) filter (where kind <> 'none') as expected, count(*) filter (where changed) as detected, count(*) filter (where changed and kind = 'none') as false_positives,
+    count(*) filter (where iou > 0.3e0) as strict_hits from scored)
+select *, round(detected / expected, 9) as recall, round(false_positives / (total - expected), 9) as false_positive_rate from t""")
+def detection_tallies(spark, sf_dir):
+    r = of(spark, sf_dir, "results")
+    counts = metrics.tallies(r.select((F.col("kind") != "none").alias("expected"), F.col("changed").alias("detected")))
+    hits = r.select(F.struct(*"xywh").alias("p"), F.struct(*(F.col(f"t{c}").alias(c) for c in "xywh")).alias("t")).agg(F.count_if(metrics.strict_hit(F.col("p"), F.col("t"))).alias("strict_hits"))
+    return counts.crossJoin(hits).withColumns({c: F.round(c, 9) for c in ("recall", "false_positive_rate")})  # one row and one row
+
+
+@query(cte("results") + " select baseline, count(*) as n, cast(sum(case when kind = 'none' then 1 else 0 end) as bigint) as quiet from results where known group by baseline")
+def matched_results(spark, sf_dir):
+    r = of(spark, sf_dir, "results").where("known")
+    pairs_ = r.select(F.col("pair_id").alias("id"), "kind").distinct()
+    return metrics.matched(r.drop("kind"), pairs_).groupBy("baseline").agg(F.count("*").alias("n"), F.sum((F.col("kind") == "none").cast("bigint")).alias("quiet"))
+
+
+@query(
+    cte("results") + f""", {_PRICES} select count(distinct pair_id) as total_pairs, count(*) as total_results, cast(sum(input_tokens) as bigint) as total_input, cast(sum(output_tokens) as bigint) as total_output,
+    floor(sum(coalesce(input_tokens / 1e6 * pi + output_tokens / 1e6 * po, 0)) * 10000 + 0.5e0) / 10000 as cost_usd from results left join prices using (model)"""
+)
+def run_totals(spark, sf_dir):
+    return report.run_totals(of(spark, sf_dir, "results"), cost.pricing(spark, PRICES))
+
+
+@query(
+    cte("results") + """ select baseline, pair_id, concat('{"id":', pair_id, ',"kind":"', kind, '","changed":', case when changed then 'true' else 'false' end, ',"change_type":', case when change_type is null then 'null' else concat('"', change_type, '"') end,
+    ',"description":null,"regions_classified":0,"classifications":[],"input_tokens":', input_tokens, ',"output_tokens":', output_tokens, '}') as detail from results where known"""
+)
+def pair_details(spark, sf_dir):
+    r = of(spark, sf_dir, "results").where("known")
+    return report.pair_details(r.select(F.col("pair_id").alias("id"), "kind"), r.drop("kind").withColumn("description", F.lit(None).cast("string")))

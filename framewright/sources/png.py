@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -90,8 +91,26 @@ def read_images(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFr
 
 
 def with_images(pairs: DataFrame, images: DataFrame) -> DataFrame:
-    """Pairs with the contents of the files that ``before`` and ``after`` name; a missing file drops the pair."""
+    """Pairs with the contents of the files that ``before`` and ``after`` name; a missing file is an error when rows are read."""
     b, a = (images.select(F.col("name").alias(c), F.col("content").alias(f"{c}_png")) for c in ("before", "after"))
     name = F.element_at(F.split("before", "/"), -1)
     out = pairs.withColumn("before", name).withColumn("after", F.element_at(F.split("after", "/"), -1))
-    return out.join(b, "before").join(a, "after")
+    out = out.join(b, "before", "left").join(a, "after", "left")
+    for c in ("before", "after"):
+        missing = F.raise_error(F.concat(F.lit("no such file: "), F.coalesce(c, F.lit("null")))).cast("binary")
+        out = out.withColumn(f"{c}_png", F.coalesce(f"{c}_png", missing))
+    return out
+
+
+def write_images(images: DataFrame, folder: str) -> None:
+    """(name, content) rows as files of the same names under a folder that all executors share, a file for each row."""
+
+    def run(frames):
+        os.makedirs(folder, exist_ok=True)
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                with open(os.path.join(folder, os.path.basename(name)), "wb") as out:
+                    out.write(content)
+            yield frame[["name"]]
+
+    images.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()

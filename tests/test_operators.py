@@ -349,3 +349,143 @@ def test_streamed_pairs(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.id for r in spark.table("seen").collect()] == ["other"]
+
+
+def _smoothed_one(rgba, other, y, x):
+    """Pixel by pixel, what the vectorised rule says of a smoothed edge."""
+    h, w = rgba.shape[:2]
+    luma = raster._luma(rgba)
+
+    def plain(image, v, u):
+        same = int(u in (0, w - 1) or v in (0, h - 1))
+        for p in range(max(v - 1, 0), min(v + 2, h)):
+            for q in range(max(u - 1, 0), min(u + 2, w)):
+                same += (p, q) != (v, u) and (image[p, q] == image[v, u]).all()
+        return same > 2
+
+    equal, low, high = int(x in (0, w - 1) or y in (0, h - 1)), (0.0, None), (0.0, None)
+    for v in range(max(y - 1, 0), min(y + 2, h)):
+        for u in range(max(x - 1, 0), min(x + 2, w)):
+            d = luma[y, x] - luma[v, u]
+            if (v, u) == (y, x):
+                continue
+            equal += d == 0
+            low, high = (d, (v, u)) if d < low[0] else low, (d, (v, u)) if d > high[0] else high
+    if equal > 2 or low[1] is None or high[1] is None:
+        return False
+    return any(plain(rgba, *at) and plain(other, *at) for at in (low[1], high[1]))
+
+
+def test_smoothed_edges_are_those_of_the_rule():
+    rng = np.random.default_rng(11)
+    seen = 0
+    for _ in range(30):
+        levels = rng.integers(0, 3, (9, 11))
+        levels[:, :4], levels[6:, :] = 0, 2
+        a = np.full((9, 11, 4), 255, np.uint8)
+        a[..., :3] = (levels * 100)[..., None]
+        b = a.copy()
+        b[rng.random((9, 11)) < 0.2, :3] = 150
+        y, x = np.nonzero(np.ones((9, 11)))
+        got = raster._smoothed(a, b, y, x)
+        assert got.tolist() == [_smoothed_one(a, b, int(v), int(u)) for v, u in zip(y, x)]
+        seen += int(got.sum())
+    assert seen > 20
+
+
+def test_a_smoothed_edge_is_no_change():
+    before = np.full((20, 20, 4), 255, np.uint8)
+    before[:, :10, :3] = 0
+    after = before.copy()
+    after[:, 10, :3] = 120  # a grey rim between black and white
+    assert not raster.change_mask(before, after).any()
+    after[5:9, 12:16, :3] = 90
+    assert raster.change_mask(before, after).sum() == 16
+
+
+def _merged_one_by_one(boxes, gap):
+    rows = [list(r) for r in boxes]
+    again = True
+    while again:
+        again = False
+        for i in range(len(rows)):
+            for j in range(i + 1, len(rows)):
+                (ax, ay, aw, ah, an), (bx, by, bw, bh, bn) = rows[i], rows[j]
+                if ax < bx + bw + gap and bx < ax + aw + gap and ay < by + bh + gap and by < ay + ah + gap:
+                    x, y = min(ax, bx), min(ay, by)
+                    rows[i] = [x, y, max(ax + aw, bx + bw) - x, max(ay + ah, by + bh) - y, an + bn]
+                    del rows[j]
+                    again = True
+                    break
+            if again:
+                break
+    return rows
+
+
+def test_boxes_merge_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(raster, "_SWEEP", 7)
+    for n in (0, 1, 2, 9, 40):
+        for spread in (60, 200, 600):
+            boxes = np.stack((rng.integers(0, spread, n), rng.integers(0, spread, n), rng.integers(1, 20, n), rng.integers(1, 20, n), rng.integers(1, 9, n)), axis=1).reshape(-1, 5)
+            assert raster.merge_boxes(boxes, 8).tolist() == _merged_one_by_one(boxes.tolist(), 8)
+
+
+def test_missing_files_and_pairs_are_errors(spark, tmp_path):
+    images = spark.createDataFrame([("a.png", b"1"), ("b.png", b"2")], "name string, content binary")
+    ok = spark.createDataFrame([("p", "x/a.png", "b.png")], "id string, before string, after string")
+    assert [(bytes(r.before_png), bytes(r.after_png)) for r in png.with_images(ok, images).collect()] == [(b"1", b"2")]
+    with pytest.raises(Exception, match="no such file: c.png"):
+        png.with_images(ok.withColumn("after", F.lit("d/c.png")), images).collect()
+    results = spark.createDataFrame([("p", 1), ("q", 2)], "pair_id string, n int")
+    assert metrics.matched(results.where("n = 1"), ok).count() == 1
+    with pytest.raises(Exception, match="no such pair: q"):
+        metrics.matched(results, ok).collect()
+    png.write_images(images, str(tmp_path / "out"))
+    assert sorted((r.name, bytes(r.content)) for r in png.read_images(spark, str(tmp_path / "out")).collect()) == [("a.png", b"1"), ("b.png", b"2")]
+
+
+def test_a_named_provider_needs_its_key():
+    presets = [config.Preset("one", "ONE_KEY", "m1"), config.Preset("two", "TWO_KEY", "m2")]
+    assert config.pick(presets, {"TWO_KEY": "k"}, "two").model == "m2"
+    with pytest.raises(ValueError, match="ONE_KEY"):
+        config.pick(presets, {"TWO_KEY": "k"}, "one")
+
+
+def test_appended_entries_are_read_back(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    schema = "key string, classification string, cached_at timestamp"
+    row = lambda k, c, t: spark.sql(f"select '{k}' as key, '{c}' as classification, timestamp '{t}' as cached_at")
+    kind = row("k", "c", "2024-01-01").schema
+    assert cache.entries_at(spark, path, kind).count() == 0
+    for k, c, t in (("k", "old", "2024-01-01"), ("k", "new", "2024-01-03"), ("other", "x", "2024-01-02")):
+        cache.append(row(k, c, t), path)
+    assert sorted((r.key, r.classification) for r in cache.latest(cache.entries_at(spark, path, kind)).collect()) == [("k", "new"), ("other", "x")]
+    store = cache.MemoryStore(spark.createDataFrame([], schema))
+    store.append(row("k", "c", "1990-01-01"))
+    asked = spark.createDataFrame([("k",), ("z",)], "key string")
+    assert sorted((r.key, r.hit) for r in cache.probe(asked, store.answers(), F.current_timestamp()).collect()) == [("k", True), ("z", False)]
+
+
+def test_pairs_are_rendered_without_a_browser(spark):
+    rows = [(k, o, f"n{o}", f"n{o}", "t", 10.0 * o, 8.0, 6.0, 5.0, "c", "#0000ff", "400", "0px", e if o == 1 else None, a) for k, (e, a) in enumerate([("shift", "6"), ("remove", ""), ("add", ""), ("none", ""), ("background", "#dc2626")]) for o in (0, 1)]
+    nodes = spark.createDataFrame(rows, "pair_id long, ord long, path string, id string, text string, x double, y double, w double, h double, color string, background_color string, font_weight string, border_radius string, effect string, argument string")
+    got = {r.pair_id: r for r in mutate.render_pairs(nodes, 40, 20).collect()}
+    blue = {k: [int((png.decode_png(bytes(x))[..., :3] == (0, 0, 255)).all(axis=2).sum()) for x in (r.before, r.after)] for k, r in got.items()}
+    assert blue == {0: [60, 60], 1: [60, 30], 2: [60, 60], 3: [60, 60], 4: [60, 30]}
+    assert {k: r.truth and tuple(r.truth) for k, r in got.items()} == {0: (16.0, 8.0, 6.0, 5.0), 1: (10.0, 8.0, 6.0, 5.0), 2: (10.0, 8.0, 6.0, 5.0), 3: None, 4: (10.0, 8.0, 6.0, 5.0)}
+    assert [r.changed_pixels for r in raster.pixel_regions(mutate.render_pairs(nodes.where("pair_id = 4"), 40, 20)).collect()] == [30]
+
+
+def test_dom_diff_of_a_hot_pair_and_of_repeats(spark):
+    rows = [(1, i, f"p{i % 500}", None, "t", float(i), 0.0, 1.0, 1.0, "c", "b", "400", "0px") for i in range(1000)]
+    schema = "pair_id long, ord long, path string, id string, text string, x double, y double, w double, h double, color string, background_color string, font_weight string, border_radius string"
+    before = spark.createDataFrame(rows, schema)
+    assert domdiff.dom_diff(before, before).count() == 0
+    changed = domdiff.dom_diff(before, before.where("ord < 500")).collect()
+    assert len(changed) == 500 and {tuple(r.changed_fields) for r in changed} == {("rect",)} and {r.ord for r in changed} == set(range(500))
+    regions = fusion.candidate_regions(domdiff.dom_diff(before, before.where("ord < 500")), spark.createDataFrame([(1, 0, 3.5, 0.5, 1.0, 1.0), (1, 1, 900.0, 900.0, 1.0, 1.0), (2, 0, 0.0, 0.0, 9.0, 9.0)], "pair_id long, ord long, x double, y double, w double, h double"))
+    found = {r.source: 0 for r in regions.collect()}
+    for r in regions.collect():
+        found[r.source] += 1
+    assert found == {"dom": 498, "dom+pixel": 2, "pixel": 1}
