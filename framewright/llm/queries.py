@@ -53,7 +53,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = stored(media.text_images(table(spark, sf_dir, "documents")), "media")
     sized = images.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    out = media.features(sized, extra=media.payload_digests, extra_schema=media.PAYLOAD)
+    out = stored(media.features(sized, extra=media.payload_digests, extra_schema=media.PAYLOAD), "tiles")  # NPY tiles are written and read back
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", "dhash", F.md5("tile")).alias("feature"))
 
 

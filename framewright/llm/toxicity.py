@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, LOWER, U64, chunks, prefix_hash, span_hash, spans, utf8
+from .kernels import ALNUM, LOWER, U64, chunks, prefix_hash, ragged, span_hash, spans, utf8
 from .scratch import stored
 from .session import bounded_batches
 
@@ -32,8 +32,8 @@ DECAY_WEIGHTS, DECAY_FACTORS = 1e-5, 1e-5
 LEAST_RATIO, LEAST_ROWS = 14.0, 3
 #: Least likelihood ratio of a pair against a machine: so many more pairs are tested than terms.
 LEAST_PAIR_RATIO = 36.0
-#: Rows and columns of a block of the counts of pairs.
-PAIR_ROWS, PAIR_COLUMNS = 512, 256
+#: Inputs whose pairs are counted together, and pairs that are counted at once.
+PAIR_COLUMNS, PAIRS = 32, 1 << 21
 
 
 @dataclass
@@ -173,24 +173,28 @@ def _surprise(machine: Machine):
 def _telling_pairs(shared, width: int):
     """(input): those of all pairs with an input of a block (id) that stand in the rows seen more often than expected.
 
-    ``shared`` has first, inputs, whether each row is seen, and the probability of that.
+    ``shared`` has first, inputs, the places of the inputs in their order, whether each row is seen, and the
+    probability of that.
     """
 
     def run(batches):
-        first, inputs, seen, expected = shared.value
+        first, inputs, order, seen, expected = shared.value
         for batch in batches:
             for a in (PAIR_COLUMNS * i for i in batch.column("id").to_pylist()):
                 b = min(a + PAIR_COLUMNS, width)
-                n, e = np.zeros((b - a, width), np.float32), np.zeros((b - a, width), np.float32)
-                for r in range(0, len(seen), PAIR_ROWS):
-                    stop = min(r + PAIR_ROWS, len(seen))
-                    x = np.zeros((stop - r, width), np.float32)
-                    x[np.repeat(np.arange(stop - r), np.diff(first[r : stop + 1])), inputs[first[r] : first[stop]]] = 1
-                    n += x[seen[r:stop], a:b].T @ x[seen[r:stop]]
-                    e += (x[:, a:b] * expected[r:stop, None].astype(np.float32)).T @ x
-                tells = (n > e) & (2 * (n * np.log(np.maximum(n, 1) / np.maximum(e, np.float32(1e-12))) - n + e) >= LEAST_PAIR_RATIO)
-                tells[np.arange(b - a), np.arange(a, b)] = False
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(tells.any(axis=0)))], names=["input"])
+                n, e = np.zeros((b - a) * width), np.zeros((b - a) * width)
+                at = order[np.searchsorted(inputs, a, sorter=order) : np.searchsorted(inputs, b, sorter=order)]
+                rows = np.searchsorted(first, at, "right") - 1
+                size = first[rows + 1] - first[rows]
+                for i, j in chunks(np.append(0, np.cumsum(size)), PAIRS):
+                    row = np.repeat(rows[i:j], size[i:j])
+                    pair = np.repeat((inputs[at[i:j]] - a).astype(np.int64) * width, size[i:j]) + inputs[ragged(first[rows[i:j]], size[i:j])]
+                    n += np.bincount(pair[seen[row]], minlength=len(n))
+                    e += np.bincount(pair, weights=expected[row], minlength=len(e))
+                pair = np.flatnonzero(n > e)
+                pair = pair[pair // width + a != pair % width]
+                n, e = n[pair], np.maximum(e[pair], 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(pair[2 * (n * np.log(n / e) - n + e) >= LEAST_PAIR_RATIO] % width))], names=["input"])
 
     return run
 
@@ -273,12 +277,13 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
         if len(able) > 1:
             _, first, inputs, label = rows_of(able)
             score = machine.scores(*alone[1:3])
-            shared = spread.sparkSession.sparkContext.broadcast((first, inputs, label == k, score if k else 1 - score))
+            order = np.argsort(inputs, kind="stable").astype(np.int32 if len(inputs) < 1 << 31 else np.int64)
+            shared = spread.sparkSession.sparkContext.broadcast((first, inputs, order, label == k, score if k else 1 - score))
             blocks = -(-len(able) // PAIR_COLUMNS)
-            found = _numbers(spread.sparkSession.range(0, blocks, 1, blocks).mapInArrow(_telling_pairs(shared, len(able)), "input long").distinct())[0]
+            found = _numbers(spread.sparkSession.range(0, blocks, 1, -(-blocks // 8)).mapInArrow(_telling_pairs(shared, len(able)), "input long").distinct())[0]
             shared.destroy()
             more.append(able[found.astype(np.int64)])
-            del first, inputs, label, score, shared
+            del first, inputs, order, label, score, shared
     both = np.unique(np.concatenate([chosen, *more]))
     return machine if len(both) == len(chosen) else machine_of(*rows_of(both))
 
