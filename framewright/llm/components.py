@@ -11,30 +11,22 @@ from pyspark.sql import functions as F
 from .scratch import drop, stored
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """Pairs (u, v) and the least of u and its neighbours v, as m."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Edges (u, v), v < u, with v replaced by its own least neighbour: a node without a smaller one stays."""
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    return edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Edges of each node, and of its smaller neighbours, to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    linked = _with_least(down)
-    return (
-        linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .unionByName(linked.select("u", F.col("m").alias("v")))
-        .where("u <> v")
-        .distinct()
-    )
+    linked = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
+    both = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v")))
+    return both.where("u <> v").distinct()
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """One round of both steps: other edges (u, v), v < u, with the same components."""
+    """One round of both steps on edges (u, v), v < u: others like them, with the same components."""
     return _small_star(_large_star(edges))
 
 

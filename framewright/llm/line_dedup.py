@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +27,34 @@ BASE = U64(0x9E3779B97F4A7C15)
 SQUARE = U64(pow(0x9E3779B97F4A7C15, 2, 1 << 64))
 #: Bytes of text cut at once: the arrays stay in a core's own cache.
 BLOCK = 1 << 18
+_STEPS = 16
 LINES = "doc_id long, doc_hash long, line int, node long, keys array<long>, n long, " + ", ".join(f"m{i} long" for i in range(setjoin.WORDS))
 
 
 def trimmed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """Start, end (white space at the ends aside), document and number of every line that isn't blank."""
     start, end, _ = spans(data, off, NON_NEWLINE)
-    solid = np.append(0, np.cumsum(NON_SPACE[data]))
-    some = solid[end] > solid[start]
+    solid: np.ndarray | None = None  # places of all that isn't white space; made only for long runs of white space
+    at = np.flatnonzero(~NON_SPACE[data[start]])
+    for _ in range(_STEPS):
+        start[at] += 1
+        at = at[start[at] < end[at]]
+        at = at[~NON_SPACE[data[start[at]]]]
+    if len(at):
+        solid = np.flatnonzero(NON_SPACE[data])
+        start[at] = np.minimum(np.append(solid, len(data))[np.searchsorted(solid, start[at])], end[at])
+    some = start < end
     start, end = start[some], end[some]
-    places = np.flatnonzero(NON_SPACE[data])
-    first, last = places[solid[start]], places[solid[end] - 1] + 1 if len(start) else start
-    feeds = np.append(0, np.cumsum(data == 10))
+    at = np.flatnonzero(~NON_SPACE[data[end - 1]])
+    for _ in range(_STEPS):
+        end[at] -= 1
+        at = at[~NON_SPACE[data[end[at] - 1]]]
+    if len(at):
+        solid = np.flatnonzero(NON_SPACE[data]) if solid is None else solid
+        end[at] = solid[np.searchsorted(solid, end[at]) - 1] + 1
     doc = np.searchsorted(off, start, "right") - 1
-    return first, last, doc, feeds[start] - feeds[off[doc]]
+    feeds = np.flatnonzero(data == 10)
+    return start, end, doc, np.searchsorted(feeds, start) - np.searchsorted(feeds, off[doc])
 
 
 def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,11 +72,11 @@ def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     many = np.maximum(chars - SHINGLE + 1, 1)
     first = np.append(0, np.cumsum(many))
     whole = chars >= SHINGLE
+    if whole.all():
+        return _runs(codes)[ragged(at, many)], first
     out = np.zeros(first[-1], U64)
-    if whole.any():  # a polynomial of the SHINGLE code points from each place on
-        two = codes[:-1] * BASE + codes[1:]
-        run = (two[:-2] * SQUARE + two[2:])[: len(codes) - 4] * BASE + codes[4:]
-        out[np.repeat(whole, many)] = mix(run, 5)[ragged(at, np.where(whole, many, 0))]
+    if whole.any():
+        out[np.repeat(whole, many)] = _runs(codes)[ragged(at[whole], many[whole])]
     for size in range(1, SHINGLE):
         short = np.flatnonzero(chars == size)
         value = np.zeros(len(short), U64)
@@ -71,28 +86,43 @@ def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return out, first
 
 
-def distinct_shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(codes: np.ndarray) -> np.ndarray:
+    """Hashes of SHINGLE code points from each place on: a polynomial of them, its bits mixed."""
+    two = codes[:-1] * BASE
+    two += codes[1:]
+    run = two[:-2] * SQUARE
+    run += two[2:]
+    run = run[: len(codes) - 4] * BASE
+    run += codes[4:]
+    work = run >> U64(32)
+    run ^= work
+    run *= U64(0xBF58476D1CE4E5B9)
+    np.right_shift(run, U64(29), out=work)
+    run ^= work
+    return run
+
+
+def distinct_shingles(hashes: np.ndarray, first: np.ndarray, bits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each line, and the first of each (n + 1 values); all lines are sorted at once.
 
-    Shingles are told apart by the bits that the line's number leaves of 64.
+    Shingles are told apart by the 64 - ``bits`` bits that the line's number leaves, the others become 0.
     """
     n = len(first) - 1
-    bits = U64(max(n.bit_length(), 1))
+    bits = U64(bits or max(n.bit_length(), 1))
     owner = np.repeat(np.arange(n, dtype=U64), np.diff(first))
     both = np.sort((owner << (U64(64) - bits)) | (hashes >> bits))
     both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     return both << bits, np.searchsorted(both >> (U64(64) - bits), np.arange(n + 1, dtype=U64))
 
 
-def line_items(cells: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each stored line; equal cells of a column are hashed once."""
+def line_items(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of stored lines, and the first of each line (n + 1 values); equal cells are hashed once."""
     coded = cells.dictionary_encode()
     data, off = utf8(coded.dictionary.cast(pa.string()))
-    sets: list[np.ndarray] = []
-    for a, b in chunks(off, BLOCK):
-        hashes, first = shingle_hashes(data[off[a] : off[b]], off[a:b] - off[a], off[a + 1 : b + 1] - off[a])
-        sets += [np.unique(hashes[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    return [sets[k] for k in coded.indices.to_pylist()]
+    items, first = distinct_shingles(*shingle_hashes(data, off[:-1], off[1:]), setjoin.PAIR_BITS)
+    row = coded.indices.to_numpy(zero_copy_only=False)
+    size = np.diff(first)[row]
+    return items[ragged(first[row], size)], np.append(0, np.cumsum(size))
 
 
 def _chunks(batches):
@@ -116,9 +146,10 @@ def _cut(batches):
         if len(distinct):
             items, first = distinct_shingles(*shingle_hashes(data, start[index], end[index]))
             size = np.diff(first)
-            bits = setjoin.bitmaps(items >> U64(40), np.repeat(np.arange(len(size)), size), len(size))
+            bits = setjoin.bitmaps(items, np.repeat(np.arange(len(size)), size), len(size))
             values = minima(items, first[:-1], ROWS * BANDS)
-            keys = np.array([mix(combined(values[ROWS * k : ROWS * (k + 1)], 300), 2000 + k) for k in range(BANDS)]).T.view(np.int64)
+            bands = combined(values.reshape(BANDS, ROWS, -1).swapaxes(0, 1), 300)
+            keys = mix(bands + np.arange(BANDS, dtype=U64)[:, None], 2000).T.view(np.int64)
         fresh = np.zeros(len(node), bool)
         fresh[index] = True
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(fresh) * BANDS).astype(np.int32)), pa.array(np.ascontiguousarray(keys[back[fresh]]).reshape(-1)))
@@ -143,11 +174,19 @@ def _texts(sieve: Sieve):
     return run
 
 
-def _removed(kept: list[str], text_col: str):
+def _removed(kept: list[str], text_col: str, without: Sieve | None = None):
+    """The rows without the lines in ``__gone``; documents in the sieve ``without`` are left out."""
+
     def run(batches):
         for batch in batches:
-            texts, lines, many = [], [], []
+            if without:
+                batch = batch.filter(pa.array(~without.keeps(batch.column("hash").to_numpy(zero_copy_only=False))))
             row = dict(zip(kept, batch.column("row").flatten(), strict=True))
+            if without:  # nothing goes: lines are counted without cutting texts
+                lines = np.where(pc.equal(pc.binary_length(row[text_col]), 0).fill_null(True), 0, pc.add(pc.count_substring(row[text_col], "\n"), 1).fill_null(0))
+                yield pa.RecordBatch.from_arrays([*row.values(), pa.array(lines.astype(np.int64)), pa.array(np.zeros(len(lines), np.int64))], names=[*kept, "n_lines", "n_removed"])
+                continue
+            texts, lines, many = [], [], []
             for text, gone in zip(row[text_col].to_pylist(), batch.column("__gone").to_pylist(), strict=True):
                 cut = set(gone or ())
                 parts = text.split("\n") if text else []
@@ -171,27 +210,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("doc_hash"), F.col(text_col).alias("text")).where("text is not null")
     lines = stored(named.mapInArrow(_cut, LINES), "lines")
-    place = F.struct("doc_id", "doc_hash", "line")
-    several = stored(lines.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("n")), "occurrences")
+    several = stored(lines.groupBy("node").agg(F.min("doc_hash").alias("home"), F.count("*").alias("n")), "occurrences")
 
     def items_of(wanted: DataFrame) -> DataFrame:
-        """The text of each wanted line, from the document of its first occurrence."""
-        homes = several.join(wanted, "node", "left_semi").select("least.doc_hash")
-        texts = sifted(named.select("doc_hash", "text"), "doc_hash", Sieve(rows_of(homes, "doc_hash"))).select("text").mapInArrow(_texts(Sieve(rows_of(wanted, "node"))), "node long, items binary")
+        """The text of each wanted line, from one of the documents that have it."""
+        homes = several.join(wanted, "node", "left_semi").select("home")
+        texts = sifted(named.select("doc_hash", "text"), "doc_hash", Sieve(rows_of(homes, "home"))).select("text").mapInArrow(_texts(Sieve(rows_of(wanted, "node"))), "node long, items binary")
         return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    members = setjoin.buckets(lines.select("node", *setjoin.CARRIED, "keys"))
-    found = setjoin.classes(members, items_of, setjoin.jaccard_at_least(percent, line_items), percent)
-    labelled = several.join(found, "node", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    members = setjoin.buckets(lines)
+    wanted = stored(members.select("node").distinct(), "wanted")
+    carried = sifted(lines.where("size(keys) > 0").select("node", *setjoin.CARRIED), "node", Sieve(rows_of(wanted, "node")))
+    carried = stored(carried.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "carried")
+    found = setjoin.classes(members, carried, items_of, percent, line_items)
+    labelled = several.join(found, "node", "left").where("n > 1 or component is not null").select("node", F.coalesce("component", "node").alias("component"))
     labelled = stored(labelled, "labelled")
-    stays = labelled.groupBy("component").agg(F.min("least").alias("least"))
-    goes = stored(labelled.select("node", "component").join(stays, "component").select("node", "least"), "goes")
-    at = sifted(lines.select("node", "doc_id", "doc_hash", "line"), "node", Sieve(rows_of(goes, "node")))
-    gone = at.join(goes, "node").where(~place.eqNullSafe(F.col("least")))
+    place = F.struct("doc_id", "doc_hash", "line")
+    at = sifted(lines.select("node", "doc_id", "doc_hash", "line"), "node", Sieve(rows_of(labelled, "node")))
+    at = stored(at.join(labelled, "node").select("component", "doc_id", "doc_hash", "line"), "places")
+    stays = at.groupBy("component").agg(F.min(place).alias("least"))
+    gone = at.join(stays, "component").where(~place.eqNullSafe(F.col("least")))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_set("line").alias("__gone"))
+    gone = stored(gone, "gone")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
-    both = whole.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")), "left")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("hash"))
+    sieve = Sieve(rows_of(gone, "__hash"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), "n_lines long", "n_removed long"])
-    return both.select("row", "__gone").mapInArrow(_removed(kept, text_col), schema)
-
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))
+    held = sifted(whole, "hash", sieve).join(gone, same, "left").select("row", "hash", "__gone")
+    rest = whole.select("row", "hash").mapInArrow(_removed(kept, text_col, sieve), schema)
+    return rest.unionByName(held.mapInArrow(_removed(kept, text_col), schema))

@@ -17,21 +17,20 @@ def minima(items: np.ndarray, start: np.ndarray, count: int, seed: int = 1) -> n
     if not len(start):
         return out
     half = (items >> U64(32)).astype(np.uint32)
-    draws = np.random.default_rng(seed).integers(0, 1 << 32, (count, 2), dtype=np.uint32)
+    factors = np.random.default_rng(seed).integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1)
     off = np.append(start, len(items))
     for a, b in chunks(off, BLOCK):
         part, first = half[off[a] : off[b]], off[a:b] - off[a]
         work = np.empty_like(part)
-        for k, (flip, factor) in enumerate(draws):
-            np.bitwise_xor(part, flip, out=work)
-            np.multiply(work, factor | np.uint32(1), out=work)
+        for k, factor in enumerate(factors):
+            np.multiply(part, factor, out=work)
             out[k, a:b] = np.minimum.reduceat(work, first)
     return out
 
 
 def combined(rows: np.ndarray, seed: int) -> np.ndarray:
-    """One 64-bit value of the given MinHash rows."""
-    out = np.zeros(rows.shape[1], U64)
+    """One 64-bit value of the given MinHash rows, for each place of the other axes."""
+    out = np.zeros(rows.shape[1:], U64)
     for k, row in enumerate(rows):
         out = mix(out + row.astype(U64), seed + k)
     return out

@@ -102,8 +102,8 @@ def _labelled(rows: DataFrame, size: int, percent: int, groups: int) -> DataFram
         sets = texts.select("text").mapInArrow(_sets(size), "node long, items binary").join(wanted, "node", "left_semi")
         return sets.dropDuplicates(["node"])
 
-    members = setjoin.buckets(nodes.select("node", *setjoin.CARRIED, "keys"))
-    found = setjoin.classes(members, items_of, setjoin.jaccard_at_least(percent), percent)
+    members = setjoin.buckets(nodes)
+    found = setjoin.classes(members, nodes.select("node", *setjoin.CARRIED), items_of, percent)
     labelled = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = labelled.select("node", "component").join(least, "component")

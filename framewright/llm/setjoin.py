@@ -1,11 +1,11 @@
 """From bucket keys to verified links and classes, without all pairs of a bucket.
 
 A bucket is a set of distinct nodes that share a key.  First every member is checked against one centre of its
-bucket.  Then, while a bucket holds several classes, one centre of each class is checked against the members of
-the other classes, and leaves the bucket: nothing of its pairs is open any more.  After ROUNDS of these, what is
-still open is checked at once.  So each pair of a bucket is verified, or ruled out exactly, or already lies in one
-class: no link between classes is lost, no pair is verified twice, and a bucket of near copies costs about as many
-checks as it has members.
+bucket.  Where a bucket still holds several classes, a centre of its largest class, another one in each bucket, is
+checked against the members of the other classes.  What differs in class after that is compared within the bucket by
+wide bitmaps, which leave hardly any pair but links, and these are checked.  So each pair of a bucket is verified, or
+ruled out exactly by sizes and bitmaps, or already lies in one class: no link between classes is lost, and a
+bucket of near copies costs about as many checks as it has members.
 """
 
 from __future__ import annotations
@@ -15,139 +15,177 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, contracted
+from .kernels import chunks
 from .scratch import stored
 from .sieve import Sieve, rows_of, sifted_keys
 
-#: Rounds of one centre for each class of a bucket, before all that is still open is checked.
-ROUNDS = 3
-#: Words of 64 bits in a set's bitmap.
-WORDS = 4
+#: Pairs that are compared at once, and the bits that number them.
+PAIRS, PAIR_BITS = 1000, 10
+#: Words of 64 bits in a set's bitmap, and in that of the last comparison.
+WORDS, WIDE = 8, 32
 #: Columns of what a member carries besides its node: the size of its set and its bitmap.
 CARRIED = ["n", *(f"m{i}" for i in range(WORDS))]
 
-Check = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: Of a column of stored items: the distinct hashes of all sets, and the first of each (n + 1 values).
+Items = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def bitmaps(items: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
-    """WORDS rows of 64-bit words, a column for each set: which of 64 * WORDS cells hold an odd number of its items.
+def bitmaps(items: np.ndarray, owner: np.ndarray, sets: int, words: int = WORDS) -> np.ndarray:
+    """``words`` rows of 64-bit words, a column for each set: which of 64 * ``words`` cells hold an odd number of its items.
 
     ``items`` has the distinct hashes of all sets, and ``owner`` the set of each.  A cell in which two bitmaps
     differ has an item that only one of the sets has.
     """
-    cells = 64 * WORDS
-    at = owner * cells + (items & np.uint64(cells - 1)).astype(np.int64)
+    cells = 64 * words
+    at = owner * cells + ((items >> np.uint64(40)) & np.uint64(cells - 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=sets * cells) & 1).astype(np.uint8).reshape(sets, cells)
     return np.ascontiguousarray(np.packbits(odd, axis=1, bitorder="little").view(np.int64).T)
 
 
-def may_link(percent: int) -> Column:
+def may_link(percent: int, words: int = WORDS) -> Column:
     """Whether sizes and bitmaps of a member and a centre (c_...) allow a link: never false for a pair that is linked.
 
     The sets differ in d items or more, d being the cells that differ, so of their n + c_n items at most
     (n + c_n - d) / 2 are shared and the union has at least (n + c_n + d) / 2.
     """
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"c_m{i}"))) for i in range(WORDS)))
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"c_m{i}"))) for i in range(words)))
     both = F.col("n") + F.col("c_n")
     return (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & (100 * (both - differ) >= percent * (both + differ))
 
 
 def buckets(keys: DataFrame) -> DataFrame:
-    """From (node, n, m0, ..., keys), where a node may repeat: members (key, node, ...) of the buckets of two nodes or more.
+    """From (node, keys), where a node may repeat: members (key, node) of the buckets of two nodes or more.
 
     Buckets are found by partial minima and maxima of their nodes, before anything is gathered.  Only their
     members are joined back, and a sieve of the keys thins the rows before that join.
     """
+    keys = keys.select("node", "keys")
     each = keys.select(F.explode("keys").alias("key"), "node")
     several = each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
     several = stored(several, "buckets")
     return stored(sifted_keys(keys, Sieve(rows_of(several, "key"))).join(several, "key").distinct(), "members")
 
 
-def stored_sets(cells: pa.Array) -> list[np.ndarray]:
-    """Sets that were stored as the bytes of their sorted hashes."""
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in cells]
+def stored_sets(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sets that were stored as the bytes of their hashes: all hashes, and the first of each set (n + 1 values)."""
+    off = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    raw = np.frombuffer(cells.buffers()[2], np.uint8)[off[0] : off[-1]] if cells.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return raw.view(np.uint64), (off - off[0]) // 8
 
 
-def jaccard_at_least(percent: int, items: Callable[[pa.Array], list[np.ndarray]] = stored_sets) -> Check:
-    """Keep the rows (a, b, sa, sb) whose sets have ``100 * intersection >= percent * union``.
+def shared_items(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many hashes the i-th set of ``a`` and of ``b`` share, for PAIRS pairs at most: sorted at once, by pair and 54 bits of hash."""
+    n, bits = len(a[1]) - 1, np.uint64(PAIR_BITS)
+    high = np.uint64(64) - bits
+    both = np.concatenate([(np.repeat(np.arange(n, dtype=np.uint64), np.diff(first)) << high) | (items >> bits) for items, first in (a, b)])
+    both.sort()
+    return np.bincount((both[1:][both[1:] == both[:-1]] >> high).astype(np.int64), minlength=n)
 
-    ``items`` gives the sorted distinct hashes of each cell of a column.
-    """
+
+def jaccard_at_least(percent: int, items: Items = stored_sets) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keep the rows (a, b, sa, sb) whose sets have ``100 * intersection >= percent * union``."""
 
     def check(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(items(batch.column("sa")), items(batch.column("sb")), strict=True):
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(shared > 0 and 100 * shared >= percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sa", "sb"))
+            for i, j in ((k, min(k + PAIRS, last)) for first, last in chunks(np.append(0, np.cumsum(size))) for k in range(first, last, PAIRS)):
+                rows = batch.slice(i, j - i)
+                a, b = items(rows.column("sa")), items(rows.column("sb"))
+                shared, both = shared_items(a, b), np.diff(a[1]) + np.diff(b[1])
+                yield rows.select(["a", "b"]).filter(pa.array((shared > 0) & (100 * shared >= percent * (both - shared))))
 
     return check
 
 
 class _Verifier:
-    """Checks pairs of nodes, none of them twice, and reads the items of a node once."""
+    """Checks pairs of nodes, and reads the items of a node once.
+
+    ``items_of`` reads (node, items) of the nodes in a table (node); ``items`` makes sets of a column of them.
+    """
 
-    def __init__(self, items_of: Callable[[DataFrame], DataFrame], check: Check):
-        self.items_of, self.check = items_of, check
-        self.tested: DataFrame | None = None
+    def __init__(self, items_of: Callable[[DataFrame], DataFrame], items: Items, percent: int):
+        self.items_of, self.sets, self.percent = items_of, items, percent
         self.items: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The links among ``pairs`` (a, b) that are not tested yet, as edges (u, v)."""
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        """The links among different ``pairs`` (a, b), a < b, as edges (u, v), v < u."""
         pairs = stored(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        self.read(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        whole = pairs.join(self.items.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
+        whole = whole.join(self.items.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
+        found = whole.select("a", "b", "sa", "sb").mapInArrow(jaccard_at_least(self.percent, self.sets), "a long, b long")
+        return stored(found.select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
+
+    def read(self, wanted: DataFrame) -> None:
+        """Have the items of the nodes in ``wanted``."""
         if self.items is not None:
             wanted = wanted.join(self.items.select("node"), "node", "left_anti")
         read = stored(self.items_of(stored(wanted, "wanted")), "items")
         self.items = read if self.items is None else self.items.unionByName(read)
-        whole = pairs.join(self.items.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
-        whole = whole.join(self.items.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
-        found = whole.select("a", "b", "sa", "sb").mapInArrow(self.check, "a long, b long")
-        return stored(found.select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
 
+    def wide(self, nodes: DataFrame) -> DataFrame:
+        """(node, n, m0, ...) with WIDE words of the nodes in a table (node)."""
+        self.read(nodes)
+        sets = self.sets
+
+        def run(batches):
+            for batch in batches:
+                size = pc.binary_length(batch.column("items")).to_numpy(zero_copy_only=False).astype(np.int64)
+                for first, last in chunks(np.append(0, np.cumsum(size))):
+                    for i, j in ((k, min(k + PAIRS, last)) for k in range(first, last, PAIRS)):
+                        items, where = sets(batch.column("items").slice(i, j - i))
+                        words = bitmaps(items, np.repeat(np.arange(j - i), np.diff(where)), j - i, WIDE)
+                        yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(np.diff(where)), *(pa.array(w) for w in words)], names=["node", "n", *(f"m{k}" for k in range(WIDE))])
 
-def _as_centre(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.select("key", *(F.col(c).alias(f"c_{c}") for c in ["node", *CARRIED, *more]))
+        return self.items.join(nodes, "node", "left_semi").mapInArrow(run, ", ".join(["node long", "n long", *(f"m{k} long" for k in range(WIDE))]))
 
 
-def classes(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], check: Check, percent: int) -> DataFrame:
+def _labelled(live: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members (key, node, component) of the buckets that hold several classes; a component is the least neighbour in ``edges``."""
+    least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    labelled = stored(live.join(least, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    return stored(labelled.join(mixed, "key"), "live")
+
+
+def classes(members: DataFrame, carried: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int, items: Items = stored_sets) -> DataFrame:
     """(node, component) of every linked node.
 
-    ``items_of`` reads (node, items), what ``check`` compares, of the nodes in a table (node).  Until all links are
-    found, classes only save checks, so each round contracts the links once; all of them are joined to components
-    at the end.
+    ``carried`` has the size and bitmap of each node's set, (node, n, m0, ...).  Until all links are found, classes
+    only save checks, so they are followed no further than that needs; all links are joined to components at the end.
     """
-    verifier, maybe = _Verifier(items_of, check), may_link(percent)
+    verifier = _Verifier(items_of, items, percent)
     ordered = [F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")]
-    centre = members.groupBy("key").agg(F.min(F.struct("node", *CARRIED)).alias("c")).select("key", "c.*")
-    centre = stored(_as_centre(centre), "centres")
-    rest = members.join(centre, "key").where("node <> c_node")
-    now = stored(contracted(verifier.links(rest.where(maybe).select(*ordered))), "contracted")
-    live = members.join(centre.select("key", "c_node"), "key").where("node <> c_node").drop("c_node")
-    for turn in range(ROUNDS + 1):
-        least = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        live = stored(live.join(least, "node", "left").withColumn("component", F.coalesce("component", "node")), "live")
-        mixed = live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-        if turn < ROUNDS:
-            centre = live.groupBy("key", "component").agg(F.min(F.struct("node", *CARRIED)).alias("c")).select("key", "component", "c.*").join(mixed, "key")
-        else:
-            centre = live.join(mixed, "key")
-        centre = stored(_as_centre(centre, "component"), "centres")
-        if centre.isEmpty():
-            break
-        pairs = live.join(centre, "key").where("component <> c_component").where(maybe)
-        now = stored(contracted(now.unionByName(verifier.links(pairs.select(*ordered)))), "contracted")
-        open_keys = centre.select("key").distinct()
-        live = live.drop("component").join(open_keys, "key", "left_semi").join(centre.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
-    return stored(connected_components(now), "classes")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        one = pairs.distinct().join(carried.withColumnRenamed("node", "a"), "a")
+        two = one.join(carried.select(F.col("node").alias("b"), *(F.col(c).alias(f"c_{c}") for c in CARRIED)), "b")
+        return two.where(may_link(percent)).select("a", "b")
+
+    # every member against the least node of its bucket
+    centre = members.groupBy("key").agg(F.min("node").alias("c_node"))
+    live = stored(members.join(centre, "key").where("node <> c_node"), "live")
+    edges = verifier.links(allowed(live.select(*ordered)))
+
+    # the members of other classes against one of the bucket's largest class
+    live = _labelled(live, edges)
+    many = live.groupBy("key", "component").agg(F.count("*").alias("many"), F.min(F.xxhash64("node", "key")).alias("draw"))
+    best = many.groupBy("key").agg(F.max(F.struct("many", "draw")).alias("best")).select("key", "best.draw")
+    centre = live.withColumn("draw", F.xxhash64("node", "key")).join(best, ["key", "draw"])
+    live = stored(live.join(centre.select("key", F.col("node").alias("c_node"), F.col("component").alias("c_component")), "key").where("node <> c_node"), "live")
+    more = verifier.links(allowed(live.where("component <> c_component").select(*ordered)))
+    edges = stored(contracted(edges.unionByName(more)), "contracted")
+
+    # what is left, by wide bitmaps
+    live = _labelled(live.select("key", "node"), edges)
+    if not live.isEmpty():
+        left = stored(live.join(verifier.wide(live.select("node").distinct()), "node"), "open")
+        other = left.select(*(F.col(c).alias(c if c == "key" else f"c_{c}") for c in left.columns))
+        pairs = left.join(other, "key").where("component <> c_component and node < c_node").where(may_link(percent, WIDE))
+        edges = edges.unionByName(verifier.links(pairs.select(*ordered).distinct()))
+    return stored(connected_components(edges), "classes")

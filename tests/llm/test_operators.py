@@ -285,3 +285,89 @@ def test_language_of_nothing_and_nulls(spark, empty, nulls, odd):
     got = {(r.text, r.lang_pred) for r in langid.predict(odd, known).collect()}
     assert {p for t, p in got if not t or not any(c.isalpha() for c in t)} == {"und"} and ("one", "en") in got
     assert len(langid.predict(nulls, known).collect()) == 4
+
+
+def test_scores_are_those_of_all_pairs():
+    rng = np.random.default_rng(8)
+    machine = toxicity.Machine(np.zeros(1, np.int16), -0.3, rng.normal(0, 0.5, 12), rng.normal(0, 0.4, (12, toxicity.FACTORS)))
+    rows = [sorted(rng.choice(12, int(n), replace=False).tolist()) for n in rng.integers(0, 9, 40)]
+    first = np.append(0, np.cumsum([len(r) for r in rows]))
+    got = machine.scores(first, np.array([i for r in rows for i in r], np.int64))
+    for r, s in zip(rows, got, strict=True):
+        z = machine.bias + sum(machine.weight[i] for i in r) + sum(float(machine.factor[i] @ machine.factor[j]) for k, i in enumerate(r) for j in r[k + 1 :])
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_telling_pairs_are_those_of_all_pairs(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(toxicity, "PAIR_COLUMNS", 4)
+    monkeypatch.setattr(toxicity, "PAIRS", 50)
+    x = rng.random((900, 10)) < 0.3
+    x[:, 9] &= x[:, 2]
+    seen, expected = rng.random(900) < 0.2 + 0.5 * (x[:, 1] & x[:, 6]), np.full(900, 0.2)
+    first, inputs = np.append(0, np.cumsum(x.sum(axis=1))), np.nonzero(x)[1].astype(np.int32)
+    shared = SimpleNamespace(value=(first, inputs, np.argsort(inputs, kind="stable"), seen, expected))
+    out = toxicity._telling_pairs(shared, 10)([pa.RecordBatch.from_arrays([pa.array([0, 1, 2])], names=["id"])])
+    want = set()
+    for i in range(10):
+        for j in range(10):
+            both = x[:, i] & x[:, j]
+            n, e = (both & seen).sum(), expected[both].sum()
+            if i != j and n > e and 2 * (n * np.log(n / e) - n + e) >= toxicity.LEAST_PAIR_RATIO:
+                want.add(j)
+    assert {int(v) for b in out for v in b.column(0).to_pylist()} == want and {1, 6} <= want
+
+
+def test_the_sample_is_bounded_and_of_different_rows(spark):
+    docs = spark.range(4000).selectExpr("if(id % 5 = 0, 7, id) as doc_id", "concat('text ', id % 900) as text").unionByName(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    labels = spark.range(4000).selectExpr("id as doc_id", "if(id % 7 = 0, null, int(id % 2)) as label")
+    known = {(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.doc_id % 7}
+    for rows in (0, 50, 100_000):
+        got = [(r.doc_id, r.text) for r in toxicity.sample(docs, labels, rows).collect()]
+        assert len(got) == len(set(got)) == min(rows, len(known)) and set(got) <= known
+
+
+def _profile(text):
+    row = [0]
+    for c in text or "":
+        place = 1 + ord(c.lower()[0]) % (langid.LETTERS - 1) if c.isalpha() else 0
+        if place or row[-1]:
+            row.append(place)
+    v, out = langid.letter_vectors().astype(np.int64), np.zeros(langid.SIZE)
+    grams = [tuple(row[i : i + 3]) for i in range(len(row) - 2)] + ([(*row[-2:], 0)] if len(row) > 1 and row[-1] else [])
+    for a, b, c in grams:
+        out += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    return out / (np.linalg.norm(out) or 1)
+
+
+def test_predictions_are_those_of_plain_profiles(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "the bird in the tree", "en"), (3, "der Hund und die Katze", "de"), (4, "die Äpfel im Baum", "de"), (5, None, "de"), (6, "7 8", "en"), (7, "ab", None)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = ["the dog", "die Katze und der Baum", "b", "  x-y  ", "Привет мир", "cat " * 50]
+    sums = {k: sum(np.rint(_profile(t) * langid._SCALE) for _, t, lang in rows if lang == k and t and any(c.isalpha() for c in t)) for k in ("de", "en")}
+    unit = np.array([sums[k] / np.linalg.norm(sums[k]) for k in ("de", "en")])
+    mean = unit.mean(axis=0)
+    unit = (unit - mean) / np.linalg.norm(unit - mean, axis=1, keepdims=True)
+    docs = spark.createDataFrame([(i, t, "old", 2.0) for i, t in enumerate(asked)], "doc_id long, text string, lang_pred string, score double")
+    for r in langid.predict(docs, langid.fit(known)).collect():
+        v = _profile(asked[r.doc_id]) - mean
+        near = unit @ v / np.linalg.norm(v)
+        assert r.lang_pred == ("de", "en")[near.argmax()] and abs(r.score - (1 + near.max()) / 2) < 1e-4
+
+
+def test_tables_that_have_the_new_columns_already(spark, empty, nulls):
+    docs = spark.createDataFrame([(1, "some words here", 9.0, 4, "q", True)], "doc_id long, text string, score double, predicted int, lang_pred string, __hits boolean")
+    machine = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, label int"))
+    assert toxicity.score(docs, machine).collect()[0].predicted == 0
+    bench = spark.createDataFrame([("i", "some words")], "item_id string, text string")
+    (r,) = decontaminate.decontaminate(docs.withColumn("row", docs.text).withColumn("hash", docs.score).withColumn("found", docs.text), bench).collect()
+    assert (r.n_hit, r.n_items, r["__hits"], r.row, r.hash, r.found) == (2, 1, True, "some words here", 9.0, "some words here")
+    cut = line_dedup.dedup_lines(docs.selectExpr("doc_id", "text", "score as __id", "score as __hash", "text as __gone", "score as id", "score as hash", "text as row"))
+    assert cut.columns == ["doc_id", "text", "__id", "__hash", "__gone", "id", "hash", "row", "n_lines", "n_removed"] and cut.collect()[0]["__gone"] == "some words here"
+    assert media.features(media.text_images(empty)).collect() == [] and len(media.features(media.text_images(nulls)).collect()) == 4
+    clash = media.text_images(docs).withColumn("tile", media.F.lit("t"))
+    assert bytes(media.features(clash).collect()[0].tile[:6]) == b"\x93NUMPY"
