@@ -219,7 +219,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     members = setjoin.buckets(lines)
-    wanted = stored(members.select("node").distinct(), "wanted")
+    wanted = stored(setjoin.nodes_of(members), "wanted")
     carried = sifted(lines.where("size(keys) > 0").select("node", *setjoin.CARRIED), "node", Sieve(rows_of(wanted, "node")))
     carried = stored(carried.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "carried")
     found = setjoin.classes(members, carried, items_of, percent, line_items)

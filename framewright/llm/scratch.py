@@ -24,7 +24,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it back; executors lost later cost nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    # most columns are hashes: dictionaries and high levels only cost time
+    df.write.option("compression", codec).option("parquet.enable.dictionary", "false").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._framewright_path = path
     return out

@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, contracted
+from .components import connected_components
 from .kernels import chunks
 from .scratch import stored
-from .sieve import Sieve, rows_of, sifted_keys
+from .session import batches_of
 
 #: Pairs that are compared at once, and the bits that number them.
 PAIRS, PAIR_BITS = 1000, 10
@@ -58,17 +58,30 @@ def may_link(percent: int, words: int = WORDS) -> Column:
     return (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & (100 * (both - differ) >= percent * (both + differ))
 
 
+def _stars(batches):
+    """(key, node, c_node) of rows (key, node) that come in order: every node of a key but its least, c_node."""
+    key = head = last = None
+    for batch in batches:
+        keys, nodes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
+        if not len(keys):
+            continue
+        new = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
+        other = ~new & np.append(last is None or nodes[0] != last, nodes[1:] != nodes[:-1])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+        heads = np.where(begin >= 0, nodes[begin], nodes[0] if head is None else head)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[other]), pa.array(nodes[other]), pa.array(heads[other])], names=["key", "node", "c_node"])
+        key, head, last = keys[-1], heads[-1], nodes[-1]
+
+
 def buckets(keys: DataFrame) -> DataFrame:
-    """From (node, keys), where a node may repeat: members (key, node) of the buckets of two nodes or more.
+    """From (node, keys), where a node may repeat: (key, node, c_node), every node of a bucket but its least, c_node.
 
-    Buckets are found by partial minima and maxima of their nodes, before anything is gathered.  Only their
-    members are joined back, and a sieve of the keys thins the rows before that join.
+    Rows are dealt out by key and sorted, and each task walks its keys in a stream, so a bucket of any size takes
+    constant memory; a key that only one node has ends here.
     """
-    keys = keys.select("node", "keys")
-    each = keys.select(F.explode("keys").alias("key"), "node")
-    several = each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    several = stored(several, "buckets")
-    return stored(sifted_keys(keys, Sieve(rows_of(several, "key"))).join(several, "key").distinct(), "members")
+    each = keys.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    with batches_of(keys.sparkSession, 1 << 16):
+        return stored(each.mapInArrow(_stars, "key long, node long, c_node long"), "members")
 
 
 def stored_sets(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +166,13 @@ def _labelled(live: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(labelled.join(mixed, "key"), "live")
 
 
+def nodes_of(members: DataFrame) -> DataFrame:
+    """The distinct nodes of ``buckets``."""
+    return members.select("node").unionByName(members.select(F.col("c_node").alias("node"))).distinct()
+
+
 def classes(members: DataFrame, carried: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int, items: Items = stored_sets) -> DataFrame:
-    """(node, component) of every linked node.
+    """(node, component) of every linked node of ``members``, which ``buckets`` made.
 
     ``carried`` has the size and bitmap of each node's set, (node, n, m0, ...).  Until all links are found, classes
     only save checks, so they are followed no further than that needs; all links are joined to components at the end.
@@ -168,24 +186,28 @@ def classes(members: DataFrame, carried: DataFrame, items_of: Callable[[DataFram
         return two.where(may_link(percent)).select("a", "b")
 
     # every member against the least node of its bucket
-    centre = members.groupBy("key").agg(F.min("node").alias("c_node"))
-    live = stored(members.join(centre, "key").where("node <> c_node"), "live")
-    edges = verifier.links(allowed(live.select(*ordered)))
+    edges = verifier.links(allowed(members.select(*ordered)))
 
     # the members of other classes against one of the bucket's largest class
-    live = _labelled(live, edges)
+    live = _labelled(members, edges)
     many = live.groupBy("key", "component").agg(F.count("*").alias("many"), F.min(F.xxhash64("node", "key")).alias("draw"))
     best = many.groupBy("key").agg(F.max(F.struct("many", "draw")).alias("best")).select("key", "best.draw")
     centre = live.withColumn("draw", F.xxhash64("node", "key")).join(best, ["key", "draw"])
     live = stored(live.join(centre.select("key", F.col("node").alias("c_node"), F.col("component").alias("c_component")), "key").where("node <> c_node"), "live")
     more = verifier.links(allowed(live.where("component <> c_component").select(*ordered)))
-    edges = stored(contracted(edges.unionByName(more)), "contracted")
+    found = stored(connected_components(edges.unionByName(more)), "classes")
 
-    # what is left, by wide bitmaps
+    # what is left, by wide bitmaps: all members of a bucket against those that aren't of its largest class
+    edges = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     live = _labelled(live.select("key", "node"), edges)
-    if not live.isEmpty():
-        left = stored(live.join(verifier.wide(live.select("node").distinct()), "node"), "open")
-        other = left.select(*(F.col(c).alias(c if c == "key" else f"c_{c}") for c in left.columns))
-        pairs = left.join(other, "key").where("component <> c_component and node < c_node").where(may_link(percent, WIDE))
-        edges = edges.unionByName(verifier.links(pairs.select(*ordered).distinct()))
-    return stored(connected_components(edges), "classes")
+    if live.isEmpty():
+        return found
+    top = live.groupBy("key", "component").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "component")).alias("t")).select("key", F.col("t.component").alias("top"))
+    left = stored(live.join(top, "key").join(verifier.wide(live.select("node").distinct()), "node"), "open")
+    other = left.where("component <> top").drop("top")
+    other = other.select(*(F.col(c).alias(c if c == "key" else f"c_{c}") for c in other.columns))
+    pairs = left.join(other, "key").where("component <> c_component and (component = top or node < c_node)").where(may_link(percent, WIDE))
+    more = verifier.links(pairs.select(*ordered).distinct())
+    if more.isEmpty():
+        return found
+    return stored(connected_components(edges.unionByName(more)), "classes")

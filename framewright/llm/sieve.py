@@ -66,21 +66,5 @@ def sifted(df: DataFrame, column: str, sieve: Sieve) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def sifted_keys(df: DataFrame, sieve: Sieve) -> DataFrame:
-    """From (node, keys, ...): the rows (key, node, ...) whose key may be in the sieve."""
-    others = [c for c in df.columns if c != "keys"]
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column("keys")
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            keep = sieve.keeps(keys)
-            rows = batch.take(pa.array(row[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), *(rows.column(c) for c in others)], names=["key", *others])
-
-    return df.mapInArrow(run, ", ".join(["key long", *(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*others).schema)]))
-
-
 def rows_of(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).cast("long").alias("key"))

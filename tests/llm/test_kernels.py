@@ -181,3 +181,15 @@ def test_shared_items_are_counted_pair_by_pair():
     got = setjoin.shared_items(*(setjoin.stored_sets(c) for c in cells))
     assert got.tolist() == [len(np.intersect1d(a, b)) for a, b in zip(*sets, strict=True)]
     assert setjoin.shared_items(*(setjoin.stored_sets(c.slice(3, 9)) for c in cells)).tolist() == got[3:12].tolist()
+
+
+def test_stars_do_not_depend_on_batches():
+    from framewright.llm import setjoin
+
+    rng = np.random.default_rng(4)
+    rows = sorted((int(k), int(n)) for k, n in zip(rng.integers(0, 12, 90), rng.integers(0, 6, 90)))
+    want = [(k, n, min(m for j, m in rows if j == k)) for k, n in sorted(set(rows)) if n > min(m for j, m in rows if j == k)]
+    for size in (1, 2, 7, 90):
+        parts = [pa.RecordBatch.from_pylist([{"key": k, "node": n} for k, n in rows[i : i + size]], pa.schema([("key", pa.int64()), ("node", pa.int64())])) for i in range(0, 90, size)]
+        got = [tuple(r.values()) for b in setjoin._stars(iter([*parts[:1], parts[0].slice(0, 0), *parts[1:]])) for r in b.to_pylist()]
+        assert got == want
