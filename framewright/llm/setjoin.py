@@ -206,7 +206,8 @@ def classes(members: DataFrame, carried: DataFrame, items_of: Callable[[DataFram
     left = stored(live.join(top, "key").join(verifier.wide(live.select("node").distinct()), "node"), "open")
     other = left.where("component <> top").drop("top")
     other = other.select(*(F.col(c).alias(c if c == "key" else f"c_{c}") for c in other.columns))
-    pairs = left.join(other, "key").where("component <> c_component and (component = top or node < c_node)").where(may_link(percent, WIDE))
+    pairs = left.join(other, "key").where("component <> c_component and (component = top or node < c_node)")
+    pairs = pairs.where(may_link(percent) & may_link(percent, WIDE))  # the first words alone rule out most pairs
     more = verifier.links(pairs.select(*ordered).distinct())
     if more.isEmpty():
         return found
