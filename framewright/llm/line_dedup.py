@@ -228,7 +228,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("doc_id", "doc_hash", "line")
     at = sifted(lines.select("node", "doc_id", "doc_hash", "line"), "node", Sieve(rows_of(labelled, "node")))
     at = stored(at.join(labelled, "node").select("component", "doc_id", "doc_hash", "line"), "places")
-    stays = at.groupBy("component").agg(F.min(place).alias("least"))
+    stays = stored(at.groupBy("component").agg(F.min(place).alias("least")), "stays")  # read again, so that a hot component's rows can be split in the join
     gone = at.join(stays, "component").where(~place.eqNullSafe(F.col("least")))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_set("line").alias("__gone"))
     gone = stored(gone, "gone")
