@@ -212,15 +212,21 @@ def learn(first: np.ndarray, inputs: np.ndarray, label: np.ndarray, width: int,
         order = rng.permutation(n)
         for a in range(0, n, BATCH):
             rows = order[a : a + BATCH]
-            x = np.zeros((len(rows), width))
             size = first[rows + 1] - first[rows]
-            for i, (j, k) in enumerate(zip(first[rows].tolist(), size.tolist(), strict=True)):
-                x[i, inputs[j : j + k]] = 1
+            row, own = np.repeat(np.arange(len(rows)), size), inputs[ragged(first[rows], size)]
+            edge = np.append(0, np.cumsum(size))
             v = w[1 + width :].reshape(width, FACTORS)
-            xv = x @ v
-            z = w[0] + x @ w[1 : 1 + width] + 0.5 * (xv**2 - x @ v**2).sum(axis=1)
+
+            def sums(x):
+                upto = np.concatenate((np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)))
+                return upto[edge[1:]] - upto[edge[:-1]]
+
+            xv, squares = sums(v[own]), sums(v[own] ** 2)
+            z = w[0] + np.bincount(row, w[1 + own], minlength=len(rows)) + 0.5 * (xv**2 - squares).sum(axis=1)
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[rows]) / len(rows)
-            slope = np.concatenate(([error.sum()], x.T @ error, (x.T @ (error[:, None] * xv) - (x.T @ error)[:, None] * v).ravel()))
+            alone = np.bincount(own, error[row], minlength=width)
+            paired = np.stack([np.bincount(own, (error * xv[:, k])[row], minlength=width) for k in range(FACTORS)], axis=1) - alone[:, None] * v
+            slope = np.concatenate(([error.sum()], alone, paired.ravel()))
             slope += decay * w
             t += 1
             m, s = 0.9 * m + 0.1 * slope, 0.99 * s + 0.01 * slope**2
