@@ -16,7 +16,7 @@ import numpy as np
 from .kernels import U64, prefix_hash, span_hash
 
 #: Distinct pieces that a worker keeps; beyond it starts anew.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -20,7 +20,7 @@ from .session import bounded_batches
 
 SEQUENCE, END_ID = 2048, 1
 #: Bytes of text encoded at once, and ids of one output batch.
-ENCODE_BYTES, BATCH_IDS = 1 << 22, 1 << 20
+ENCODE_BYTES, BATCH_IDS = 1 << 20, 1 << 19
 
 ENCODED = "part int, start long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

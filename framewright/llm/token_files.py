@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from .bpe import encoder
 from .kernels import binary_array, chunks, utf8
-from .packing import ENCODE_BYTES, part_offsets
+from .packing import part_offsets
 from .scratch import stored
 from .session import bounded_batches
 
 BLOCK, PERCENTILE, END_ID = 128, 90, 2
+#: Bytes of text in a file, unless one text is longer.
+FILE_BYTES = 1 << 22
 MAGIC = b"PFR1"
 FILES = "part int, file int, start long, n long, content binary"
 
@@ -106,7 +108,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_
     """A stored table (part, file, start, n, content) of token files; files in the order (part, file) hold the documents in ascending id order.
 
     Null ids come first; rows of equal ids are ordered by their text's hash.  A null or empty text has its end
-    id only.  A file holds about ENCODE_BYTES of text, or one longer text.  An empty table gives no file;
+    id only.  A file holds about FILE_BYTES of text, or one longer text.  An empty table gives no file;
     other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
@@ -117,7 +119,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_
         part, file, place, tool = TaskContext.get().partitionId(), 0, 0, encoder(tokenizer)
         for batch in batches:
             data, off = utf8(batch.column("text"))
-            for a, b in chunks(off, ENCODE_BYTES):
+            for a, b in chunks(off, FILE_BYTES):
                 ids, where = tool.encode(data[off[a] : off[b]], off[a : b + 1] - off[a], end_id)
                 content = write_file(batch.column("doc_id").slice(a, b - a), np.diff(where), ids)
                 row = {"part": (part, pa.int32()), "file": (file, pa.int32()), "start": (place, pa.int64()), "n": (len(ids), pa.int64()), "content": (content, pa.binary())}

@@ -371,3 +371,30 @@ def test_tables_that_have_the_new_columns_already(spark, empty, nulls):
     assert media.features(media.text_images(empty)).collect() == [] and len(media.features(media.text_images(nulls)).collect()) == 4
     clash = media.text_images(docs).withColumn("tile", media.F.lit("t"))
     assert bytes(media.features(clash).collect()[0].tile[:6]) == b"\x93NUMPY"
+
+
+def test_queries_keep_their_contracts(spark, sf_dir):
+    docs = pairs(documents(spark, sf_dir))
+    text = {i: t or "" for i, t in docs}
+    start = 0
+    for r, i in zip(sorted(queries.op10_token_files(spark, sf_dir).collect(), key=lambda r: r.doc_id), sorted(text), strict=True):
+        ids = encoded("word_bpe_49k.json", text[i], 2)
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), crc(ids))
+        start += len(ids)
+    whole, at = {}, 0
+    for r in sorted(queries.op4_packing(spark, sf_dir).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        ids = whole.setdefault(r.doc_id, encoded("byte_bpe_50k.json", text[r.doc_id], 1))
+        assert r.sequence_id * 2048 + r.offset == at and r.doc_tokens == len(ids) and r.ids_crc32 == crc(ids[r.start : r.start + r.length])
+        at += r.length
+    assert at == sum(map(len, whole.values())) and set(whole) == set(text)
+    for r in queries.op5_media_columns(spark, sf_dir).collect():
+        raw = text[r.doc_id].encode()
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert r.media_bytes > len(padded) and r.feature
+    near = brute.near_duplicates(docs, 4)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op8_minhash_near_dedup(spark, sf_dir).collect()} == {i: (n, c, i == c) for i, (n, c) in near.items()}
+    want = brute.repeats(docs, 400)
+    for r in queries.op9_suffix_array_dedup(spark, sf_dir).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+        assert r.n_removed or r.text == text[r.doc_id]
