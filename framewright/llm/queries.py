@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, media, near_dedup, packing, suffix_dedup, token_files, toxicity
+from . import chat, decontaminate, hard_negatives, langid, line_dedup, maxscore, media, near_dedup, packing, suffix_dedup, token_files, toxicity, whitening
 from .scratch import stored
 from .session import table
 
@@ -82,6 +82,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), every=50)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), every=100, label=label)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no long can hold is an error."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,13 +109,37 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_suffix_array_dedup,
         op10_token_files,
+        op11_maxscore_search,
+        op12_hard_negatives,
+        op13_embedding_whitening,
     )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Rows of embeddings that take part, as whole numbers; rows are told apart by their place.
+_VECTORS = """with whole as (
+    select row_number() over () as place, vec_id, {label} as label, [floor(256 * x::double) for x in embedding] as v from embeddings
+    where vec_id is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+)"""
+
 ORACLES = {
+    "op11_maxscore_search": _VECTORS.format(label="0") + """, scored as (
+    select a.place, a.vec_id as query_id, b.vec_id, list_dot_product(a.v, b.v)::bigint as score from whole a join whole b on a.place <> b.place where a.vec_id % 50 = 0
+)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by place order by score desc, vec_id) as rank from scored) where rank <= 5""",
+    "op12_hard_negatives": _VECTORS.format(label="case when vec_id % 7 = 0 then (label + 1) % 10 else label end") + """, scored as (
+    select a.place, a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+    from whole a join whole b on a.place <> b.place where a.vec_id % 100 = 0 and a.label is not null and b.label is not null
+),
+positives as (select *, row_number() over (partition by place order by score desc, other) as i from scored where same),
+negatives as (
+    select p.anchor_id, p.other as positive_id, s.other as negative_id, p.score as positive_score, s.score as negative_score,
+        row_number() over (partition by p.place, p.i order by s.score desc, s.other) as rank
+    from positives p join scored s on p.place = s.place and not s.same where p.i <= 5 and 80 * p.score <= 100 * s.score and s.score <= p.score
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from negatives where rank <= 5""",
     "op1_chat_formatting": r"""
 with rows as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
