@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Rect, overlap
+from ..sources.shared import written
 from .domdiff import change_counts, dom_diff
 from .raster import pixel_regions
+from .spatial import met
 
 #: Pixel regions come after all DOM regions of a pair.
 PIXEL_FIRST = 1 << 50
@@ -18,29 +19,39 @@ def candidate_regions(changes: DataFrame, pixels: DataFrame) -> DataFrame:
     """pair_id, ord, x, y, w, h, source, changed_fields, dom_id.
 
     DOM changes are ``dom+pixel`` where their rectangle, as it is, overlaps a pixel region, else ``dom``; pixel
-    regions that overlap no DOM change of a changed pair are ``pixel``.  Sizes are at least 1.
+    regions that overlap no DOM change of a changed pair are ``pixel``.  Sizes are at least 1.  ``ord`` tells a pair's DOM
+    changes apart, and its pixel regions.  Both inputs are written first, as each is read three times.
     """
-    near = (F.col("d.pair_id") == F.col("p.pair_id")) & overlap(Rect("d."), Rect("p."))
-    met = changes.alias("d").join(pixels.alias("p"), near, "full_outer")  # one row for each overlap, and for each region that has none
-    is_dom, sides = F.col("d.ord").isNotNull(), [F.coalesce(f"d.{c}", f"p.{c}").alias(c) for c in ("pair_id", *"xywh")]
-    source = F.when(~is_dom, "pixel").when(F.col("p.ord").isNull(), "dom").otherwise("dom+pixel").alias("source")
-    rows = met.select(*sides, F.coalesce("d.ord", F.col("p.ord") + F.lit(PIXEL_FIRST)).alias("ord"), source, "d.changed_fields", F.col("d.id").alias("dom_id"))
-    changed = Window.partitionBy("pair_id")
-    rows = rows.withColumn("changed", F.max(F.col("source") != "pixel").over(changed)).where("changed and (source <> 'pixel' or pair_id is not null)")
-    both = rows.dropDuplicates(["pair_id", "ord"]).select("pair_id", "ord", *"xywh", "source", "changed_fields", "dom_id")
-    return both.withColumn("w", F.greatest("w", F.lit(1))).withColumn("h", F.greatest("h", F.lit(1)))
+    return _fused(written(changes, "changes"), written(pixels, "pixels"))
+
+
+def _fused(changes: DataFrame, pixels: DataFrame) -> DataFrame:
+    sized = [F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *(F.greatest(F.col(c).cast("double"), F.lit(1.0)).alias(c) for c in "wh")]
+    both = met(changes, pixels).withColumn("met", F.lit(True))
+    source = F.when(F.col("met"), "dom+pixel").otherwise("dom").alias("source")
+    dom = changes.join(both, ["pair_id", "ord"], "left").select("pair_id", "ord", *sized, source, "changed_fields", F.col("id").alias("dom_id"))
+    alone = pixels.join(met(pixels, changes), ["pair_id", "ord"], "left_anti").join(changes.select("pair_id").distinct(), "pair_id", "left_semi")
+    nothing = [F.lit(None).cast(dom.schema[c].dataType).alias(c) for c in ("changed_fields", "dom_id")]
+    return dom.unionByName(alone.select("pair_id", (F.col("ord") + F.lit(PIXEL_FIRST)).alias("ord"), *sized, F.lit("pixel").alias("source"), *nothing))
 
 
 def detect(before: DataFrame, after: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate regions, and per pair dom_change_count, changed and pixel_region_count (counted for unchanged pairs as well)."""
-    changes, pixels = dom_diff(before, after), pixel_regions(images)
+    """Candidate regions, and per pair dom_change_count, changed and pixel_region_count (counted for unchanged pairs as well).
+
+    Both differences are made once and written.
+    """
+    changes, pixels = written(dom_diff(before, after), "changes"), written(pixel_regions(images), "pixels")
     counts = pixels.groupBy("pair_id").agg(F.count("*").alias("n"))
     summary = change_counts(changes, images).join(counts, "pair_id", "left").withColumn("pixel_region_count", F.coalesce("n", F.lit(0))).drop("n")
-    return candidate_regions(changes, pixels), summary
+    return _fused(changes, pixels), summary
 
 
 def top_regions(regions: DataFrame, k: int | Column = TOP_REGIONS) -> DataFrame:
-    """The k largest regions of each pair with their rank; equal areas keep the regions' order."""
+    """The k largest regions of each pair with their rank; equal areas keep the regions' order.
+
+    For a number k, Spark's group limit leaves k regions of a pair in each task before they are dealt out by pair, so no task ranks
+    all regions of a hot pair; a k that is a column has no such limit.
+    """
     order = Window.partitionBy("pair_id").orderBy(F.desc(F.col("w") * F.col("h")), "ord")
     return regions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

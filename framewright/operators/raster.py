@@ -1,4 +1,4 @@
-"""Pixel differences: change masks, connected regions, and merging of near boxes, one group per pair."""
+"""Pixel differences: change masks, connected regions by tiles, and merging of near boxes by cells."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import GAP, LEAST_SHARE
 from ..sources.png import decode_png
+from ..sources.shared import written
+from .connect import connected
 
 THRESHOLD = 0.15
 #: Luma and chroma weights of the YIQ space, weights of their squared differences, the largest difference.
@@ -105,10 +107,10 @@ def row_runs(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.stack((y[new], x[new], x[last]), axis=1)
 
 
-def components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Boxes (x, y, w, h, pixels) of the 4-connected components of a set of pixels, in the order of their first pixels."""
+def labelled_runs(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a set of pixels in raster order, and of each run the first run of its 4-connected component."""
     if not len(y):
-        return np.zeros((0, 5), np.int64)
+        return np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
     order = np.lexsort((x, y))
     runs = row_runs(y[order], x[order])
     root = list(range(len(runs)))
@@ -130,13 +132,24 @@ def components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
                 p, q = find(i), find(k)
                 root[max(p, q)] = min(p, q)
                 k += 1
-    label = np.array([find(i) for i in range(len(runs))])
-    out = []
-    for r in np.unique(label).tolist():
-        part = runs[label == r]
-        x0, y0 = part[:, 1].min(), part[:, 0].min()
-        out.append((x0, y0, part[:, 2].max() - x0 + 1, part[:, 0].max() - y0 + 1, (part[:, 2] - part[:, 1] + 1).sum()))
-    return np.array(out, np.int64)
+    return runs, np.array([find(i) for i in range(len(runs))])
+
+
+def run_boxes(runs: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes (x, y, w, h, pixels) of labelled runs, and the first run of each."""
+    first, group = np.unique(label, return_inverse=True)
+    x0, y0 = runs[first, 1].copy(), runs[first, 0]
+    x1, y1, pixels = np.zeros(len(first), np.int64), y0.copy(), np.zeros(len(first), np.int64)
+    np.minimum.at(x0, group, runs[:, 1])
+    np.maximum.at(x1, group, runs[:, 2] + 1)
+    np.maximum.at(y1, group, runs[:, 0] + 1)
+    np.add.at(pixels, group, runs[:, 2] - runs[:, 1] + 1)
+    return np.stack((x0, y0, x1 - x0, y1 - y0, pixels), axis=1).astype(np.int64).reshape(-1, 5), first
+
+
+def components(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Boxes (x, y, w, h, pixels) of the 4-connected components of a set of pixels, in the order of their first pixels."""
+    return run_boxes(*labelled_runs(y, x))[0]
 
 
 def _linked(rows: np.ndarray, gap: int) -> np.ndarray:
@@ -167,6 +180,18 @@ def _linked(rows: np.ndarray, gap: int) -> np.ndarray:
         label = least
 
 
+def _boxes_around(rows: np.ndarray, first: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The box around the boxes of each group, and their pixels; ``first`` has a row of each."""
+    x0, y0 = rows[first, 0], rows[first, 1]
+    x1, y1, pixels = x0.copy(), y0.copy(), np.zeros(len(first), np.int64)
+    np.minimum.at(x0, group, rows[:, 0])
+    np.minimum.at(y0, group, rows[:, 1])
+    np.maximum.at(x1, group, rows[:, 0] + rows[:, 2])
+    np.maximum.at(y1, group, rows[:, 1] + rows[:, 3])
+    np.add.at(pixels, group, rows[:, 4])
+    return np.stack((x0, y0, x1 - x0, y1 - y0, pixels), axis=1)
+
+
 #: Pairs of boxes that are compared at once.
 _SWEEP = 1 << 16
 
@@ -179,14 +204,7 @@ def merge_boxes(boxes: np.ndarray, gap: int = GAP) -> np.ndarray:
         first, group = np.unique(label, return_inverse=True)
         if len(first) == len(rows):
             break
-        x0, y0 = rows[first, 0], rows[first, 1]
-        x1, y1, pixels = x0.copy(), y0.copy(), np.zeros(len(first), np.int64)
-        np.minimum.at(x0, group, rows[:, 0])
-        np.minimum.at(y0, group, rows[:, 1])
-        np.maximum.at(x1, group, rows[:, 0] + rows[:, 2])
-        np.maximum.at(y1, group, rows[:, 1] + rows[:, 3])
-        np.add.at(pixels, group, rows[:, 4])
-        rows = np.stack((x0, y0, x1 - x0, y1 - y0, pixels), axis=1)
+        rows = _boxes_around(rows, first, group)
     return rows
 
 
@@ -200,67 +218,198 @@ def _frame(key, boxes: np.ndarray) -> pd.DataFrame:
     return out
 
 
-def _per_pair(rows: DataFrame, order: list[str], columns: list[str], f: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """BOXES of each pair's rows: one image at most is held beside a batch.
+#: Sides of the tiles in which masks are labelled, and of the cells in which boxes meet.
+TILE, CELL = 512, 1024
+#: Rows of one group that are held before they are shrunk.
+HELD = 1 << 18
+_BOX = ["x", "y", "w", "h", "changed_pixels"]
 
-    ``f`` takes an array of ``columns`` in the given order and the first row of each pair (n + 1 values), and gives
-    boxes, pair by pair, and how many each pair has.
-    """
 
-    def run(frames):
-        held: list[pd.DataFrame] = []
+def _in_groups(rows: DataFrame, keys: list[str], order: list[str], f: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, shrink: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Whole groups of rows of whole numbers, dealt out by ``keys`` and sorted, answered by ``f``.
 
-        def answers(whole: pd.DataFrame):
-            keys, values = whole["pair_id"].to_numpy(), whole[columns].to_numpy(np.int64)
-            edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
-            boxes, sizes = f(values, edges)
-            out = pd.DataFrame(boxes, columns=["x", "y", "w", "h", "changed_pixels"])
-            out.insert(0, "ord", np.arange(len(boxes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-            out.insert(0, "pair_id", np.repeat(keys[edges[:-1]], sizes))
-            return out
+    ``f`` takes rows and the first of each group (n + 1 values).  Tasks walk their groups in a stream; what is held of a
+    group beyond HELD rows is replaced by ``shrink`` of it, fewer rows that mean the same.
+    """
+    names, n = rows.columns, len(keys)
+
+    def edges(values: np.ndarray) -> np.ndarray:
+        return np.r_[0, np.flatnonzero((values[1:, :n] != values[:-1, :n]).any(1)) + 1, len(values)]
 
+    def run(frames):
+        held = np.zeros((0, len(names)), np.int64)
         for frame in frames:
-            if not len(frame):
+            held = np.concatenate((held, frame[names].to_numpy(np.int64)))
+            if not len(held):
                 continue
-            last = frame["pair_id"].iloc[-1]
-            done, rest = frame[frame["pair_id"] != last], frame[frame["pair_id"] == last]
-            if held and held[-1]["pair_id"].iloc[-1] != frame["pair_id"].iloc[0] or len(done):
-                yield answers(pd.concat([*held, done]))
-                held = []
-            held.append(rest)
-        if held:
-            yield answers(pd.concat(held))
+            last = edges(held)[-2]
+            if last:
+                yield f(held[:last], edges(held[:last]))
+                held = held[last:]
+            if len(held) > HELD:
+                held = shrink(held)
+        if len(held):
+            yield f(held, edges(held))
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInPandas(run, schema)
+
+
+#: Rows of tiles: components, and the pixels beside a seam, which ``seam`` numbers from the pixel at its right or below.
+_TILED = "pair_id bigint, first bigint, x bigint, y bigint, w bigint, h bigint, changed_pixels bigint, upright boolean, seam bigint"
+
+
+def _place(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One number for a pixel, in raster order."""
+    return (y << 32) | x
+
+
+def _once(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows without repeats."""
+    return rows[np.r_[True, (rows[1:] != rows[:-1]).any(1)]]
+
+
+def _tile(tile: int):
+    """Rows _TILED of pixels (pair_id, ty, tx, y, x), tile by tile: all tiles are labelled at once, as bands with a row between them."""
+
+    def answer(rows: np.ndarray, edges: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        pair, ty, tx = rows[edges[:-1], :3].T
+        band = tile + 1
+        once = np.r_[True, (rows[1:] != rows[:-1]).any(1)]
+        runs, label = labelled_runs((rows[:, 3] - ty[group] * tile + group * band)[once], rows[once, 4])
+        boxes, first = run_boxes(runs, label)
+        at = runs[:, 0] // band  # the tile of each run
+        y = runs[:, 0] - at * band + ty[at] * tile
+        boxes[:, 1] = y[first]
+        place = _place(y, runs[:, 1])
+        left, right = (runs[:, 1] == tx[at] * tile) & (tx[at] > 0), runs[:, 2] == tx[at] * tile + tile - 1
+        seams = [(np.flatnonzero(on), y[on], x[on], True) for on, x in ((left, runs[:, 1]), (right, runs[:, 2] + 1))]
+        for on, below in (((y == ty[at] * tile) & (ty[at] > 0), 0), (y == ty[at] * tile + tile - 1, 1)):
+            run = np.flatnonzero(on)
+            size = runs[run, 2] - runs[run, 1] + 1
+            each = np.repeat(run, size)
+            seams.append((each, y[each] + below, runs[each, 1] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size), False))
+        run, sy, sx, upright = (np.concatenate([np.broadcast_to(v[i], len(v[0])) for v in seams]) for i in range(4))
+        n, m = len(first), len(run)
+        columns = {"pair_id": np.r_[pair[at[first]], pair[at[run]]], "first": np.r_[place[first], place[label[run]]]}
+        gap = pd.array([pd.NA] * m, "Int64")
+        columns |= {c: pd.concat([pd.Series(v, dtype="Int64"), pd.Series(gap)], ignore_index=True) for c, v in zip(_BOX, boxes.T, strict=True)}
+        columns["upright"] = pd.concat([pd.Series([pd.NA] * n, dtype="boolean"), pd.Series(upright, dtype="boolean")], ignore_index=True)
+        columns["seam"] = pd.concat([pd.Series([pd.NA] * n, dtype="Int64"), pd.Series(_place(sy, sx), dtype="Int64")], ignore_index=True)
+        return pd.DataFrame(columns)
+
+    return answer
+
+
+def mask_components(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+    """BOXES of the connected components of each pair's changed pixels (pair_id, x, y), whose coordinates are from 0 to 2^31 - 1.
+
+    A mask is cut into tiles of ``tile`` x ``tile`` pixels, which are labelled apart; what touches across the seams of tiles is
+    joined by distributed components, so no mask lies in one task.  ``ord`` is the place of a component's first pixel, y * 2^32 + x.
+    Rows of a null pair are ignored, repeated pixels count once.
+    """
+    p = pixels.where("pair_id is not null").select("pair_id", *(F.floor(F.col(c) / tile).alias(f"t{c}") for c in "yx"), *(F.col(c).cast("bigint").alias(c) for c in "yx"))
+    found = written(_in_groups(p, ["pair_id", "ty", "tx"], ["y", "x"], _tile(tile), _TILED, _once), "tiles")
+    boxes = found.where("seam is null").select("pair_id", F.col("first").alias("ord"), *_BOX)
+    ends = found.where("seam is not null").groupBy("pair_id", "upright", "seam").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
+    edges = written(ends.select(*(F.struct("pair_id", F.col(c).alias("first")).alias(n) for c, n in (("b", "u"), ("a", "v")))).distinct(), "seams")
+    if edges.isEmpty():
+        return boxes
+    whole = connected(edges).select(F.col("node.pair_id").alias("pair_id"), F.col("node.first").alias("ord"), F.col("component.first").alias("root"))
+    return _around(boxes.join(whole, ["pair_id", "ord"], "left").withColumn("root", F.coalesce("root", "ord")).drop("ord").withColumn("ord", F.col("root")), "root").drop("root")
+
+
+def _around(boxes: DataFrame, root: str) -> DataFrame:
+    """The box around all boxes of a root, their pixels and their least ``ord``."""
+    x0, y0 = F.min("x"), F.min("y")
+    sums = [x0.alias("x"), y0.alias("y"), (F.max(F.col("x") + F.col("w")) - x0).alias("w"), (F.max(F.col("y") + F.col("h")) - y0).alias("h"), F.sum("changed_pixels").alias("changed_pixels")]
+    return boxes.groupBy("pair_id", root).agg(F.min("ord").alias("ord"), *sums)
+
+
+def _apart(boxes: np.ndarray, group: np.ndarray, gap: int) -> tuple[np.ndarray, int]:
+    """Boxes moved so far to the right, by a multiple for each group, that none of different groups are near; and how far."""
+    out = boxes.copy()
+    wide = int((out[:, 0] + out[:, 2]).max() - out[:, 0].min() + gap + 1)
+    out[:, 0] += group * wide
+    return out, wide
+
+
+def _merged_apart(rows: np.ndarray, keys: int, gap: int) -> np.ndarray:
+    """Rows (keys..., ord, box) of sorted groups, merged within each."""
+    new = np.r_[True, (rows[1:, :keys] != rows[:-1, :keys]).any(1)]
+    group = np.cumsum(new) - 1
+    merged, wide = _apart(rows[:, keys + 1 :], group, gap)
+    label = np.arange(len(rows))
+    while True:
+        step = _linked(merged, gap)
+        first, to = np.unique(step, return_inverse=True)
+        label = to[label]
+        if len(first) == len(merged):
+            break
+        merged = _boxes_around(merged, first, to)
+    ord_ = np.full(len(merged), np.iinfo(np.int64).max)
+    np.minimum.at(ord_, label, rows[:, keys])
+    at = np.empty(len(merged), np.int64)
+    at[label[::-1]] = np.arange(len(rows))[::-1]
+    merged[:, 0] -= group[at] * wide
+    return np.concatenate((rows[at, :keys], ord_[:, None], merged), axis=1)
 
-    dealt = rows.where("pair_id is not null").repartition("pair_id").sortWithinPartitions("pair_id", *order)
-    return dealt.select("pair_id", *columns).mapInPandas(run, BOXES)
 
+_KEYED = ["pair_id", "cy", "cx", "ord", *_BOX]
 
-def mask_components(pixels: DataFrame) -> DataFrame:
-    """BOXES of the connected components of each pair's changed pixels (pair_id, x, y); rows of a null pair are ignored."""
 
-    def found(pixels: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = [components(pixels[a:b, 0], pixels[a:b, 1]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        return np.concatenate(parts), np.array([len(p) for p in parts])
+def _homed(boxes: DataFrame, cell: int) -> DataFrame:
+    return boxes.select("pair_id", F.floor(F.col("y") / cell).alias("cy"), F.floor(F.col("x") / cell).alias("cx"), "ord", *_BOX)
 
-    return _per_pair(pixels, ["y", "x"], ["y", "x"], found)
 
+def _merge_at_home(boxes: DataFrame, cell: int, gap: int) -> DataFrame:
+    """Boxes with near ones of one cell merged; they are merged batch by batch before they are dealt out, as the order of merging doesn't matter."""
+    schema = ", ".join(f"{c} bigint" for c in _KEYED)
 
-def merged_regions(boxes: DataFrame, gap: int = GAP) -> DataFrame:
-    """BOXES after merging, of (pair_id, x, y, w, h, changed_pixels); rows of a null pair are ignored."""
-    order = ["ord"] if "ord" in boxes.columns else ["y", "x", "w", "h", "changed_pixels"]
+    def combine(frames):
+        for frame in frames:
+            if len(frame):
+                rows = frame[_KEYED].to_numpy(np.int64)
+                yield pd.DataFrame(_merged_apart(rows[np.lexsort(rows.T[::-1])], 3, gap), columns=_KEYED)
+
+    def merged(rows: np.ndarray, edges: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(_merged_apart(rows, 3, gap), columns=_KEYED)
+
+    few = _homed(boxes, cell).mapInPandas(combine, schema)
+    return _in_groups(few, ["pair_id", "cy", "cx"], ["ord"], merged, schema, lambda rows: _merged_apart(rows, 3, gap))
 
-    def merged(rows: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs at once, moved apart so far that none are near."""
-        pair, least = np.repeat(np.arange(len(edges) - 1), np.diff(edges)), rows[:, 0].min()
-        wide = (rows[:, 0] + rows[:, 2]).max() - least + gap + 1
-        apart = rows.copy()
-        apart[:, 0] += pair * wide
-        found = merge_boxes(apart, gap)
-        pair = (found[:, 0] - least) // wide
-        found[:, 0] -= pair * wide
-        return found, np.bincount(pair, minlength=len(edges) - 1)
 
-    return _per_pair(boxes, order, ["x", "y", "w", "h", "changed_pixels"], merged)
+def merged_regions(boxes: DataFrame, gap: int = GAP, cell: int = CELL) -> DataFrame:
+    """BOXES after merging, of (pair_id, x, y, w, h, changed_pixels) in whole numbers: near ones replaced by the box around them until none are near.
+
+    Boxes of one cell of ``cell`` x ``cell`` are merged first.  Then, round by round, boxes meet in all cells that they reach into,
+    distributed components join those that are near, and what has grown meets others in the next round, until a round finds nothing.  So a pair's
+    boxes are spread over tasks, and a cell is held as merged boxes.  ``ord`` is the least of what was merged, or
+    y * 2^32 + x of the first box where the input has none.  Rows of a null pair are ignored.
+    """
+    rows = boxes.where("pair_id is not null").withColumns({c: F.col(c).cast("bigint") for c in _BOX})
+    rows = rows if "ord" in boxes.columns else rows.withColumn("ord", F.col("y") * (1 << 32) + F.col("x"))
+    now = written(_merge_at_home(rows, cell, gap).drop("cy", "cx").withColumn("id", F.monotonically_increasing_id()), "boxes")
+    while True:
+        ends = {c: (F.floor(F.col(c) / cell), F.floor((F.col(c) + F.greatest(F.col(s) + gap, F.lit(1)) - 1) / cell)) for c, s in (("x", "w"), ("y", "h"))}
+        reach = [F.explode(F.sequence(*ends[c])).alias(f"c{c}") for c in "yx"]
+        abroad = now.where((ends["x"][0] < ends["x"][1]) | (ends["y"][0] < ends["y"][1]))
+        spread = now.select("*", reach[0]).select("*", reach[1])
+        visited = abroad.select("*", reach[0]).select("pair_id", "cy", reach[1]).distinct()
+        meet = spread.join(visited, ["pair_id", "cy", "cx"], "left_semi").select("pair_id", "cy", "cx", "id", *_BOX)
+
+        def near(values: np.ndarray, edges: np.ndarray) -> pd.DataFrame:
+            label = _linked(_apart(values[:, 4:], np.repeat(np.arange(len(edges) - 1), np.diff(edges)), gap)[0], gap)
+            linked = label != np.arange(len(values))
+            return pd.DataFrame({"u": values[linked, 3], "v": values[label[linked], 3]})
+
+        edges = written(_in_groups(meet, ["pair_id", "cy", "cx"], ["id"], near, "u bigint, v bigint", lambda rows: rows), "near")
+        if edges.isEmpty():
+            return now.select("pair_id", "ord", *_BOX)
+        roots = connected(edges).withColumnRenamed("node", "id")
+        grown = now.join(roots, "id", "left").withColumn("id", F.coalesce("component", "id")).drop("component")
+        now = written(_around(grown, "id"), "boxes")
 
 
 def image_regions(mask: np.ndarray, share: float = LEAST_SHARE, gap: int = GAP) -> np.ndarray:

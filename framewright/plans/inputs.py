@@ -22,14 +22,13 @@ INPUTS = {
             case when l_discount > 0.05e0 then '700' else '400' end as font_weight, concat(cast(l_suppkey % 5 as string), 'px') as border_radius, l_partkey % 13 as k
         from {lineitem}""",
     "dom_after": """
-        select pair_id, ord, path, id, case k when 6 then concat(text, ' (new)') when 7 then 'An entirely different and rather longer text' else text end as text,
+        select pair_id, ord + copy * 1048576 as ord, case when copy = 1 then concat(path, '+') else path end as path, id, case k when 6 then concat(text, ' (new)') when 7 then 'An entirely different and rather longer text' else text end as text,
             case k when 0 then x + 6e0 when 1 then x + 28e0 else x end as x, y,
             case k when 4 then floor(w * 1.1e0 + 0.5e0) when 5 then floor(w * 1.35e0 + 0.5e0) else w end as w,
             case k when 4 then floor(h * 1.1e0 + 0.5e0) when 5 then floor(h * 1.35e0 + 0.5e0) else h end as h, color,
             case k when 2 then '#3b6fe0' when 3 then '#dc2626' else background_color end as background_color,
             case k when 10 then '400' else font_weight end as font_weight, case k when 11 then '0px' else border_radius end as border_radius
-        from dom_before where k <> 9
-        union all select pair_id, ord + 1048576, concat(path, '+'), id, text, x, y, w, h, color, background_color, font_weight, border_radius from dom_before where k = 8""",
+        from dom_before cross join (values (0), (1)) as c(copy) where k <> 9 and (copy = 0 or k = 8)""",
     "pairs": f"select o_orderkey as id, {_KIND.format('o_orderkey')} as kind, o_orderkey % 3 as fixture from {{orders}}",
     # boxes that stand for pixel regions, a few per pair
     "boxes": """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import replies, text
 from ..functions.geometry import Rect
-from ..operators import cache, classify, cost, domdiff, fusion, metrics, mutate, raster, report
+from ..operators import cache, classify, cost, domdiff, fusion, metrics, mutate, raster, report, spatial
 from ..sources import html_dom, pairs, png
 from .inputs import KINDS, cte, of
 
@@ -100,7 +100,7 @@ _OVERLAP = "{a}.x < {b}.x + {b}.w + {g} and {b}.x < {a}.x + {a}.w + {g} and {a}.
 @query(cte("boxes") + " select a.pair_id, a.ord as a, b.ord as b, " + _OVERLAP.format(a="a", b="b", g=0) + " as touching from boxes a join boxes b on a.pair_id = b.pair_id and a.ord < b.ord where " + _OVERLAP.format(a="a", b="b", g=8))
 def rect_overlap_pairs(spark, sf_dir):
     boxes = of(spark, sf_dir, "boxes")
-    both = boxes.alias("a").join(boxes.alias("b"), (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("a.ord") < F.col("b.ord")) & geo.overlap(Rect("a."), Rect("b."), geo.GAP))
+    both = spatial.overlapping(boxes, boxes, geo.GAP).where("a.ord < b.ord")
     return both.select("a.pair_id", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), geo.overlap(Rect("a."), Rect("b.")).alias("touching"))
 
 
@@ -204,12 +204,46 @@ def merged_regions_invariant(spark, sf_dir):
     return merged.agg(F.countDistinct("pair_id").alias("pairs"), F.sum("changed_pixels").alias("pixels")).crossJoin(near.agg(F.count("*").cast("int").alias("still_near")))
 
 
+def _merged_sql(boxes: str) -> str:
+    """Boxes grow to the box around all boxes that are near, a step a round, and equal ones are one: an order's boxes are 7 at most, so 12 rounds are plenty."""
+    grown = ", ".join(f"{f}({v}) as {n}" for f, v, n in (("min", "b.x", "x"), ("min", "b.y", "y"), ("max", "b.r", "r"), ("max", "b.d", "d")))
+    return (
+        cte("boxes").replace("with ", "with recursive ", 1) + f""", g as ({boxes}
+    union all select a.t + 1, a.pair_id, a.ord, a.changed_pixels, {grown} from g a join g b on a.pair_id = b.pair_id and a.x < b.r + 8 and b.x < a.r + 8 and a.y < b.d + 8 and b.y < a.d + 8
+        where a.t < 12 group by a.t, a.pair_id, a.ord, a.changed_pixels)
+select pair_id, min(ord) as ord, x, y, r - x as w, d - y as h, cast(sum(changed_pixels) as bigint) as changed_pixels from g where t = 12 group by pair_id, x, y, r, d"""
+    )
+
+
+@query(_merged_sql("select 0 as t, pair_id, ord, changed_pixels, x, y, x + w as r, y + h as d from boxes"))
 def merged_regions(spark, sf_dir):
-    """Boxes after merging, without SQL: a fixpoint over growing boxes."""
     return raster.merged_regions(of(spark, sf_dir, "boxes"))
 
 
-QUERIES["merged_regions"] = merged_regions
+@query(_merged_sql("select 0 as t, pair_id, ord, changed_pixels, x * 40 as x, y * 9 as y, (x + w * 2) * 40 as r, (y + h) * 9 as d from boxes"))
+def merged_regions_of_large_pages(spark, sf_dir):
+    """Boxes of pages of several thousand pixels, which reach over the cells that they are merged in."""
+    return raster.merged_regions(of(spark, sf_dir, "boxes").withColumns({"x": F.col("x") * 40, "y": F.col("y") * 9, "w": F.col("w") * 80, "h": F.col("h") * 9}))
+
+
+_WIDE = f"""wide as (select n_nationkey as pair_id, i % 1500 as x, i // 1500 as y from nation, unnest(generate_series(0, 29999)) as t(i)
+    where i % 1500 % (7 + n_nationkey) = 0 and i // 1500 < 15 + n_nationkey % 5 or i // 1500 = 9 and i % 1500 // 100 % 3 <> n_nationkey % 3)"""
+
+
+@query(
+    f"""with {_WIDE}, columns as (select pair_id, x, count(*) as n, bool_or(y = 9) as crossed, min(y) as top, max(y) as bottom from wide group by all),
+bars as (select *, x - row_number() over (partition by pair_id order by x) as run from wide where y = 9),
+runs as (select pair_id, run, min(x) as x0, max(x) as x1 from bars group by all)
+select r.pair_id, x0 as x, min(top) as y, x1 - x0 + 1 as w, max(bottom) - min(top) + 1 as h, cast(sum(n) as bigint) as changed_pixels
+from runs r join columns c on c.pair_id = r.pair_id and c.x between x0 and x1 group by all"""
+)
+def mask_components_of_wide_images(spark, sf_dir):
+    """Masks of 1500 pixels' width, whose bars run through several tiles and tie columns of pixels together."""
+    n = F.col("n_nationkey")
+    cells = _table(spark, sf_dir, "nation").select(n, F.explode(F.sequence(F.lit(0), F.lit(29999))).alias("i"))
+    x, y = F.col("i") % 1500, F.floor(F.col("i") / 1500)
+    on = ((x % (7 + n) == 0) & (y < 15 + n % 5)) | ((y == 9) & (F.floor(x / 100) % 3 != n % 3))
+    return raster.mask_components(cells.where(on).select(n.cast("bigint").alias("pair_id"), x.alias("x"), y.alias("y"))).drop("ord")
 
 
 def _level(v: str) -> str:
