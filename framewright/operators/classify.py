@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import replies, text
 from ..functions.geometry import PADDING
 from ..sources.png import decode_png, encode_png
+from ..sources.shared import written
 from . import cache
 from .fusion import TOP_REGIONS, top_regions
 from .metrics import pair_usage
@@ -124,16 +125,17 @@ def classify_regions(
 ) -> tuple[DataFrame, DataFrame]:
     """The k largest regions of each pair with change_type, description, confidence, tokens and cached; and the entries to append.
 
-    A region's key is the hash of its crops and of its hint, so equal crops share one call and one entry.
+    A region's key is the hash of its crops and of its hint, so equal crops share one call and one entry.  Crops are cut
+    and written once, and so are the answers: a model is asked once for a key, whatever is read of them later.
     """
     found = hint(F.lit(use_hint), F.col("changed_fields"), F.col("dom_id"))
     crops = with_crops(top_regions(regions, k), images).withColumn("hint", found)
-    keyed = crops.withColumn("key", cache.content_key(F.col("before_crop"), F.col("after_crop"), F.to_json("hint")))
+    keyed = written(crops.withColumn("key", cache.content_key(F.col("before_crop"), F.col("after_crop"), F.to_json("hint"))), "crops")
 
     def call(keys: DataFrame) -> DataFrame:
         rows = keyed.join(keys, "key", "left_semi").select("key", "before_crop", "after_crop", text.prompt(F.col("hint.fields"), F.col("hint.id")).alias("prompt")).dropDuplicates(["key"])
         answered = classified(ask(rows, provider))
-        return answered.select("key", F.struct("change_type", "description", "confidence").alias("classification"), "input_tokens", "output_tokens")
+        return written(answered.select("key", F.struct("change_type", "description", "confidence").alias("classification"), "input_tokens", "output_tokens"), "answers")
 
     answered, fresh = cache.read_through(keyed.drop("before_crop", "after_crop", "hint"), entries, now, call, ttl_ms)
     return answered.select("*", "classification.*").drop("classification"), fresh

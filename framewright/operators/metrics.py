@@ -38,8 +38,8 @@ def summarize(pairs: DataFrame, results: DataFrame) -> DataFrame:
     counts = {"n": F.count("*"), "real": F.count_if(real), "none": F.count_if(none), "tp": F.count_if(found), "fp": F.count_if(none & F.col("changed")), "hit": F.count_if(hit), "typed": F.count_if(typed), "correct": F.count_if(right)}
     tokens = {f"sum_{c}": F.coalesce(F.sum(F.when(F.col("matched"), F.col(c))), F.lit(0)) for c in ("input_tokens", "output_tokens")}
     grouped = r.groupBy("baseline").agg(*(v.alias(k) for k, v in (counts | tokens).items()))
-    if not results.take(1):
-        grouped = r.agg(F.lit("unknown").alias("baseline"), *(v.alias(k) for k, v in (counts | tokens).items()))
+    nothing = results.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("unknown").alias("baseline"), *(F.lit(0).alias(k) for k in (counts | tokens)))
+    grouped = grouped.unionByName(nothing)
     c = F.col
     return grouped.select(
         "baseline",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import data_uri, fixed, html_escape, percent
@@ -26,6 +26,41 @@ def pair_details(pairs: DataFrame, results: DataFrame) -> DataFrame:
     return r.select("baseline", "pair_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("detail"))
 
 
+def run_document(metrics: DataFrame, details: DataFrame, totals: DataFrame) -> DataFrame:
+    """(place, baseline, pair_id, line): one JSON document of a run, line by line, in the order of the first three.
+
+    {"arms": [{"baseline": ..., "metrics": {...}, "perPair": [...]}, ...], "totals": {...}}, with arms by name, and pairs by id.  ``metrics`` has a row for
+    each arm and ``details`` JSON texts (baseline, pair_id, detail), as ``pair_details`` gives them; an arm of which
+    there are no details has an empty list, details of an unknown arm are left out.  Arms are a handful of rows;
+    a pair is a line, and none is gathered with others.
+    """
+    arms = metrics.select("baseline", F.to_json(F.struct(*(c for c in metrics.columns if c != "baseline"))).alias("metrics"))
+    first_arm = metrics.agg(F.min("baseline").alias("first_arm"))
+    head = arms.crossJoin(F.broadcast(first_arm)).select(  # one row
+        F.lit(1).alias("place"), "baseline", F.lit(None).cast("bigint").alias("pair_id"),
+        F.concat(F.when(F.col("baseline") == F.col("first_arm"), "").otherwise("]},"), F.lit('{"baseline":'), _quoted("baseline"), F.lit(',"metrics":'), "metrics", F.lit(',"perPair":[')).alias("line"),
+    )
+    first = details.groupBy("baseline").agg(F.min("pair_id").alias("first"))
+    known = details.join(F.broadcast(arms.select("baseline")), "baseline", "left_semi").join(F.broadcast(first), "baseline")
+    pairs = known.select(F.lit(1).alias("place"), "baseline", "pair_id", F.concat(F.when(F.col("pair_id") == F.col("first"), "").otherwise(","), "detail").alias("line"))
+    none = [F.lit(None).cast("string").alias("baseline"), F.lit(None).cast("bigint").alias("pair_id")]
+    closing = F.when(F.col("first_arm").isNull(), "").otherwise("]}")
+    top = first_arm.select(F.lit(0).alias("place"), *none, F.lit('{"arms":[').alias("line"))
+    end = totals.crossJoin(F.broadcast(first_arm)).select(F.lit(2).alias("place"), *none, F.concat(closing, F.lit('],"totals":'), F.to_json(F.struct(*totals.columns)), F.lit("}")).alias("line"))  # one row
+    return top.unionByName(head).unionByName(pairs).unionByName(end)
+
+
+def _quoted(column: str) -> Column:
+    """A text as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(F.col(column).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+
+def write_document(lines: DataFrame, folder: str) -> None:
+    """The document as text files of one folder, whose parts in the order of their names are the document."""
+    order = ["place", "baseline", "pair_id"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(folder)
+
+
 def run_totals(results: DataFrame, prices: DataFrame) -> DataFrame:
     """One row: pairs, results, tokens in and out of all arms, and their cost to 4 decimals, halves up."""
     sums = with_cost(results, prices).agg(
