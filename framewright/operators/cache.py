@@ -25,9 +25,10 @@ def age_ms(now: Column, then: Column) -> Column:
 
 
 def latest(entries: DataFrame) -> DataFrame:
-    """What an appended table holds now: the newest entry of each key."""
+    """What an appended table holds now: the newest entry of each key, of equally old ones the greatest classification."""
     rest = [c for c in entries.columns if c != "key"]
-    return entries.groupBy("key").agg(F.max_by(F.struct(*rest), F.coalesce(F.col("cached_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))).alias("e")).select("key", "e.*")
+    at = F.coalesce(F.col("cached_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+    return entries.groupBy("key").agg(F.max(F.struct(at.alias("at"), F.struct(*rest).alias("e"))).alias("m")).select("key", "m.e.*")
 
 
 def append(entries: DataFrame, path: str) -> None:

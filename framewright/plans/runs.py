@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import classify, cost, fusion, raster, report
+from ..operators.cache import TTL_MS
+from ..operators.cache_table import CacheTable
 from ..sources import html_dom, png
+from ..sources.shared import new_path
+from ..streaming import replay
 from .inputs import cte, of
-from .registry import NOW, PRICES, PRICES_SQL, REGIONS, REPLIES_SQL, SCORES, SHOTS, CropModel, query, regions_of, shots, summary
+from .registry import NOW, ORACLES, PRICES, PRICES_SQL, REGIONS, REPLIES_SQL, SCORES, SHOTS, CropModel, query, regions_of, shots, summary
 
 _TYPE = "case when change_type is null then 'null' else concat('\"', change_type, '\"') end"
 _SOURCES = ["dom", "pixel", "dom+pixel"]
@@ -180,3 +184,38 @@ def smoothed_edges(spark, sf_dir):
 
     keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("bigint").alias("pair_id"))
     return raster.changed_pixels(keys.mapInPandas(run, "pair_id bigint, before binary, after binary"))
+
+
+@query(
+    cte("requests") + f""", entries as (select key, max(asked) as cached_at from requests where id % 4 <> 3 group by key)
+select id, key, coalesce(epoch_ms({NOW}) - epoch_ms(cached_at) <= {TTL_MS}, false) as hit, case when epoch_ms({NOW}) - epoch_ms(cached_at) <= {TTL_MS} then cast(epoch_us(cached_at) as varchar) end as classification
+from requests left join entries using (key) where id % 4 = 3"""
+)
+def cache_table_lookup(spark, sf_dir):
+    """Answers appended in three batches, one of them twice, and merged before and after the last one, then looked up by the requests that are left."""
+    log = of(spark, sf_dir, "requests")
+    asked = F.col("asked").cast("timestamp")
+    entries = log.select("id", "key", F.unix_micros(asked).cast("string").alias("classification"), asked.alias("cached_at"))
+    table = CacheTable(spark, new_path(spark, "cache"), entries.drop("id").schema, digits=1)
+    for k in (2, 0, 0, 1):  # the latest come first, which a merge must not undo
+        table.append(entries.where(F.col("id") % 4 == k), f"batch-{k}")
+        if k:
+            table.compact()
+    table.vacuum()
+    return table.lookup(log.where("id % 4 = 3").select("id", "key"), F.expr(NOW)).select("id", "key", "hit", "classification")
+
+
+@query(ORACLES["cache_replay"])
+def streamed_cache_replay(spark, sf_dir):
+    """The request log as a stream of four micro-batches, in order of time, through keyed state."""
+    folder = new_path(spark, "stream")
+    log = of(spark, sf_dir, "requests").withColumnRenamed("asked", "at")
+    quarters = log.agg(F.percentile_approx(F.unix_millis(F.col("at").cast("timestamp")), [0.25, 0.5, 0.75]).alias("q")).first()["q"]
+    millis = F.unix_millis(F.col("at").cast("timestamp"))
+    for low, high in zip([None, *quarters], [*quarters, None], strict=True):
+        part = log.where((millis > low) if low is not None else F.lit(True)).where((millis <= high) if high is not None else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")  # a file a batch: files are read in the order they came
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    replay.replayed(stream, folder)
+    hits = spark.read.schema(replay.HITS).parquet(f"{folder}/hits")
+    return hits.groupBy("key").agg(F.count("*").alias("requests"), F.count_if("hit").alias("hits"))
