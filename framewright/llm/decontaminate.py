@@ -142,7 +142,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     kept = [c for c in docs.columns if c not in {prefix + a for a, _ in ANSWER}]
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     texts = whole.where("text is not null").select("hash", "text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), *(f"`{prefix}{n}` {t}" for n, t in ANSWER)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in kept)), *(f"`{prefix}{n}` {t}" for n, t in ANSWER)])
 
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     windows = stored(items.mapInArrow(_windows(window), WINDOWS), "windows")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import chunks, utf8
-from .session import bounded_batches
+from .session import as_rows, bounded_batches, whole_rows
 
 SIZE, LETTERS, UNKNOWN = 512, 1024, "und"
 _SCALE = 1 << 20
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
 
     def run(batches):
         known = shared.value
-        for batch in batches:
+        for batch in whole_rows(batches):
             data, off = utf8(batch.column(text_col))
             for a, b in _limits(off):
                 vectors, some = text_vectors(data[off[a] : off[b]], off[a : b + 1] - off[a])
@@ -169,5 +169,5 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
                     score, names = np.zeros(b - a), [UNKNOWN] * (b - a)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(kept).columns, pa.array(names, pa.string()), pa.array(np.round(score.astype(np.float64), 6))], names=[*kept, "lang_pred", "score"])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return docs.mapInArrow(run, ", ".join([*schema, "lang_pred string", "score double"]))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in kept)]
+    return as_rows(docs).mapInArrow(run, ", ".join([*schema, "lang_pred string", "score double"]))

@@ -235,7 +235,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("hash"))
     sieve = Sieve(rows_of(gone, "__hash"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), "n_lines long", "n_removed long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in kept)), "n_lines long", "n_removed long"])
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))
     held = sifted(whole, "hash", sieve).join(gone, same, "left").select("row", "hash", "__gone")
     rest = whole.select("row", "hash").mapInArrow(_removed(kept, text_col, sieve), schema)

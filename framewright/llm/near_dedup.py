@@ -132,11 +132,13 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     It is that of the smallest id (null ids come last), equal ids by a hash of the row, equal rows by their place.
     Rows are told apart by their place, so null, repeated and shared ids are no exception.  Rows of an empty set stay.
+    All columns of ``docs`` stay as they are, whatever their names.
     """
-    placed = stored(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__order", F.xxhash64(*docs.columns)), "placed")
-    rows = placed.select("__row", "__order", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    placed = stored(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("row")), "placed")
+    of_row = [F.col("row").getField(c) for c in (id_col, text_col)]
+    rows = placed.select("__row", F.xxhash64("row").alias("__order"), of_row[0].cast("long").alias("doc_id"), of_row[1].alias("text"))
     labelled = stored(_labelled(rows, size, percent, groups).where("node is not null"), "placed-classes")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__order", "__row")
     stays = labelled.groupBy("component").agg(F.min(rank).alias("least"), F.count("*").alias("n")).where("n > 1")
     gone = labelled.join(stays.select("component", F.col("least.__row").alias("__stays")), "component").where("__row <> __stays")
-    return placed.join(gone.select("__row"), "__row", "left_anti").select(docs.columns)
+    return placed.join(gone.select("__row"), "__row", "left_anti").select("row.*")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts may be long: few rows and bytes to an Arrow batch keep Python workers small.
 ARROW_ROWS, ARROW_BYTES = "1000", "4m"
@@ -29,3 +31,14 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         bounded_batches(spark)
+
+
+def as_rows(df: DataFrame) -> DataFrame:
+    """One column ``row`` of all columns: tasks take columns of any names that way, dotted ones as well."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of ``as_rows``, batch by batch."""
+    for batch in batches:
+        yield pa.RecordBatch.from_struct_array(batch.column("row"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .kernels import ALNUM, LOWER, U64, chunks, prefix_hash, ragged, span_hash, spans, utf8
 from .scratch import stored
-from .session import bounded_batches
+from .session import as_rows, bounded_batches, whole_rows
 
 TERM_BITS = 20
 #: The fit's bound: at most so many labelled rows, those of the smallest hashes of id and text.
@@ -306,11 +306,11 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_
 
     def run(batches):
         machine = shared.value
-        for batch in batches:
+        for batch in whole_rows(batches):
             data, off = utf8(batch.column(text_col))
             for a, b in chunks(off):
                 value = machine.scores(*terms(data[off[a] : off[b]], off[a : b + 1] - off[a], machine.place))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(kept).columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*kept, score_col, predicted_col])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return docs.mapInArrow(run, ", ".join([*schema, f"`{score_col}` double", f"`{predicted_col}` int"]))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in kept)]
+    return as_rows(docs).mapInArrow(run, ", ".join([*schema, f"`{score_col}` double", f"`{predicted_col}` int"]))
