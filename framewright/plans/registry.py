@@ -237,7 +237,7 @@ _WIDE = f"""wide as (select n_nationkey as pair_id, i % 1500 as x, i // 1500 as
     f"""with {_WIDE}, columns as (select pair_id, x, count(*) as n, bool_or(y = 9) as crossed, min(y) as top, max(y) as bottom from wide group by all),
 bars as (select *, x - row_number() over (partition by pair_id order by x) as run from wide where y = 9),
 runs as (select pair_id, run, min(x) as x0, max(x) as x1 from bars group by all)
-select r.pair_id, x0 as x, min(top) as y, x1 - x0 + 1 as w, max(bottom) - min(top) + 1 as h, cast(sum(n) as bigint) as changed_pixels
+select r.pair_id::bigint as pair_id, x0 as x, min(top) as y, x1 - x0 + 1 as w, max(bottom) - min(top) + 1 as h, cast(sum(n) as bigint) as changed_pixels
 from runs r join columns c on c.pair_id = r.pair_id and c.x between x0 and x1 group by all"""
 )
 def mask_components_of_wide_images(spark, sf_dir):
