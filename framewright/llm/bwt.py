@@ -84,8 +84,11 @@ def merge(orders: list[np.ndarray], before: np.ndarray) -> tuple[np.ndarray, np.
     return out, common
 
 
-def repeated(data: np.ndarray, off: np.ndarray, weight: np.ndarray, shard_bytes: int = 1 << 19) -> np.ndarray:
-    """For each byte: whether the STRIDE * DEPTH bytes from it on stand more than once in the strings, each counted ``weight`` times."""
+def repeated(data: np.ndarray, off: np.ndarray, weight: np.ndarray, shard_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: how often the STRIDE * DEPTH bytes from it on stand in the strings, each counted ``weight`` times, and whether it is the first of these places in merged order.
+
+    Both are 0 where fewer bytes are left of the string.
+    """
     first, here, before = symbols(data, off)
     edges = [0]
     for i in range(1, len(off)):
@@ -97,10 +100,11 @@ def repeated(data: np.ndarray, off: np.ndarray, weight: np.ndarray, shard_bytes:
     local = np.arange(first[-1]) - first[text]
     window = local + STRIDE * DEPTH <= np.diff(off)[text]
     interval = np.cumsum(common < DEPTH) - 1
-    times = np.bincount(interval, weights=np.where(window, weight[text], 0)[slots])
-    many = np.zeros(first[-1], bool)
-    many[slots] = times[interval] > 1
-    many &= window
+    total = np.bincount(interval, weights=np.where(window, weight[text], 0)[slots])
+    times, lead = np.zeros(first[-1], np.int64), np.zeros(first[-1], bool)
+    times[slots] = total[interval]
+    lead[slots[common < DEPTH]] = True
+    times[~window] = 0
     inner = np.ones(first[-1], bool)
     inner[first[1:] - 1] = False
-    return many[inner]
+    return times[inner], (lead & window)[inner]

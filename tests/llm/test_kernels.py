@@ -70,14 +70,18 @@ def test_merged_transforms_find_what_sets_find():
         for t, w in zip(texts, weight, strict=True):
             for p in range(len(t) - 399):
                 times[t[p : p + 400]] = times.get(t[p : p + 400], 0) + w
-        got = bwt.repeated(np.frombuffer(b"".join(texts), np.uint8), where, weight, 1500)
-        assert got.tolist() == [p + 400 <= len(t) and times[t[p : p + 400]] > 1 for t in texts for p in range(len(t))]
+        got, lead = bwt.repeated(np.frombuffer(b"".join(texts), np.uint8), where, weight, 1500)
+        assert got.tolist() == [times[t[p : p + 400]] if p + 400 <= len(t) else 0 for t in texts for p in range(len(t))]
+        led = [t[p : p + 400] for t, w in zip(texts, where[:-1], strict=True) for p in range(len(t)) if lead[w + p]]
+        assert len(led) == len(set(led)) and set(led) == set(times)
 
 
 def test_equal_windows_have_equal_anchors():
     data = np.frombuffer(b"ab" * 600 + bytes(range(256)) * 4, np.uint8)
-    first, many, anchor, body = suffix_dedup.ranges(data, np.array([0, len(data)]))
+    first, many, anchor, body, at = suffix_dedup.ranges(data, np.array([0, len(data)]))
     assert first[0] == 0 and many.sum() == len(data) - 399 and (np.cumsum(many)[:-1] == first[1:]).all()
+    grams = [data[f + a : f + a + suffix_dedup.GRAM].tobytes() for f, a in zip(first, at, strict=True)]
+    assert len({*zip(grams, anchor.tolist(), strict=True)}) == len(set(grams)) == len(set(anchor.tolist())) and (at < 369).all()
 
 
 def test_media_round_trips():

@@ -100,12 +100,12 @@ def test_line_dedup_of_nothing_and_nulls(empty, nulls):
     assert got == [(0, "", 0), (0, "some text", 0), (3, "", 1), (3, "", 1)]
 
 
-@pytest.mark.parametrize("group", [1, 512])
-def test_repeats(spark, sf_dir, odd, group):
+@pytest.mark.parametrize("merge_bytes", [10_000, suffix_dedup.MERGE_BYTES])
+def test_repeats(spark, sf_dir, odd, merge_bytes):
     import pyspark.sql.functions as F
 
     for df in (odd, documents(spark, sf_dir)):
-        out = suffix_dedup.remove_repeats(df, group=group).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("gone"), F.size("removed").alias("n"), F.sha2("kept", 256).alias("sha"))
+        out = suffix_dedup.remove_repeats(df, merge_bytes=merge_bytes).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("gone"), F.size("removed").alias("n"), F.sha2("kept", 256).alias("sha"))
         assert {r.doc_id: (r.n_bytes, r.gone, r.n, r.sha) for r in out.collect()} == brute.repeats(pairs(df), suffix_dedup.LENGTH)
 
 
@@ -118,6 +118,33 @@ def test_repeats_read_in_blocks(spark, odd, monkeypatch):
     assert whole == cut == set(range(len(raw) - suffix_dedup.LENGTH + 1))
 
 
+def test_repeats_around_one_frequent_anchor(spark):
+    """Bodies that share an anchor, or 399 bytes, or a long passage, in shards far smaller than all of them."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared, passage = word(399), word(700)
+    texts = [f"{word(250)}{shared[100:200]}{word(250)}" for _ in range(12)]
+    texts += [f"{word(200)}{'AB'[i % 2]}{shared}{'CD'[i // 2 % 2]}{word(200)}" for i in range(12)]
+    texts += [word(30 * i) + passage[:650 + i] + word(20) for i in range(12)]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute.repeats(docs, suffix_dedup.LENGTH)
+    for merge_bytes in (2000, 5000):
+        out = suffix_dedup.remove_repeats(df, merge_bytes=merge_bytes).collect()
+        got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in out}
+        assert got == want
+
+
+def test_repeats_of_a_repeated_unit_are_few_rows():
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "doc_hash": [5, 6], "text": ["ab" * 300_000, "abc" * 1000]})
+    rows = [r for batch in suffix_dedup._ranges([texts]) for r in batch.to_pylist()]
+    assert len(rows) < 20 and sum(r["here"] * r["many"] for r in rows) == 600_000 + 3000 - 2 * (suffix_dedup.LENGTH - 1)
+    for doc, size in ((1, 600_000), (2, 3000)):
+        assert {(min(r["start"] for r in rows if r["doc_id"] == doc), max(r["end"] for r in rows if r["doc_id"] == doc))} == {(0, size)}
+
+
 def test_repeats_of_nothing_and_nulls(empty, nulls):
     assert suffix_dedup.remove_repeats(empty).collect() == []
     assert sorted(bytes(r.kept) for r in suffix_dedup.remove_repeats(nulls).collect()) == [b"", *[b"some text"] * 3]
