@@ -2,10 +2,12 @@
 
 A bucket is a set of distinct nodes that share a key.  First every member is checked against one centre of its
 bucket.  Where a bucket still holds several classes, a centre of its largest class, another one in each bucket, is
-checked against the members of the other classes.  What differs in class after that is compared within the bucket by
-wide bitmaps, which leave hardly any pair but links, and these are checked.  So each pair of a bucket is verified, or
-ruled out exactly by sizes and bitmaps, or already lies in one class: no link between classes is lost, and a
-bucket of near copies costs about as many checks as it has members.
+checked against the members of the other classes.  What differs in class after that is joined by prefixes: the items
+of a set, rarest first, without those that the sets of a link must share but for one.  Linked sets share an item of
+their prefixes, at places that leave enough items after them; sets that share only a frequent passage rarely do.  Wide
+bitmaps leave hardly any of these pairs but links, and these are checked.  So each pair of a bucket is verified, or
+ruled out exactly by sizes, prefixes and bitmaps, or already lies in one class: no link between classes is lost, and
+a bucket of near copies costs about as many checks as it has members.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -54,8 +56,13 @@ def may_link(percent: int, words: int = WORDS) -> Column:
     (n + c_n - d) / 2 are shared and the union has at least (n + c_n + d) / 2.
     """
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"c_m{i}"))) for i in range(words)))
-    both = F.col("n") + F.col("c_n")
-    return (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & (100 * (both - differ) >= percent * (both + differ))
+    return (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & ((100 - percent) * (F.col("n") + F.col("c_n")) >= (100 + percent) * differ)
+
+
+def may_share(percent: int) -> Column:
+    """Whether enough items follow the places ``at`` and ``c_at`` of an item, the first that two prefixes share, for a link."""
+    after = F.least(F.col("n") - F.col("at"), F.col("c_n") - F.col("c_at"))
+    return (100 + percent) * (after + 1) >= percent * (F.col("n") + F.col("c_n"))
 
 
 def _stars(batches):
@@ -141,6 +148,31 @@ class _Verifier:
         read = stored(self.items_of(stored(wanted, "wanted")), "items")
         self.items = read if self.items is None else self.items.unionByName(read)
 
+    def prefixes(self, nodes: DataFrame) -> DataFrame:
+        """(key, node, component, at) for nodes (node, component): the items of their prefixes and places, from 1, where items of several nodes have several components.
+
+        An item of one node is rarer than all others, so these are only counted.
+        """
+        self.read(nodes.select("node"))
+        sets = self.sets
+
+        def run(batches):
+            for batch in batches:
+                size = pc.binary_length(batch.column("items")).to_numpy(zero_copy_only=False).astype(np.int64)
+                for first, last in chunks(np.append(0, np.cumsum(size))):
+                    for i, j in ((k, min(k + PAIRS, last)) for k in range(first, last, PAIRS)):
+                        items, where = sets(batch.column("items").slice(i, j - i))
+                        own = np.repeat(np.arange(j - i), np.diff(where))
+                        yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i).take(pa.array(own)), pa.array(items.view(np.int64)), pa.array(np.diff(where)[own])], names=["node", "key", "n"])
+
+        each = stored(self.items.join(nodes, "node", "left_semi").mapInArrow(run, "node long, key long, n long"), "shingles")
+        often = each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+        of = Window.partitionBy("node")
+        ranked = each.join(often, "key").withColumn("many", F.count("*").over(of)).withColumn("rank", F.row_number().over(of.orderBy("times", "key")))
+        needed = F.expr(f"({self.percent} * n + 99) div 100")
+        prefix = ranked.where(F.col("rank") <= F.col("many") - needed + 1).select("key", "node", (F.col("n") - F.col("many") + F.col("rank")).alias("at"))
+        return stored(_mixed(stored(prefix.join(nodes, "node"), "prefixes")), "mixed")
+
     def wide(self, nodes: DataFrame) -> DataFrame:
         """(node, n, m0, ...) with WIDE words of the nodes in a table (node)."""
         self.read(nodes)
@@ -158,12 +190,16 @@ class _Verifier:
         return self.items.join(nodes, "node", "left_semi").mapInArrow(run, ", ".join(["node long", "n long", *(f"m{k} long" for k in range(WIDE))]))
 
 
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The rows (key, component, ...) of keys with several components."""
+    return labelled.join(labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key"), "key")
+
+
 def _labelled(live: DataFrame, edges: DataFrame) -> DataFrame:
     """Members (key, node, component) of the buckets that hold several classes; a component is the least neighbour in ``edges``."""
     least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     labelled = stored(live.join(least, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    return stored(labelled.join(mixed, "key"), "live")
+    return stored(_mixed(labelled), "live")
 
 
 def nodes_of(members: DataFrame) -> DataFrame:
@@ -197,17 +233,18 @@ def classes(members: DataFrame, carried: DataFrame, items_of: Callable[[DataFram
     more = verifier.links(allowed(live.where("component <> c_component").select(*ordered)))
     found = stored(connected_components(edges.unionByName(more)), "classes")
 
-    # what is left, by wide bitmaps: all members of a bucket against those that aren't of its largest class
+    # what is left, by prefixes and wide bitmaps: all sets with an item against those that aren't of its largest class
     edges = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     live = _labelled(live.select("key", "node"), edges)
     if live.isEmpty():
         return found
+    live = verifier.prefixes(live.select("node", "component").distinct())
     top = live.groupBy("key", "component").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "component")).alias("t")).select("key", F.col("t.component").alias("top"))
     left = stored(live.join(top, "key").join(verifier.wide(live.select("node").distinct()), "node"), "open")
     other = left.where("component <> top").drop("top")
     other = other.select(*(F.col(c).alias(c if c == "key" else f"c_{c}") for c in other.columns))
     pairs = left.join(other, "key").where("component <> c_component and (component = top or node < c_node)")
-    pairs = pairs.where(may_link(percent) & may_link(percent, WIDE))  # the first words alone rule out most pairs
+    pairs = pairs.where(may_share(percent) & may_link(percent) & may_link(percent, WIDE))  # places and the first words rule out most pairs
     more = verifier.links(pairs.select(*ordered).distinct())
     if more.isEmpty():
         return found

@@ -62,6 +62,34 @@ def test_near_duplicates_of_nothing_and_nulls(empty, nulls):
     assert got == [(0, 0, None, True), (0, 1, 3, False), (3, 1, 3, True), (3, 1, 3, True)]
 
 
+def test_near_duplicates_that_meet_without_links(spark, monkeypatch):
+    """Texts of one passage that aren't linked, and copies of copies on both sides of the threshold, through the prefixes."""
+    from framewright.llm import setjoin
+
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage, base = words(90), words(120)
+    texts = [words(20) + passage + words(20) for _ in range(40)]
+    for i in range(60):
+        copy = list(base)
+        for at in rng.choice(120, 1 + i % 4, replace=False):
+            copy[at] = f"e{i}-{at}"
+        texts.append(copy)
+    docs = list(enumerate(" ".join(t) for t in texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen, prefixes = [], setjoin._Verifier.prefixes
+
+    def counted(self, nodes):
+        out = prefixes(self, nodes)
+        seen.append(nodes.count())
+        return out
+
+    monkeypatch.setattr(setjoin._Verifier, "prefixes", counted)
+    want = brute.near_duplicates(docs, 5)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, size=5).collect()}
+    assert got == {i: (w if isinstance(w, int) else w[1]) for i, w in want.items()} and seen
+
+
 def test_line_dedup(spark, sf_dir, odd):
     for df in (odd, documents(spark, sf_dir)):
         docs = pairs(df)
