@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import GAP, LEAST_SHARE
@@ -231,7 +231,13 @@ def _in_groups(rows: DataFrame, keys: list[str], order: list[str], f: Callable[[
     ``f`` takes rows and the first of each group (n + 1 values).  Tasks walk their groups in a stream; what is held of a
     group beyond HELD rows is replaced by ``shrink`` of it, fewer rows that mean the same.
     """
-    names, n = rows.columns, len(keys)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return _walked(dealt, len(keys), f, schema, shrink)
+
+
+def _walked(rows: DataFrame, n: int, f: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, shrink: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``_in_groups`` of rows whose groups, by their first ``n`` columns, stand together already."""
+    names = rows.columns
 
     def edges(values: np.ndarray) -> np.ndarray:
         return np.r_[0, np.flatnonzero((values[1:, :n] != values[:-1, :n]).any(1)) + 1, len(values)]
@@ -251,8 +257,7 @@ def _in_groups(rows: DataFrame, keys: list[str], order: list[str], f: Callable[[
         if len(held):
             yield f(held, edges(held))
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 #: Rows of tiles: components, and the pixels beside a seam, which ``seam`` numbers from the pixel at its right or below.
@@ -380,16 +385,38 @@ def _merge_at_home(boxes: DataFrame, cell: int, gap: int) -> DataFrame:
     return _in_groups(few, ["pair_id", "cy", "cx"], ["ord"], merged, schema, lambda rows: _merged_apart(rows, 3, gap))
 
 
-def merged_regions(boxes: DataFrame, gap: int = GAP, cell: int = CELL) -> DataFrame:
+#: Boxes of a pair that are merged at once, without cells.
+WHOLE = 4096
+
+
+def merged_regions(boxes: DataFrame, gap: int = GAP, cell: int = CELL, whole: int = WHOLE) -> DataFrame:
     """BOXES after merging, of (pair_id, x, y, w, h, changed_pixels) in whole numbers: near ones replaced by the box around them until none are near.
 
-    Boxes of one cell of ``cell`` x ``cell`` are merged first.  Then, round by round, boxes meet in all cells that they reach into,
-    distributed components join those that are near, and what has grown meets others in the next round, until a round finds nothing.  So a pair's
+    Pairs of at most ``whole`` boxes, which are counted first, are merged pair by pair, where they lie if they lie by pair already.  Of
+    other pairs, boxes of one cell of ``cell`` x ``cell`` are merged first.  Then, round by round, boxes meet in all cells that they reach into,
+    distributed components join those that are near, and what has grown meets others in the next round, until a round finds nothing.  So such a pair's
     boxes are spread over tasks, and a cell is held as merged boxes.  ``ord`` is the least of what was merged, or
     y * 2^32 + x of the first box where the input has none.  Rows of a null pair are ignored.
     """
     rows = boxes.where("pair_id is not null").withColumns({c: F.col(c).cast("bigint") for c in _BOX})
     rows = rows if "ord" in boxes.columns else rows.withColumn("ord", F.col("y") * (1 << 32) + F.col("x"))
+    large = written(rows.groupBy("pair_id").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("pair_id"), "large")
+    if large.isEmpty():
+        return _merged_pairs(rows, gap, whole)
+    return _merged_pairs(rows.join(large, "pair_id", "left_anti"), gap, whole).unionByName(_merged_by_cells(rows.join(large, "pair_id", "left_semi"), gap, cell))
+
+
+def _merged_pairs(rows: DataFrame, gap: int, whole: int) -> DataFrame:
+    """BOXES of pairs of at most ``whole`` boxes.  The count in a window brings a pair's rows together, and no shuffle where they are."""
+    together = rows.select("pair_id", "ord", *_BOX, F.count("*").over(Window.partitionBy("pair_id")).alias("n")).where(F.col("n") <= whole)
+
+    def merged(values: np.ndarray, edges: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(_merged_apart(values, 1, gap), columns=["pair_id", "ord", *_BOX])
+
+    return _walked(together.drop("n"), 1, merged, BOXES, lambda values: _merged_apart(values, 1, gap))
+
+
+def _merged_by_cells(rows: DataFrame, gap: int, cell: int) -> DataFrame:
     now = written(_merge_at_home(rows, cell, gap).drop("cy", "cx").withColumn("id", F.monotonically_increasing_id()), "boxes")
     while True:
         ends = {c: (F.floor(F.col(c) / cell), F.floor((F.col(c) + F.greatest(F.col(s) + gap, F.lit(1)) - 1) / cell)) for c, s in (("x", "w"), ("y", "h"))}

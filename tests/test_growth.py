@@ -1,6 +1,13 @@
 """What keeps shuffles, writes and calls in proportion to the input: inputs dealt out once, small pairs answered whole."""
 
+import numpy as np
+import pytest
+
+from framewright.operators import raster
 from framewright.plans import registry
+from framewright.plans.inputs import of
+
+BOX = "pair_id long, ord long, x long, y long, w long, h long, changed_pixels long"
 
 
 def plan_of(df):
@@ -13,3 +20,22 @@ def test_snapshots_are_dealt_out_once(spark, sf_dir):
     assert "hashpartitioning(pair_id" not in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 2
     for line, below in zip(plan.split("\n"), plan.split("\n")[1:], strict=False):
         assert "hashpartitioning" not in line or "FileScan" in below
+
+
+@pytest.mark.parametrize("whole", [0, 40, 4096])
+def test_pairs_are_merged_whole_or_by_cells(spark, whole):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for pair, (n, far) in enumerate(((1, 9), (30, 900), (40, 200), (41, 2500), (90, 4000))):
+        boxes = np.c_[rng.integers(0, far, (n, 2)), rng.integers(0, 1500, n), rng.integers(0, 90, n), rng.integers(1, 9, n)]
+        rows += [(pair, i, *map(int, b)) for i, b in enumerate(boxes)]
+        want += [(pair, *map(int, b)) for b in raster.merge_boxes(boxes)]
+    df = spark.createDataFrame([*rows, (None, 0, 1, 1, 1, 1, 1)], BOX)
+    out = raster.merged_regions(df, whole=whole).collect()
+    assert sorted((r.pair_id, r.x, r.y, r.w, r.h, r.changed_pixels) for r in out) == sorted(want)
+    for r in out:
+        assert r.ord == min(i for p, i, x, y, w, h, _ in rows if p == r.pair_id and r.x <= x and r.y <= y and x + w <= r.x + r.w and y + h <= r.y + r.h)
+
+
+def test_boxes_that_lie_by_pair_are_not_dealt_out_again(spark, sf_dir):
+    assert plan_of(raster.merged_regions(of(spark, sf_dir, "boxes"))).count("Exchange") == 1
