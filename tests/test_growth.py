@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from framewright.operators import raster
+from framewright.operators import fusion, raster
 from framewright.plans import registry
 from framewright.plans.inputs import of
 
@@ -39,3 +40,26 @@ def test_pairs_are_merged_whole_or_by_cells(spark, whole):
 
 def test_boxes_that_lie_by_pair_are_not_dealt_out_again(spark, sf_dir):
     assert plan_of(raster.merged_regions(of(spark, sf_dir, "boxes"))).count("Exchange") == 1
+
+
+@pytest.mark.parametrize("whole", [0, 12, 1024])
+def test_pairs_are_fused_whole_or_by_cells(spark, whole):
+    """Null pairs and rectangles among them; pair 3 has pixel regions only, pair 4 changes only."""
+    rng = np.random.default_rng(11)
+    draw = lambda pair, n: [(pair, i, *(float(v) for v in rng.integers(0, 500, 2)), *(float(v) for v in rng.integers(0, 60, 2))) for i in range(n)]
+    dom = [*draw(1, 12), *draw(2, 30), *draw(4, 2), *draw(None, 15), (1, 98, None, 0.0, 5.0, 5.0)]
+    pix = [*draw(1, 9), *draw(2, 13), *draw(3, 14), *draw(None, 4), (1, 99, 0.0, None, 500.0, 5.0)]
+    schema = "pair_id long, ord long, x double, y double, w double, h double"
+    changes = spark.createDataFrame(dom, schema).withColumn("changed_fields", F.array(F.lit("rect"))).withColumn("id", F.concat(F.lit("n"), "ord"))
+    meet = lambda p, q: p[0] is not None and p[0] == q[0] and None not in (*p, *q) and all(p[i] < q[i] + q[i + 2] and q[i] < p[i] + p[i + 2] for i in (2, 3))
+    want = [(p[0], p[1], "dom+pixel" if any(meet(p, q) for q in pix) else "dom", f"n{p[1]}") for p in dom]
+    want += [(q[0], q[1] + fusion.PIXEL_FIRST, "pixel", None) for q in pix if q[0] in (1, 2, 4) and not any(meet(p, q) for p in dom)]
+    got = fusion.candidate_regions(changes, spark.createDataFrame(pix, schema), whole)
+    assert sorted(((r.pair_id, r.ord, r.source, r.dom_id) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert got.where("w < 1 or h < 1").isEmpty() and got.columns == ["pair_id", "ord", "x", "y", "w", "h", "source", "changed_fields", "dom_id"]
+
+
+def test_small_pairs_are_fused_with_two_shuffles(spark, sf_dir):
+    """Changes are dealt out by pair once; pixel regions lie by pair already."""
+    plan = plan_of(registry.fusion_sources(spark, sf_dir))
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("Exchange hashpartitioning(pair_id") == 1
