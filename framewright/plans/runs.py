@@ -140,6 +140,8 @@ def written_page_nodes(spark, sf_dir):
 
 #: Size of the images that stand for suppliers: a slanting edge with a grey rim, which moves a little, and a box that changes its colour.
 WIDE, TALL = 24, 16
+#: Pairs of images that a task makes and compares.
+PAIRS = 512
 _LUMA = " + ".join(f"{w}e0 * {c}" for w, c in zip(raster.YIQ["y"], "rgb", strict=True))
 _PARTS = {k: " + ".join(f"({w}e0) * (b.{c} - a.{c})" for w, c in zip(ws, "rgb", strict=True)) for k, ws in raster.YIQ.items()}
 _DELTA = " + ".join(f"{raster.YIQ_WEIGHTS[k]}e0 * ({v}) * ({v})" for k, v in _PARTS.items())
@@ -183,6 +185,7 @@ def smoothed_edges(spark, sf_dir):
             yield frame.assign(**images)
 
     keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("bigint").alias("pair_id"))
+    keys = keys.repartition(keys.count() // PAIRS + 1)  # a file of few bytes is one task, and here a lot of images
     return raster.changed_pixels(keys.mapInPandas(run, "pair_id bigint, before binary, after binary"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import fusion, raster
-from framewright.plans import registry
+from framewright.plans import registry, runs
 from framewright.plans.inputs import of
 
 BOX = "pair_id long, ord long, x long, y long, w long, h long, changed_pixels long"
@@ -63,3 +63,9 @@ def test_small_pairs_are_fused_with_two_shuffles(spark, sf_dir):
     """Changes are dealt out by pair once; pixel regions lie by pair already."""
     plan = plan_of(registry.fusion_sources(spark, sf_dir))
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and plan.count("Exchange hashpartitioning(pair_id") == 1
+
+
+def test_images_of_a_small_file_are_spread(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(runs, "PAIRS", 4)
+    pairs = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    assert f"RoundRobinPartitioning({pairs // 4 + 1})" in plan_of(runs.smoothed_edges(spark, sf_dir))
