@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import fusion, raster
+from framewright.operators import cache, fusion, raster
 from framewright.plans import registry, runs
 from framewright.plans.inputs import of
+from framewright.streaming import replay as stream
 
 BOX = "pair_id long, ord long, x long, y long, w long, h long, changed_pixels long"
 
@@ -69,3 +70,15 @@ def test_images_of_a_small_file_are_spread(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(runs, "PAIRS", 4)
     pairs = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     assert f"RoundRobinPartitioning({pairs // 4 + 1})" in plan_of(runs.smoothed_edges(spark, sf_dir))
+
+
+def test_a_stream_calls_a_bucket_and_not_a_key(spark, tmp_path, monkeypatch):
+    """2,000 keys in 3 buckets: the rows of a bucket are answered at once, as those of a table are."""
+    monkeypatch.setattr(stream, "BUCKETS", 3)
+    log = spark.range(6000).select("id", F.concat(F.lit("k"), F.col("id") % 2000).alias("key"), F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 2000) * 4).alias("at"))
+    for k in range(2):
+        log.where(F.floor(F.col("id") / 3000) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    requests = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.replayed(requests, str(tmp_path), 5000)
+    hits = sorted((r.id, r.hit) for r in spark.read.parquet(str(tmp_path / "hits")).collect())
+    assert hits == sorted((r.id, r.hit) for r in cache.replay(log, 5000).collect()) and sum(h for _, h in hits) == 2000
