@@ -2,8 +2,9 @@
 
 A bucket is a set of distinct nodes that share a key.  First every member is checked against one centre of its
 bucket.  Where a bucket still holds several classes, a centre of its largest class, another one in each bucket, is
-checked against the members of the other classes.  What differs in class after that is joined by prefixes: the items
-of a set, rarest first, without those that the sets of a link must share but for one.  Linked sets share an item of
+checked against the members of the other classes.  What differs in class after that is compared all with all where a
+bucket has at most SMALL members.  In larger buckets it is joined by prefixes: the items of a set, rarest first, without
+those that the sets of a link must share but for one.  Linked sets share an item of
 their prefixes, at places that leave enough items after them; sets that share only a frequent passage rarely do.  Wide
 bitmaps leave hardly any of these pairs but links, and these are checked.  So each pair of a bucket is verified, or
 ruled out exactly by sizes, prefixes and bitmaps, or already lies in one class: no link between classes is lost, and
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import chunks
+from .kernels import U64, chunks, mix
 from .scratch import stored
 from .session import batches_of
 
@@ -30,6 +32,10 @@ from .session import batches_of
 PAIRS, PAIR_BITS = 1000, 10
 #: Words of 64 bits in a set's bitmap, and in that of the last comparison.
 WORDS, WIDE = 8, 32
+#: Members of the largest bucket whose members are compared all with all.
+SMALL = 512
+#: Cells of the counts by which items are ordered, and those of a row of them.
+CELLS, SLOT = 1 << 19, 1 << 12
 #: Columns of what a member carries besides its node: the size of its set and its bitmap.
 CARRIED = ["n", *(f"m{i}" for i in range(WORDS))]
 
@@ -80,6 +86,41 @@ def _stars(batches):
         key, head, last = keys[-1], heads[-1], nodes[-1]
 
 
+def _differing(percent: int):
+    """(a, b), a < b: the pairs of a key's nodes, of different components, that ``may_link`` allows.
+
+    Rows (key, node, component, n, m0, ...) come in order of their keys, of which none has more than SMALL.
+    """
+
+    def flush(column):
+        node, component, n = (column[c] for c in ("node", "component", "n"))
+        words = np.stack([column[f"m{i}"] for i in range(WORDS)])
+        i, j = np.triu_indices(len(node), 1)
+        yes = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[yes], j[yes]
+        yes = (100 - percent) * (n[i] + n[j]) >= (100 + percent) * np.bitwise_count(words[:, i] ^ words[:, j]).sum(0, dtype=np.int64)
+        i, j = node[i[yes]], node[j[yes]]
+        return np.minimum(i, j), np.maximum(i, j)
+
+    def run(batches):
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+                held = column if held is None else {c: np.concatenate([held[c], column[c]]) for c in column}
+            if held is None or not len(held["key"]):
+                continue
+            cut = np.flatnonzero(np.diff(held["key"])) + 1
+            where = [0, *cut.tolist(), *([len(held["key"])] if batch is None else [])]
+            found = [flush({c: held[c][x:y] for c in held}) for x, y in zip(where[:-1], where[1:], strict=True) if y - x > 1]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            held = {c: held[c][where[-1] :] for c in held}
+
+    return run
+
+
 def buckets(keys: DataFrame) -> DataFrame:
     """From (node, keys), where a node may repeat: (key, node, c_node), every node of a bucket but its least, c_node.
 
@@ -122,6 +163,47 @@ def jaccard_at_least(percent: int, items: Items = stored_sets) -> Callable[[Iter
     return check
 
 
+def _each(batch: pa.RecordBatch, sets: Items) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch with stored ``items``, PAIRS rows at most: the rows, their hashes and the first of each row (n + 1 values)."""
+    size = pc.binary_length(batch.column("items")).to_numpy(zero_copy_only=False).astype(np.int64)
+    for first, last in chunks(np.append(0, np.cumsum(size))):
+        for i in range(first, last, PAIRS):
+            part = batch.slice(i, min(PAIRS, last - i))
+            yield part, *sets(part.column("items"))
+
+
+def _cell(items: np.ndarray) -> np.ndarray:
+    return (mix(items, 41) % U64(CELLS)).astype(np.int64)
+
+
+def _cell_counts(sets: Items):
+    """(slot, counts): how many items of the sets are in each cell, SLOT cells a row."""
+
+    def run(batches):
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, items, _ in _each(batch, sets):
+                np.add.at(counts, _cell(items), 1)
+        rows = counts.reshape(-1, SLOT)
+        full = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([r.tobytes() for r in rows[full]], pa.binary())], names=["slot", "counts"])
+
+    return run
+
+
+def _counts(parts: DataFrame) -> np.ndarray:
+    """The sums of ``_cell_counts``, all cells: CELLS numbers, whatever was counted."""
+
+    def added(table: pa.Table) -> pa.Table:
+        out = sum((np.frombuffer(c.as_buffer(), np.int64) for c in table.column("counts")), np.zeros(SLOT, np.int64))
+        return pa.table({"slot": table.column("slot")[:1], "counts": pa.array([out.tobytes()], pa.binary())})
+
+    whole = np.zeros((CELLS // SLOT, SLOT), np.int64)
+    for row in parts.groupBy("slot").applyInArrow(added, "slot long, counts binary").collect():
+        whole[row.slot] = np.frombuffer(row.counts, np.int64)
+    return whole.reshape(-1)
+
+
 class _Verifier:
     """Checks pairs of nodes, and reads the items of a node once.
 
@@ -151,27 +233,29 @@ class _Verifier:
     def prefixes(self, nodes: DataFrame) -> DataFrame:
         """(key, node, component, at) for nodes (node, component): the items of their prefixes and places, from 1, where items of several nodes have several components.
 
-        An item of one node is rarer than all others, so these are only counted.
+        Items are in order of the number of sets that have an item of their cell, then of their hashes: any order of all
+        items is exact, and this one has frequent items last.  An item alone in its cell is that of one node, so it only
+        takes a place.
         """
+        if nodes.isEmpty():
+            return nodes.sparkSession.createDataFrame([], "key long, node long, component long, at long")
         self.read(nodes.select("node"))
-        sets = self.sets
+        percent, sets = self.percent, self.sets
+        own = stored(self.items.join(nodes, "node"), "own")
+        counts = nodes.sparkSession.sparkContext.broadcast(_counts(own.mapInArrow(_cell_counts(sets), "slot long, counts binary")))
 
         def run(batches):
             for batch in batches:
-                size = pc.binary_length(batch.column("items")).to_numpy(zero_copy_only=False).astype(np.int64)
-                for first, last in chunks(np.append(0, np.cumsum(size))):
-                    for i, j in ((k, min(k + PAIRS, last)) for k in range(first, last, PAIRS)):
-                        items, where = sets(batch.column("items").slice(i, j - i))
-                        own = np.repeat(np.arange(j - i), np.diff(where))
-                        yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i).take(pa.array(own)), pa.array(items.view(np.int64)), pa.array(np.diff(where)[own])], names=["node", "key", "n"])
-
-        each = stored(self.items.join(nodes, "node", "left_semi").mapInArrow(run, "node long, key long, n long"), "shingles")
-        often = each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
-        of = Window.partitionBy("node")
-        ranked = each.join(often, "key").withColumn("many", F.count("*").over(of)).withColumn("rank", F.row_number().over(of.orderBy("times", "key")))
-        needed = F.expr(f"({self.percent} * n + 99) div 100")
-        prefix = ranked.where(F.col("rank") <= F.col("many") - needed + 1).select("key", "node", (F.col("n") - F.col("many") + F.col("rank")).alias("at"))
-        return stored(_mixed(stored(prefix.join(nodes, "node"), "prefixes")), "mixed")
+                for part, items, where in _each(batch, sets):
+                    size = np.diff(where)
+                    owner, times = np.repeat(np.arange(len(size)), size), counts.value[_cell(items)]
+                    order = np.lexsort((items, times, owner))
+                    at = np.arange(len(items)) - where[owner] + 1
+                    keep = (at <= size[owner] - (percent * size[owner] + 99) // 100 + 1) & (times[order] > 1)
+                    of = pa.array(owner[keep])
+                    yield pa.RecordBatch.from_arrays([pa.array(items[order][keep].view(np.int64)), part.column("node").take(of), part.column("component").take(of), pa.array(at[keep])], names=["key", "node", "component", "at"])
+
+        return stored(_mixed(stored(own.mapInArrow(run, "key long, node long, component long, at long"), "prefixes")), "mixed")
 
     def wide(self, nodes: DataFrame) -> DataFrame:
         """(node, n, m0, ...) with WIDE words of the nodes in a table (node)."""
@@ -180,12 +264,10 @@ class _Verifier:
 
         def run(batches):
             for batch in batches:
-                size = pc.binary_length(batch.column("items")).to_numpy(zero_copy_only=False).astype(np.int64)
-                for first, last in chunks(np.append(0, np.cumsum(size))):
-                    for i, j in ((k, min(k + PAIRS, last)) for k in range(first, last, PAIRS)):
-                        items, where = sets(batch.column("items").slice(i, j - i))
-                        words = bitmaps(items, np.repeat(np.arange(j - i), np.diff(where)), j - i, WIDE)
-                        yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(np.diff(where)), *(pa.array(w) for w in words)], names=["node", "n", *(f"m{k}" for k in range(WIDE))])
+                for part, items, where in _each(batch, sets):
+                    size = np.diff(where)
+                    words = bitmaps(items, np.repeat(np.arange(len(size)), size), len(size), WIDE)
+                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(size), *(pa.array(w) for w in words)], names=["node", "n", *(f"m{k}" for k in range(WIDE))])
 
         return self.items.join(nodes, "node", "left_semi").mapInArrow(run, ", ".join(["node long", "n long", *(f"m{k} long" for k in range(WIDE))]))
 
@@ -233,19 +315,28 @@ def classes(members: DataFrame, carried: DataFrame, items_of: Callable[[DataFram
     more = verifier.links(allowed(live.where("component <> c_component").select(*ordered)))
     found = stored(connected_components(edges.unionByName(more)), "classes")
 
-    # what is left, by prefixes and wide bitmaps: all sets with an item against those that aren't of its largest class
+    # what is left: all with all in small buckets
     edges = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     live = _labelled(live.select("key", "node"), edges)
     if live.isEmpty():
         return found
-    live = verifier.prefixes(live.select("node", "component").distinct())
-    top = live.groupBy("key", "component").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "component")).alias("t")).select("key", F.col("t.component").alias("top"))
-    left = stored(live.join(top, "key").join(verifier.wide(live.select("node").distinct()), "node"), "open")
-    other = left.where("component <> top").drop("top")
-    other = other.select(*(F.col(c).alias(c if c == "key" else f"c_{c}") for c in other.columns))
-    pairs = left.join(other, "key").where("component <> c_component and (component = top or node < c_node)")
-    pairs = pairs.where(may_share(percent) & may_link(percent) & may_link(percent, WIDE))  # places and the first words rule out most pairs
-    more = verifier.links(pairs.select(*ordered).distinct())
+    live = live.join(live.groupBy("key").agg(F.count("*").alias("members")), "key")
+    near = live.where(F.col("members") <= SMALL).join(carried, "node").select("key", "node", "component", *CARRIED)
+    near = stored(near.repartition("key").sortWithinPartitions("key").mapInArrow(_differing(percent), "a long, b long").distinct(), "near")
+    wide = stored(verifier.wide(nodes_of(near.select(F.col("a").alias("node"), F.col("b").alias("c_node")))), "wide")
+    near = near.join(wide.withColumnRenamed("node", "a"), "a").join(wide.select(F.col("node").alias("b"), *(F.col(c).alias(f"c_{c}") for c in wide.columns if c != "node")), "b")
+    more = verifier.links(near.where(may_link(percent, WIDE)).select("a", "b"))
+
+    # and in large ones by prefixes and wide bitmaps: all sets with an item against those that aren't of its largest class
+    large = verifier.prefixes(live.where(F.col("members") > SMALL).select("node", "component").distinct())
+    if not large.isEmpty():
+        top = large.groupBy("key", "component").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "component")).alias("t")).select("key", F.col("t.component").alias("top"))
+        left = stored(large.join(top, "key").join(verifier.wide(large.select("node").distinct()), "node"), "open")
+        other = left.where("component <> top").drop("top")
+        other = other.select(*(F.col(c).alias(c if c == "key" else f"c_{c}") for c in other.columns))
+        pairs = left.join(other, "key").where("component <> c_component and (component = top or node < c_node)")
+        pairs = pairs.where(may_share(percent) & may_link(percent) & may_link(percent, WIDE))  # places and the first words rule out most pairs
+        more = more.unionByName(verifier.links(pairs.select(*ordered).distinct()))
     if more.isEmpty():
         return found
     return stored(connected_components(edges.unionByName(more)), "classes")

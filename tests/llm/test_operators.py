@@ -90,6 +90,37 @@ def test_near_duplicates_that_meet_without_links(spark, monkeypatch):
     assert got == {i: (w if isinstance(w, int) else w[1]) for i, w in want.items()} and seen
 
 
+@pytest.mark.parametrize("small", [4, 512])
+def test_lines_that_meet_in_small_and_large_buckets(spark, monkeypatch, small):
+    """Buckets of at most SMALL members give no row of a shingle; larger ones give those of prefixes, a fifth of all or fewer."""
+    from framewright.llm import setjoin
+
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    base, docs = letters(200), []
+    for i in range(120):
+        line = list(base)
+        for at in rng.choice(200, 1 + i % 10, replace=False):
+            line[at] = str(i % 10)
+        docs.append((i, "".join(line)))
+    monkeypatch.setattr(setjoin, "SMALL", small)
+    names, stored = [], setjoin.stored
+
+    def kept(df, name, *a):
+        out = stored(df, name, *a)
+        names.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(setjoin, "stored", kept)
+    sets = brute.line_sets(docs, line_dedup.SHINGLE)
+    stays = brute.components(sets, brute.near(sets))
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {i: int(stays.get((i, 0), (i, 0)) != (i, 0)) for i, _ in docs}
+    rows = dict(names)
+    assert "shingles" not in rows and ("prefixes" in rows) == (small == 4)
+    assert rows.get("prefixes", 0) <= 0.25 * sum(len(s) for s in sets.values())
+
+
 def test_line_dedup(spark, sf_dir, odd):
     for df in (odd, documents(spark, sf_dir)):
         docs = pairs(df)
