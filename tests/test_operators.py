@@ -286,6 +286,26 @@ def test_html_walk():
     assert html_dom.html_nodes(None) == []
 
 
+def _walked(page):
+    walk = html_dom._Walk()
+    walk.feed(page if "<body" in page.lower() else f"<body>{page}")
+    walk.close()
+    return [(i, n["path"], n["tag"], n["id"], n["class"], html_dom._text(n)) for i, n in enumerate(walk.nodes)]
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    """Random pages of plain and odd pieces: the same nodes as the parser's; plain ones don't need the parser, and odd ones are left to it."""
+    import random
+
+    plain = ["<p>", "</p>", "<div id=\"a\" class='b'>".replace("'", '"'), "</div>", "<ul>", "</ul>", "<li>", "</li>", "<br>", "<br/>", "<input type=text value=\"x &amp; y\"/>", "<input disabled value=7 >", "<B ID=Q>", "</b >", "t &lt; u", " \n ", "&amp", "&#39;x", "<textarea>in &gt;</textarea>", "<textarea value=\"v\"></textarea>", "<body>", "</body>", "<head><title>t</title></head>", "<!doctype html>", "<section id=\"a\" id=\"b\">", "</section>", "<h1>", "</h1>"]
+    odd = ["<!-- c <p> -->", "<script>if (a < b) {}</script>", "<style>p > b</style>", "<textarea>a<b>c</textarea>", "<a href='x'>", "<a href=x/>", "<a/b>", "<", "</>", "< p>", "<![CDATA[x]]>", "<?x?>", "<p", "</p x>", "<textarea/>", "<title>", "<a b=\"c>d\">", "<a b=>", "<x-y>", "<svg><path/></svg>", "<a  =b>", "&"]
+    rng = random.Random(3)
+    for i in range(4000):
+        page = "".join(rng.choices(plain + (odd if i % 2 else []), k=rng.randint(0, 14)))
+        assert html_dom.html_nodes(page) == _walked(page), page
+        assert i % 2 or html_dom._plain_nodes(page) is not None, page
+
+
 def test_mutations(spark):
     def one(i):
         m = mutate.MUTATIONS[i]
