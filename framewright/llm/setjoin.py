@@ -94,7 +94,7 @@ def _differing(percent: int):
 
     def flush(column):
         node, component, n = (column[c] for c in ("node", "component", "n"))
-        words = np.stack([column[f"m{i}"] for i in range(WORDS)])
+        words = np.stack([column[f"m{i}"] for i in range(WORDS)]).view(np.uint64)  # bits of signed numbers would be counted in their absolute values
         i, j = np.triu_indices(len(node), 1)
         yes = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         i, j = i[yes], j[yes]

@@ -197,3 +197,12 @@ def test_stars_do_not_depend_on_batches():
         parts = [pa.RecordBatch.from_pylist([{"key": k, "node": n} for k, n in rows[i : i + size]], pa.schema([("key", pa.int64()), ("node", pa.int64())])) for i in range(0, 90, size)]
         got = [tuple(r.values()) for b in setjoin._stars(iter([*parts[:1], parts[0].slice(0, 0), *parts[1:]])) for r in b.to_pylist()]
         assert got == want
+
+
+def test_pairs_of_a_bucket_count_the_bits_of_negative_words():
+    from framewright.llm import setjoin
+
+    words = {f"m{i}": [-1, -2] for i in range(setjoin.WORDS)}  # one bit differs in each; the signs' bits are equal
+    words["m0"] = [-1, (1 << 63) - 1]  # only the sign
+    batch = pa.RecordBatch.from_pydict({"key": [1, 1], "node": [5, 3], "component": [5, 3], "n": [40, 40]} | words)
+    assert [b.to_pylist() for b in setjoin._differing(80)(iter([batch]))] == [[{"a": 3, "b": 5}]]
