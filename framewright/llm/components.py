@@ -30,6 +30,14 @@ def contracted(edges: DataFrame) -> DataFrame:
     return _small_star(_large_star(edges))
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether distinct edges (u, v) are final: each u has one v, and no v is a u."""
+    down = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = down.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    ends = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.where("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); the component is its least node.
 
@@ -38,12 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     now = stored(_small_star(edges), "star")
-    mark = None
-    while True:
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(seen) == mark or not seen[0]:
-            break
-        mark = tuple(seen)
+    while not _stars_only(now):
         after = stored(contracted(now), "star")
         drop(now)
         now = after

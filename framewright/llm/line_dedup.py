@@ -28,7 +28,8 @@ SQUARE = U64(pow(0x9E3779B97F4A7C15, 2, 1 << 64))
 #: Bytes of text cut at once: the arrays stay in a core's own cache.
 BLOCK = 1 << 18
 _STEPS = 16
-LINES = "doc_id long, doc_hash long, line int, node long, keys array<long>, n long, " + ", ".join(f"m{i} long" for i in range(setjoin.WORDS))
+LINES = "doc_id long, doc_hash long, line int, node long, keys array<long>, items binary"
+HELD = "node long, items binary, n long, " + ", ".join(f"m{i} long" for i in range(setjoin.WORDS))
 
 
 def trimmed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -137,41 +138,35 @@ def _nodes(data, start, end) -> np.ndarray:
 
 
 def _cut(batches):
-    """LINES rows; only the first of equal lines of a chunk has keys."""
+    """LINES rows; only the first of equal lines of a chunk has keys and its text."""
     for part, data, off in _chunks(batches):
         start, end, doc, number = trimmed(data, off)
         node = _nodes(data, start, end)
         distinct, index, back = np.unique(node, return_index=True, return_inverse=True)
-        keys, size, bits = np.zeros((0, BANDS), np.int64), np.zeros(0, np.int64), np.zeros((setjoin.WORDS, 0), np.int64)
+        keys = np.zeros((0, BANDS), np.int64)
         if len(distinct):
             items, first = distinct_shingles(*shingle_hashes(data, start[index], end[index]))
-            size = np.diff(first)
-            bits = setjoin.bitmaps(items, np.repeat(np.arange(len(size)), size), len(size))
             values = minima(items, first[:-1], ROWS * BANDS)
             bands = combined(values.reshape(BANDS, ROWS, -1).swapaxes(0, 1), 300)
             keys = mix(bands + np.arange(BANDS, dtype=U64)[:, None], 2000).T.view(np.int64)
         fresh = np.zeros(len(node), bool)
         fresh[index] = True
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(fresh) * BANDS).astype(np.int32)), pa.array(np.ascontiguousarray(keys[back[fresh]]).reshape(-1)))
+        raw = data.tobytes()
+        cells = [raw[a:b] if f else None for a, b, f in zip(start.tolist(), end.tolist(), fresh.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(pa.array(doc)), part.column("doc_hash").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(node), lists, pa.array(size[back]), *(pa.array(w[back]) for w in bits)],
+            [part.column("doc_id").take(pa.array(doc)), part.column("doc_hash").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(node), lists, pa.array(cells, pa.binary())],
             names=[f.split()[0] for f in LINES.split(", ")],
         )
 
 
-def _texts(sieve: Sieve):
-    """(node, items): the distinct lines of a batch that the sieve keeps."""
-
-    def run(batches):
-        for _, data, off in _chunks(batches):
-            start, end, _, _ = trimmed(data, off)
-            node, index = np.unique(_nodes(data, start, end), return_index=True)
-            keep = np.flatnonzero(sieve.keeps(node))
-            raw = data.tobytes()
-            cells = [raw[a:b] for a, b in zip(start[index[keep]].tolist(), end[index[keep]].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(cells, pa.binary())], names=["node", "items"])
-
-    return run
+def _held(batches):
+    """HELD rows of rows (node, items): with the size and bitmap of each line's set."""
+    for batch in batches:
+        for part, items, first in setjoin.parts(batch, line_items):
+            size = np.diff(first)
+            bits = setjoin.bitmaps(items, np.repeat(np.arange(len(size)), size), len(size))
+            yield pa.RecordBatch.from_arrays([*part.select(["node", "items"]).columns, pa.array(size), *(pa.array(w) for w in bits)], names=[f.split()[0] for f in HELD.split(", ")])
 
 
 def _removed(kept: list[str], text_col: str, without: Sieve | None = None):
@@ -210,21 +205,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("doc_hash"), F.col(text_col).alias("text")).where("text is not null")
     lines = stored(named.mapInArrow(_cut, LINES), "lines")
-    several = stored(lines.groupBy("node").agg(F.min("doc_hash").alias("home"), F.count("*").alias("n")), "occurrences")
-
-    def items_of(wanted: DataFrame) -> DataFrame:
-        """The text of each wanted line, from one of the documents that have it."""
-        homes = several.join(wanted, "node", "left_semi").select("home")
-        texts = sifted(named.select("doc_hash", "text"), "doc_hash", Sieve(rows_of(homes, "home"))).select("text").mapInArrow(_texts(Sieve(rows_of(wanted, "node"))), "node long, items binary")
-        return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
+    several = stored(lines.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "occurrences")
     members = setjoin.buckets(lines)
     wanted = stored(setjoin.nodes_of(members), "wanted")
-    carried = sifted(lines.where("size(keys) > 0").select("node", *setjoin.CARRIED), "node", Sieve(rows_of(wanted, "node")))
-    carried = stored(carried.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "carried")
-    found = setjoin.classes(members, carried, items_of, percent, line_items)
-    labelled = several.join(found, "node", "left").where("n > 1 or component is not null").select("node", F.coalesce("component", "node").alias("component"))
-    labelled = stored(labelled, "labelled")
+    held = sifted(lines.where("items is not null").select("node", "items"), "node", Sieve(rows_of(wanted, "node")))
+    held = held.join(wanted, "node", "left_semi").dropDuplicates(["node"])  # each text that a check may need is read here, once
+    held = stored(held.mapInArrow(_held, HELD), "held")
+    found = setjoin.classes(members, held.select("node", *setjoin.CARRIED), held.select("node", "items"), percent, line_items)
+    labelled = stored(several.join(found, "node", "full").select("node", F.coalesce("component", "node").alias("component")), "labelled")
     place = F.struct("doc_id", "doc_hash", "line")
     at = sifted(lines.select("node", "doc_id", "doc_hash", "line"), "node", Sieve(rows_of(labelled, "node")))
     at = stored(at.join(labelled, "node").select("component", "doc_id", "doc_hash", "line"), "places")

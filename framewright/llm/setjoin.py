@@ -3,7 +3,8 @@
 A bucket is a set of distinct nodes that share a key.  First every member is checked against one centre of its
 bucket.  Where a bucket still holds several classes, a centre of its largest class, another one in each bucket, is
 checked against the members of the other classes.  What differs in class after that is compared all with all where a
-bucket has at most SMALL members.  In larger buckets it is joined by prefixes: the items of a set, rarest first, without
+bucket has at most TIMES * SMALL members; beyond SMALL its rows carry wide bitmaps, so that only pairs that may link are
+written.  In larger buckets it is joined by prefixes: the items of a set, rarest first, without
 those that the sets of a link must share but for one.  Linked sets share an item of
 their prefixes, at places that leave enough items after them; sets that share only a frequent passage rarely do.  Wide
 bitmaps leave hardly any of these pairs but links, and these are checked.  So each pair of a bucket is verified, or
@@ -32,8 +33,9 @@ from .session import batches_of
 PAIRS, PAIR_BITS = 1000, 10
 #: Words of 64 bits in a set's bitmap, and in that of the last comparison.
 WORDS, WIDE = 8, 32
-#: Members of the largest bucket whose members are compared all with all.
-SMALL = 512
+#: Members of the largest bucket whose pairs are compared in one piece, and of the largest one that is compared all with
+#: all, in pieces: TIMES * SMALL.
+SMALL, TIMES = 512, 8
 #: Cells of the counts by which items are ordered, and those of a row of them.
 CELLS, SLOT = 1 << 19, 1 << 12
 #: Columns of what a member carries besides its node: the size of its set and its bitmap.
@@ -89,18 +91,26 @@ def _stars(batches):
 def _differing(percent: int):
     """(a, b), a < b: the pairs of a key's nodes, of different components, that ``may_link`` allows.
 
-    Rows (key, node, component, n, m0, ...) come in order of their keys, of which none has more than SMALL.
+    Rows (key, node, component, n, m0, ...) come in order of their keys, of which none has more than TIMES * SMALL.
     """
 
     def flush(column):
         node, component, n = (column[c] for c in ("node", "component", "n"))
-        words = np.stack([column[f"m{i}"] for i in range(WORDS)]).view(np.uint64)  # bits of signed numbers would be counted in their absolute values
-        i, j = np.triu_indices(len(node), 1)
-        yes = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        i, j = i[yes], j[yes]
-        yes = (100 - percent) * (n[i] + n[j]) >= (100 + percent) * np.bitwise_count(words[:, i] ^ words[:, j]).sum(0, dtype=np.int64)
-        i, j = node[i[yes]], node[j[yes]]
-        return np.minimum(i, j), np.maximum(i, j)
+        words = [column[c].view(np.uint64) for c in column if c[0] == "m"]  # bits of signed numbers would be counted in their absolute values
+        step, found = max(1, SMALL * SMALL // (2 * len(node))), []
+        for top in range(0, len(node) - 1, step):
+            i, j = np.triu_indices(min(step, len(node) - top), 1, len(node) - top)
+            i, j = i + top, j + top
+            yes = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[yes], j[yes]
+            differ = np.zeros(len(i), np.int64)
+            for k, word in enumerate(words):
+                differ += np.bitwise_count(word[i] ^ word[j])
+                if k % 8 == 7 or k == len(words) - 1:
+                    yes = (100 - percent) * (n[i] + n[j]) >= (100 + percent) * differ
+                    i, j, differ = i[yes], j[yes], differ[yes]
+            found.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
 
     def run(batches):
         held = None
@@ -163,7 +173,7 @@ def jaccard_at_least(percent: int, items: Items = stored_sets) -> Callable[[Iter
     return check
 
 
-def _each(batch: pa.RecordBatch, sets: Items) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def parts(batch: pa.RecordBatch, sets: Items) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with stored ``items``, PAIRS rows at most: the rows, their hashes and the first of each row (n + 1 values)."""
     size = pc.binary_length(batch.column("items")).to_numpy(zero_copy_only=False).astype(np.int64)
     for first, last in chunks(np.append(0, np.cumsum(size))):
@@ -182,7 +192,7 @@ def _cell_counts(sets: Items):
     def run(batches):
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for _, items, _ in _each(batch, sets):
+            for _, items, _ in parts(batch, sets):
                 np.add.at(counts, _cell(items), 1)
         rows = counts.reshape(-1, SLOT)
         full = np.flatnonzero(rows.any(axis=1))
@@ -191,7 +201,7 @@ def _cell_counts(sets: Items):
     return run
 
 
-def _counts(parts: DataFrame) -> np.ndarray:
+def _counts(counted: DataFrame) -> np.ndarray:
     """The sums of ``_cell_counts``, all cells: CELLS numbers, whatever was counted."""
 
     def added(table: pa.Table) -> pa.Table:
@@ -199,7 +209,7 @@ def _counts(parts: DataFrame) -> np.ndarray:
         return pa.table({"slot": table.column("slot")[:1], "counts": pa.array([out.tobytes()], pa.binary())})
 
     whole = np.zeros((CELLS // SLOT, SLOT), np.int64)
-    for row in parts.groupBy("slot").applyInArrow(added, "slot long, counts binary").collect():
+    for row in counted.groupBy("slot").applyInArrow(added, "slot long, counts binary").collect():
         whole[row.slot] = np.frombuffer(row.counts, np.int64)
     return whole.reshape(-1)
 
@@ -207,16 +217,19 @@ def _counts(parts: DataFrame) -> np.ndarray:
 class _Verifier:
     """Checks pairs of nodes, and reads the items of a node once.
 
-    ``items_of`` reads (node, items) of the nodes in a table (node); ``items`` makes sets of a column of them.
+    ``items_of`` reads (node, items) of the nodes in a table (node), or is a stored table of all of them; ``items`` makes
+    sets of a column of them.
     """
 
-    def __init__(self, items_of: Callable[[DataFrame], DataFrame], items: Items, percent: int):
+    def __init__(self, items_of: Callable[[DataFrame], DataFrame] | DataFrame, items: Items, percent: int):
         self.items_of, self.sets, self.percent = items_of, items, percent
-        self.items: DataFrame | None = None
+        self.items: DataFrame | None = items_of if isinstance(items_of, DataFrame) else None
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The links among different ``pairs`` (a, b), a < b, as edges (u, v), v < u."""
         pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs.sparkSession.createDataFrame([], "u long, v long")
         self.read(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         whole = pairs.join(self.items.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
         whole = whole.join(self.items.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
@@ -225,9 +238,14 @@ class _Verifier:
 
     def read(self, wanted: DataFrame) -> None:
         """Have the items of the nodes in ``wanted``."""
+        if isinstance(self.items_of, DataFrame):
+            return
         if self.items is not None:
             wanted = wanted.join(self.items.select("node"), "node", "left_anti")
-        read = stored(self.items_of(stored(wanted, "wanted")), "items")
+        wanted = stored(wanted, "wanted")
+        if self.items is not None and wanted.isEmpty():
+            return  # no text is read for nothing
+        read = stored(self.items_of(wanted), "items")
         self.items = read if self.items is None else self.items.unionByName(read)
 
     def prefixes(self, nodes: DataFrame) -> DataFrame:
@@ -246,7 +264,7 @@ class _Verifier:
 
         def run(batches):
             for batch in batches:
-                for part, items, where in _each(batch, sets):
+                for part, items, where in parts(batch, sets):
                     size = np.diff(where)
                     owner, times = np.repeat(np.arange(len(size)), size), counts.value[_cell(items)]
                     order = np.lexsort((items, times, owner))
@@ -264,7 +282,7 @@ class _Verifier:
 
         def run(batches):
             for batch in batches:
-                for part, items, where in _each(batch, sets):
+                for part, items, where in parts(batch, sets):
                     size = np.diff(where)
                     words = bitmaps(items, np.repeat(np.arange(len(size)), size), len(size), WIDE)
                     yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(size), *(pa.array(w) for w in words)], names=["node", "n", *(f"m{k}" for k in range(WIDE))])
@@ -273,15 +291,16 @@ class _Verifier:
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
-    """The rows (key, component, ...) of keys with several components."""
-    return labelled.join(labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key"), "key")
+    """The rows (key, component, ...) of keys with several components: one sort by key, which spills, and no join."""
+    key = Window.partitionBy("key")
+    both = labelled.select("*", F.min("component").over(key).alias("__least"), F.max("component").over(key).alias("__most"))
+    return both.where("__least < __most").drop("__least", "__most")
 
 
 def _labelled(live: DataFrame, edges: DataFrame) -> DataFrame:
     """Members (key, node, component) of the buckets that hold several classes; a component is the least neighbour in ``edges``."""
     least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    labelled = stored(live.join(least, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    return stored(_mixed(labelled), "live")
+    return _mixed(live.join(least, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
 
 
 def nodes_of(members: DataFrame) -> DataFrame:
@@ -289,7 +308,7 @@ def nodes_of(members: DataFrame) -> DataFrame:
     return members.select("node").unionByName(members.select(F.col("c_node").alias("node"))).distinct()
 
 
-def classes(members: DataFrame, carried: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int, items: Items = stored_sets) -> DataFrame:
+def classes(members: DataFrame, carried: DataFrame, items_of: Callable[[DataFrame], DataFrame] | DataFrame, percent: int, items: Items = stored_sets) -> DataFrame:
     """(node, component) of every linked node of ``members``, which ``buckets`` made.
 
     ``carried`` has the size and bitmap of each node's set, (node, n, m0, ...).  Until all links are found, classes
@@ -307,31 +326,37 @@ def classes(members: DataFrame, carried: DataFrame, items_of: Callable[[DataFram
     edges = verifier.links(allowed(members.select(*ordered)))
 
     # the members of other classes against one of the bucket's largest class
-    live = _labelled(members, edges)
-    many = live.groupBy("key", "component").agg(F.count("*").alias("many"), F.min(F.xxhash64("node", "key")).alias("draw"))
-    best = many.groupBy("key").agg(F.max(F.struct("many", "draw")).alias("best")).select("key", "best.draw")
-    centre = live.withColumn("draw", F.xxhash64("node", "key")).join(best, ["key", "draw"])
-    live = stored(live.join(centre.select("key", F.col("node").alias("c_node"), F.col("component").alias("c_component")), "key").where("node <> c_node"), "live")
+    key = Window.partitionBy("key")
+    many = F.count("*").over(Window.partitionBy("key", "component"))
+    live = _labelled(members.select("key", "node"), edges).select("*", F.struct(many.alias("many"), F.xxhash64("node", "key").alias("draw"), "component", "node").alias("drawn"))
+    live = live.select("key", "node", "component", F.max("drawn").over(key).alias("best"))
+    live = stored(live.select("key", "node", "component", F.col("best.node").alias("c_node"), F.col("best.component").alias("c_component")), "live")
     more = verifier.links(allowed(live.where("component <> c_component").select(*ordered)))
     found = stored(connected_components(edges.unionByName(more)), "classes")
 
-    # what is left: all with all in small buckets
+    # what is left: all with all where a bucket isn't large
     edges = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    live = _labelled(live.select("key", "node"), edges)
+    live = _labelled(live.where("node <> c_node").select("key", "node"), edges)
+    live = stored(live.select("*", F.count("*").over(key).alias("members")), "live")
     if live.isEmpty():
         return found
-    live = live.join(live.groupBy("key").agg(F.count("*").alias("members")), "key")
-    near = live.where(F.col("members") <= SMALL).join(carried, "node").select("key", "node", "component", *CARRIED)
-    near = stored(near.repartition("key").sortWithinPartitions("key").mapInArrow(_differing(percent), "a long, b long").distinct(), "near")
+    compared = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_differing(percent), "a long, b long").distinct()
+    small = live.where(F.col("members") <= SMALL).join(carried, "node").select("key", "node", "component", *CARRIED)
+    near = stored(compared(small), "near")
     wide = stored(verifier.wide(nodes_of(near.select(F.col("a").alias("node"), F.col("b").alias("c_node")))), "wide")
     near = near.join(wide.withColumnRenamed("node", "a"), "a").join(wide.select(F.col("node").alias("b"), *(F.col(c).alias(f"c_{c}") for c in wide.columns if c != "node")), "b")
-    more = verifier.links(near.where(may_link(percent, WIDE)).select("a", "b"))
+    near = near.where(may_link(percent, WIDE)).select("a", "b")
+    middle = live.where((F.col("members") > SMALL) & (F.col("members") <= TIMES * SMALL))
+    if not middle.isEmpty():
+        middle = middle.join(verifier.wide(middle.select("node").distinct()), "node").select("key", "node", "component", *wide.columns[1:])
+        near = near.unionByName(compared(middle)).distinct()
+    more = verifier.links(near)
 
     # and in large ones by prefixes and wide bitmaps: all sets with an item against those that aren't of its largest class
-    large = verifier.prefixes(live.where(F.col("members") > SMALL).select("node", "component").distinct())
+    large = verifier.prefixes(live.where(F.col("members") > TIMES * SMALL).select("node", "component").distinct())
     if not large.isEmpty():
-        top = large.groupBy("key", "component").agg(F.count("*").alias("many")).groupBy("key").agg(F.max(F.struct("many", "component")).alias("t")).select("key", F.col("t.component").alias("top"))
-        left = stored(large.join(top, "key").join(verifier.wide(large.select("node").distinct()), "node"), "open")
+        top = large.select("*", F.struct(many.alias("many"), "component").alias("held")).withColumn("top", F.max("held").over(key).getField("component")).drop("held")
+        left = stored(top.join(verifier.wide(large.select("node").distinct()), "node"), "open")
         other = left.where("component <> top").drop("top")
         other = other.select(*(F.col(c).alias(c if c == "key" else f"c_{c}") for c in other.columns))
         pairs = left.join(other, "key").where("component <> c_component and (component = top or node < c_node)")

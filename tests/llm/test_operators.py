@@ -121,6 +121,27 @@ def test_lines_that_meet_in_small_and_large_buckets(spark, monkeypatch, small):
     assert rows.get("prefixes", 0) <= 0.25 * sum(len(s) for s in sets.values())
 
 
+def test_lines_that_meet_in_middling_buckets_are_read_once(spark, monkeypatch):
+    """Buckets of up to TIMES * SMALL members write no prefixes, and the lines' texts are held in one table."""
+    from framewright.llm import setjoin
+
+    rng = np.random.default_rng(4)
+    base, docs = [chr(97 + x) for x in rng.integers(0, 26, 200)], []
+    for i in range(120):
+        line = list(base)
+        for at in rng.choice(200, 1 + i % 10, replace=False):
+            line[at] = str(i % 10)
+        docs.append((i, "".join(line)))
+    monkeypatch.setattr(setjoin, "SMALL", 16)
+    names, stored = [], setjoin.stored
+    monkeypatch.setattr(setjoin, "stored", lambda df, name, *a: names.append(name) or stored(df, name, *a))
+    sets = brute.line_sets(docs, line_dedup.SHINGLE)
+    stays = brute.components(sets, brute.near(sets))
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {i: int(stays.get((i, 0), (i, 0)) != (i, 0)) for i, _ in docs}
+    assert "prefixes" not in names and "items" not in names
+
+
 def test_line_dedup(spark, sf_dir, odd):
     for df in (odd, documents(spark, sf_dir)):
         docs = pairs(df)
