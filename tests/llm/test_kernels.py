@@ -206,3 +206,13 @@ def test_pairs_of_a_bucket_count_the_bits_of_negative_words():
     words["m0"] = [-1, (1 << 63) - 1]  # only the sign
     batch = pa.RecordBatch.from_pydict({"key": [1, 1], "node": [5, 3], "component": [5, 3], "n": [40, 40]} | words)
     assert [b.to_pylist() for b in setjoin._differing(80)(iter([batch]))] == [[{"a": 3, "b": 5}]]
+
+
+def test_mixed_buckets_are_found_without_joins_by_key(spark):
+    """Each row of a key comes out once, if its key has several components; nothing is joined by a key with many rows."""
+    from framewright.llm import setjoin
+
+    rows = [(1, i, i % 2) for i in range(50)] + [(2, i, 7) for i in range(50)] + [(3, 1, 1)]
+    mixed = setjoin._mixed(spark.createDataFrame(rows, "key long, node long, component long"))
+    assert "Join" not in mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, mixed.collect())) == sorted(rows[:50])
