@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .kernels import LOWER, NON_NEWLINE, NON_SPACE, U64, chunks, mix, prefix_hash, ragged, span_hash, spans, utf8
+from .kernels import LOWER, NON_NEWLINE, NON_SPACE, U64, binary_array, chunks, mix, prefix_hash, ragged, span_hash, spans, utf8
 from .minhash import combined, minima
-from .scratch import stored
+from .scratch import drop, stored
 from .session import bounded_batches
 from .sieve import Sieve, rows_of, sifted
 
@@ -28,7 +28,7 @@ SQUARE = U64(pow(0x9E3779B97F4A7C15, 2, 1 << 64))
 #: Bytes of text cut at once: the arrays stay in a core's own cache.
 BLOCK = 1 << 18
 _STEPS = 16
-LINES = "doc_id long, doc_hash long, line int, node long, keys array<long>, items binary"
+LINES = "doc_id long, doc_hash long, line int, node long, keys binary, items binary"
 HELD = "node long, items binary, n long, " + ", ".join(f"m{i} long" for i in range(setjoin.WORDS))
 
 
@@ -65,19 +65,22 @@ def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     if lead.all():
         codes, at, chars = data.astype(U64), start, end - start
     else:
-        padded, heads = np.append(data, np.zeros(4, np.uint8)), np.append(np.flatnonzero(lead), len(data))
-        bytes_of = np.ndarray(len(data) + 1, "<u4", padded, strides=(1,))[heads[:-1]]
-        codes = (bytes_of & (np.uint32(0xFFFFFFFF) >> (32 - 8 * np.diff(heads)).astype(np.uint32))).astype(U64)
-        upto = np.append(0, np.cumsum(lead))
-        at, chars = upto[start], upto[end] - upto[start]
+        heads = np.flatnonzero(lead)
+        codes = data[heads].astype(U64)
+        wide = np.flatnonzero(codes >= 0xC0)
+        padded, size = np.append(data, np.zeros(4, np.uint8)), np.append(heads, len(data))[wide + 1] - heads[wide]
+        bytes_of = np.ndarray(len(data) + 1, "<u4", padded, strides=(1,))[heads[wide]]
+        codes[wide] = bytes_of & (np.uint32(0xFFFFFFFF) >> (32 - 8 * size).astype(np.uint32))
+        at = np.searchsorted(heads, start)
+        chars = np.searchsorted(heads, end) - at
     many = np.maximum(chars - SHINGLE + 1, 1)
     first = np.append(0, np.cumsum(many))
     whole = chars >= SHINGLE
     if whole.all():
-        return _runs(codes)[ragged(at, many)], first
+        return _taken(_runs(codes), at, many), first
     out = np.zeros(first[-1], U64)
     if whole.any():
-        out[np.repeat(whole, many)] = _runs(codes)[ragged(at[whole], many[whole])]
+        out[np.repeat(whole, many)] = _taken(_runs(codes), at[whole], many[whole])
     for size in range(1, SHINGLE):
         short = np.flatnonzero(chars == size)
         value = np.zeros(len(short), U64)
@@ -87,6 +90,16 @@ def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return out, first
 
 
+def _taken(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``values[ragged(start, size)]``: by a mask where the runs come in order and don't meet."""
+    if (start[1:] < start[:-1] + size[:-1]).any():
+        return values[ragged(start, size)]
+    edge = np.zeros(len(values) + 1, np.int8)
+    edge[start] += 1
+    edge[start + size] -= 1
+    return values[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+
+
 def _runs(codes: np.ndarray) -> np.ndarray:
     """Hashes of SHINGLE code points from each place on: a polynomial of them, its bits mixed."""
     two = codes[:-1] * BASE
@@ -142,20 +155,20 @@ def _cut(batches):
     for part, data, off in _chunks(batches):
         start, end, doc, number = trimmed(data, off)
         node = _nodes(data, start, end)
-        distinct, index, back = np.unique(node, return_index=True, return_inverse=True)
+        index = np.sort(np.unique(node, return_index=True)[1])  # in the order of the text
         keys = np.zeros((0, BANDS), np.int64)
-        if len(distinct):
+        if len(index):
             items, first = distinct_shingles(*shingle_hashes(data, start[index], end[index]))
             values = minima(items, first[:-1], ROWS * BANDS)
             bands = combined(values.reshape(BANDS, ROWS, -1).swapaxes(0, 1), 300)
             keys = mix(bands + np.arange(BANDS, dtype=U64)[:, None], 2000).T.view(np.int64)
         fresh = np.zeros(len(node), bool)
         fresh[index] = True
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(fresh) * BANDS).astype(np.int32)), pa.array(np.ascontiguousarray(keys[back[fresh]]).reshape(-1)))
+        own = binary_array(np.ascontiguousarray(keys).reshape(-1), np.append(0, np.cumsum(fresh) * BANDS))
         raw = data.tobytes()
         cells = [raw[a:b] if f else None for a, b, f in zip(start.tolist(), end.tolist(), fresh.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(pa.array(doc)), part.column("doc_hash").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(node), lists, pa.array(cells, pa.binary())],
+            [part.column("doc_id").take(pa.array(doc)), part.column("doc_hash").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(node), own, pa.array(cells, pa.binary())],
             names=[f.split()[0] for f in LINES.split(", ")],
         )
 
@@ -212,10 +225,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = held.join(wanted, "node", "left_semi").dropDuplicates(["node"])  # each text that a check may need is read here, once
     held = stored(held.mapInArrow(_held, HELD), "held")
     found = setjoin.classes(members, held.select("node", *setjoin.CARRIED), held.select("node", "items"), percent, line_items)
+    drop(held)
     labelled = stored(several.join(found, "node", "full").select("node", F.coalesce("component", "node").alias("component")), "labelled")
     place = F.struct("doc_id", "doc_hash", "line")
     at = sifted(lines.select("node", "doc_id", "doc_hash", "line"), "node", Sieve(rows_of(labelled, "node")))
     at = stored(at.join(labelled, "node").select("component", "doc_id", "doc_hash", "line"), "places")
+    drop(lines)
     stays = stored(at.groupBy("component").agg(F.min(place).alias("least")), "stays")  # read again, so that a hot component's rows can be split in the join
     gone = at.join(stays, "component").where(~place.eqNullSafe(F.col("least")))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).agg(F.collect_set("line").alias("__gone"))

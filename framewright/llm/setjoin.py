@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import U64, chunks, mix
+from .kernels import U64, binary_array, chunks, mix
 from .scratch import stored
 from .session import batches_of
+from .sieve import Sieve, rows_of, sifted
 
 #: Pairs that are compared at once, and the bits that number them.
 PAIRS, PAIR_BITS = 1000, 10
@@ -36,6 +37,8 @@ WORDS, WIDE = 8, 32
 #: Members of the largest bucket whose pairs are compared in one piece, and of the largest one that is compared all with
 #: all, in pieces: TIMES * SMALL.
 SMALL, TIMES = 512, 8
+#: Pairs of a key and a node that a task holds at once.
+GATHERED = 1 << 20
 #: Cells of the counts by which items are ordered, and those of a row of them.
 CELLS, SLOT = 1 << 19, 1 << 12
 #: Columns of what a member carries besides its node: the size of its set and its bitmap.
@@ -131,15 +134,90 @@ def _differing(percent: int):
     return run
 
 
+def _keyed(batch: pa.RecordBatch) -> np.ndarray:
+    """(key, node) of all keys of rows (node, keys); keys are a list, or 64-bit words as bytes, and null has none."""
+    keys, node = batch.column("keys"), batch.column("node").to_numpy(zero_copy_only=False)
+    if pa.types.is_binary(keys.type):
+        many, flat = pc.binary_length(keys).fill_null(0).to_numpy(zero_copy_only=False) // 8, stored_sets(keys.fill_null(b""))[0].view(np.int64)
+    else:
+        many, flat = pc.list_value_length(keys).fill_null(0).to_numpy(zero_copy_only=False), keys.flatten().to_numpy(zero_copy_only=False)
+    return np.stack([flat, np.repeat(node, many)], axis=1)
+
+
+def _dealt(parts: int):
+    """(part, pairs): the (key, node) of rows (node, keys) by part of the keys, GATHERED or a few more at once, as bytes."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(_keyed(batch))
+                n += len(held[-1])
+            if n and (batch is None or n >= GATHERED):
+                pairs = np.concatenate(held)
+                part = (mix(pairs[:, 0].view(U64), 51) % U64(parts)).astype(np.int32)
+                order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+                part = part[order]
+                first = np.append(0, np.flatnonzero(np.diff(part)) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(part[first]), binary_array(pairs[order].reshape(-1), 2 * np.append(first, len(part)))], names=["part", "pairs"])
+                held, n = [], 0
+
+    return run
+
+
+def _starred(batches):
+    """``_stars`` of rows (part, pairs) that come in order of their parts.
+
+    A part is held whole up to GATHERED pairs; beyond, each of its keys keeps one node, which stays the key's c_node.
+    """
+
+    def stars(kept, held):
+        pairs = np.concatenate([kept, *held])
+        order = np.argsort(pairs[:, 0])
+        keys = pairs[order, 0]
+        same = keys[1:] == keys[:-1]
+        few = order[np.append(False, same) | np.append(same, False)]
+        few = few[np.lexsort((pairs[few, 1], few >= len(kept), pairs[few, 0]))]
+        if len(few):
+            for batch in _stars(iter([pa.RecordBatch.from_arrays([pa.array(pairs[few, 0]), pa.array(pairs[few, 1])], names=["key", "node"])])):
+                yield batch.filter(pc.not_equal(batch.column("node"), batch.column("c_node")))
+
+    def heads(kept, held):
+        pairs = np.concatenate([kept, *held])
+        order = np.lexsort((pairs[:, 1], np.arange(len(pairs)) >= len(kept), pairs[:, 0]))
+        return pairs[order[np.append(True, np.diff(pairs[order, 0]) != 0)]]
+
+    none = np.zeros((0, 2), np.int64)
+    now, kept, held, n = None, none, [], 0
+    for batch in batches:
+        part = batch.column("part").to_numpy(zero_copy_only=False)
+        flat, where = stored_sets(batch.column("pairs"))
+        cut = np.append(0, np.flatnonzero(np.diff(part)) + 1) if len(part) else []
+        for i, j in zip(cut, np.append(cut[1:], len(part)), strict=True):
+            if held and part[i] != now:
+                yield from stars(kept, held)
+                kept, held, n = none, [], 0
+            elif n >= GATHERED:
+                yield from stars(kept, held)
+                kept, held, n = heads(kept, held), [], 0
+            kept, now = (kept if part[i] == now else none), part[i]
+            held.append(flat[where[i] : where[j]].view(np.int64).reshape(-1, 2))
+            n += len(held[-1])
+    if held:
+        yield from stars(kept, held)
+
+
 def buckets(keys: DataFrame) -> DataFrame:
-    """From (node, keys), where a node may repeat: (key, node, c_node), every node of a bucket but its least, c_node.
+    """From (node, keys), where a node may repeat: (key, node, c_node), every node of a bucket but one of them, c_node.
 
-    Rows are dealt out by key and sorted, and each task walks its keys in a stream, so a bucket of any size takes
-    constant memory; a key that only one node has ends here.
+    Keys are dealt out by parts of some 4,096 rows' keys, packed, as most keys are one node's and end here.  A task goes
+    through a part at a time, and a bucket of any size takes constant memory.
     """
-    each = keys.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-    with batches_of(keys.sparkSession, 1 << 16):
-        return stored(each.mapInArrow(_stars, "key long, node long, c_node long"), "members")
+    spark = keys.sparkSession
+    parts = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() >> 12)
+    with batches_of(spark, 1 << 16):
+        each = keys.select("node", "keys").mapInArrow(_dealt(parts), "part int, pairs binary").repartition("part").sortWithinPartitions("part")
+        return stored(each.mapInArrow(_starred, "key long, node long, c_node long"), "members")
 
 
 def stored_sets(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -230,9 +308,11 @@ class _Verifier:
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
             return pairs.sparkSession.createDataFrame([], "u long, v long")
-        self.read(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        whole = pairs.join(self.items.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
-        whole = whole.join(self.items.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        self.read(nodes.distinct())
+        items = self.thinned(nodes)
+        whole = pairs.join(items.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
+        whole = whole.join(items.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a")
         found = whole.select("a", "b", "sa", "sb").mapInArrow(jaccard_at_least(self.percent, self.sets), "a long, b long")
         return stored(found.select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
 
@@ -248,6 +328,10 @@ class _Verifier:
         read = stored(self.items_of(wanted), "items")
         self.items = read if self.items is None else self.items.unionByName(read)
 
+    def thinned(self, nodes: DataFrame) -> DataFrame:
+        """The items of the nodes in a table (node), which were read, and of few others: what a join shuffles."""
+        return sifted(self.items.select("node", "items"), "node", Sieve(rows_of(nodes, "node")))
+
     def prefixes(self, nodes: DataFrame) -> DataFrame:
         """(key, node, component, at) for nodes (node, component): the items of their prefixes and places, from 1, where items of several nodes have several components.
 
@@ -259,7 +343,7 @@ class _Verifier:
             return nodes.sparkSession.createDataFrame([], "key long, node long, component long, at long")
         self.read(nodes.select("node"))
         percent, sets = self.percent, self.sets
-        own = stored(self.items.join(nodes, "node"), "own")
+        own = stored(self.thinned(nodes).join(nodes, "node"), "own")
         counts = nodes.sparkSession.sparkContext.broadcast(_counts(own.mapInArrow(_cell_counts(sets), "slot long, counts binary")))
 
         def run(batches):
@@ -287,7 +371,7 @@ class _Verifier:
                     words = bitmaps(items, np.repeat(np.arange(len(size)), size), len(size), WIDE)
                     yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(size), *(pa.array(w) for w in words)], names=["node", "n", *(f"m{k}" for k in range(WIDE))])
 
-        return self.items.join(nodes, "node", "left_semi").mapInArrow(run, ", ".join(["node long", "n long", *(f"m{k} long" for k in range(WIDE))]))
+        return self.thinned(nodes).join(nodes, "node", "left_semi").mapInArrow(run, ", ".join(["node long", "n long", *(f"m{k} long" for k in range(WIDE))]))
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:

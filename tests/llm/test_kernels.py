@@ -216,3 +216,46 @@ def test_mixed_buckets_are_found_without_joins_by_key(spark):
     mixed = setjoin._mixed(spark.createDataFrame(rows, "key long, node long, component long"))
     assert "Join" not in mixed._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, mixed.collect())) == sorted(rows[:50])
+
+
+@pytest.mark.parametrize("most", [8, 1 << 20])
+def test_parts_of_any_size_keep_one_centre_a_bucket(monkeypatch, most):
+    from framewright.llm import setjoin
+
+    monkeypatch.setattr(setjoin, "GATHERED", most)
+    keys = {1: [10, 11], 2: [10], 3: [10, 12], 4: [13], 5: [10, 11], 1 << 62: [10, -7], -(1 << 62): [-7]}
+    rows = [(n, keys[n]) for n in [3, 1, 4, 5, 2, 1 << 62, -(1 << 62), 3, 1]]
+    node, lists = (pa.array(x) for x in zip(*rows, strict=True))
+    packed = pa.array([np.array(k, np.int64).tobytes() for k in lists.to_pylist()], pa.binary())
+    for column in (lists, packed):
+        batches = [pa.RecordBatch.from_arrays([node, column], names=["node", "keys"]).slice(i, 2) for i in range(0, len(rows), 2)]
+        dealt = pa.Table.from_batches(setjoin._dealt(3)(iter(batches))).sort_by("part")
+        got = [tuple(r.values()) for b in setjoin._starred(iter(dealt.to_batches(max_chunksize=2))) for r in b.to_pylist()]
+        for key in (10, 11, -7):
+            own = {n for n in keys if key in keys[n]}
+            centre = {c for k, _, c in got if k == key}
+            assert len(centre) == 1 and {n for k, n, _ in got if k == key} == own - centre
+        assert {k for k, _, _ in got} == {10, 11, -7}
+
+
+def test_checks_shuffle_few_items_but_those_of_their_pairs(spark):
+    from framewright.llm import setjoin
+
+    sets = [np.unique(kernels.mix(np.arange(i, i + 20, dtype=np.uint64))) for i in range(1000)]
+    items = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, items binary")
+    verifier = setjoin._Verifier(items, setjoin.stored_sets, 80)
+    nodes = spark.createDataFrame([(5,), (6,)], "node long")
+    assert {5, 6} <= {r.node for r in verifier.thinned(nodes).collect()}
+    assert verifier.thinned(nodes).count() < 50
+    links = verifier.links(spark.createDataFrame([(5, 6), (7, 400)], "a long, b long"))
+    assert [tuple(r) for r in links.collect()] == [(6, 5)]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from framewright.llm import scratch
+
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    few = scratch.stored(spark.range(1000).repartition(4, "id"), "few")
+    assert not files() - before
+    assert few.count() == 1000 and spark.conf.get(scratch.CLEANUP) == "false"
