@@ -2,7 +2,7 @@
 
 Byte-level vocabularies cut a text before every run of white space that follows a visible character, and
 before ASCII punctuation that follows an ASCII letter: no pre-token spans such a place, so the ids of a text
-are the ids of its pieces in order.  A worker encodes each distinct piece once and keeps its ids.  Vocabularies
+are the ids of its pieces in order.  A task encodes each distinct piece once and keeps its ids.  Vocabularies
 with any other pre-tokenizer are encoded text by text.
 """
 
@@ -77,6 +77,10 @@ class PieceEncoder:
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self._empty()
 
+    def forget(self) -> None:
+        """Drop the kept pieces: workers outlive their tasks, and an executor may have many."""
+        self._empty()
+
     def _empty(self) -> None:
         self.keys, self.begin, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -140,7 +144,7 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder; its kept pieces serve all tasks of the worker."""
+    """This worker's encoder; a task forgets its kept pieces at its end."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, binary_array, chunks, mix, prefix_hash, ragged, shingle_hashes, span_hash, utf8, word_hashes
+from .kernels import ALNUM, binary_array, chunks, mix, ragged, shingle_hashes, utf8, word_hashes
+from .minhash import combined
 from .scratch import stored
 from .session import bounded_batches
 from .sieve import Sieve, rows_of, sifted
@@ -58,8 +59,7 @@ def _windows(window: int):
                 size = min(TOKEN_WORDS, length)
                 tokens = _tokens(words, first, size)[0][start[:, None] + np.arange(length - size + 1)]
                 edge = np.arange(len(rows) + 1) * length
-                raw = rows.reshape(-1).view(np.uint8)
-                win = span_hash(prefix_hash(raw), 8 * edge[:-1], 8 * edge[1:], 12).view(np.int64)
+                win = mix(combined(rows.T, 60), length).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * tokens.shape[1]).astype(np.int32)), pa.array(tokens.reshape(-1)))
                 items = part.column("item").take(pa.array(np.repeat(own, count)))
                 yield pa.RecordBatch.from_arrays([pa.array(win), items, pa.array(np.full(len(rows), length, np.int32)), binary_array(rows.reshape(-1), edge), lists], names=[f.split()[0] for f in WINDOWS.split(", ")])

@@ -31,17 +31,20 @@ def encode_parts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches):
         part, place, tool = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        for batch in batches:
-            data, off = utf8(batch.column("text"))
-            for a, b in chunks(off, ENCODE_BYTES):
-                ids, where = tool.encode(data[off[a] : off[b]], off[a : b + 1] - off[a], end_id)
-                names = batch.column("doc_id").slice(a, b - a)
-                n = np.diff(where)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(b - a, part, np.int32)), pa.array(place + where[:-1]), names, pa.array(n), binary_array(ids, where)],
-                    names=["part", "start", "doc_id", "n", "ids"],
-                )
-                place += len(ids)
+        try:
+            for batch in batches:
+                data, off = utf8(batch.column("text"))
+                for a, b in chunks(off, ENCODE_BYTES):
+                    ids, where = tool.encode(data[off[a] : off[b]], off[a : b + 1] - off[a], end_id)
+                    names = batch.column("doc_id").slice(a, b - a)
+                    n = np.diff(where)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(b - a, part, np.int32)), pa.array(place + where[:-1]), names, pa.array(n), binary_array(ids, where)],
+                        names=["part", "start", "doc_id", "n", "ids"],
+                    )
+                    place += len(ids)
+        finally:
+            tool.forget()
 
     return docs.mapInArrow(run, ENCODED)
 

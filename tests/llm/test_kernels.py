@@ -259,3 +259,24 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     few = scratch.stored(spark.range(1000).repartition(4, "id"), "few")
     assert not files() - before
     assert few.count() == 1000 and spark.conf.get(scratch.CLEANUP) == "false"
+
+
+def test_workers_keep_few_powers_and_no_pieces(monkeypatch):
+    monkeypatch.setattr(kernels, "_powers", (np.ones(1, np.uint64), np.ones(1, np.uint64)))
+    kernels.powers(600_000)
+    assert len(kernels.powers(700_000)[0]) == kernels.KEPT_POWERS
+    long, inverse = kernels.powers(3_000_000)
+    assert (long * inverse == 1).all() and len(kernels._powers[0]) == kernels.KEPT_POWERS
+    assert (long[: kernels.KEPT_POWERS] == kernels._powers[0]).all()
+
+
+def test_a_task_forgets_its_pieces(monkeypatch):
+    import public_tokenizers
+    from framewright.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    frame = type("Docs", (), {"mapInArrow": lambda self, run, schema: run})()
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two three", "two"]})
+    assert sum(b.num_rows for b in packing.encode_parts(frame, path, 1)(iter([batch]))) == 2
+    assert not len(bpe.encoder(path).keys)
